@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, mixing, sharding, urls
+from . import exactdedup, mixing, packing, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_tournament_ffd": packing.op2_tournament_ffd,
         "op3_sainte_lague_mix": mixing.op3_sainte_lague_mix,
         "op4_content_sort": exactdedup.op4_content_sort,
         "op6_feistel_shards": sharding.op6_feistel_shards,
