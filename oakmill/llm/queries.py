@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, mixing, packing, sharding, urls
+from . import exactdedup, mixing, packing, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tournament_ffd": packing.op2_tournament_ffd,
         "op3_sainte_lague_mix": mixing.op3_sainte_lague_mix,
         "op4_content_sort": exactdedup.op4_content_sort,
+        "op5_bit_sliced_simhash": simhash.op5_bit_sliced_simhash,
         "op6_feistel_shards": sharding.op6_feistel_shards,
         "op7_digest_urls": urls.op7_digest_urls,
     }
