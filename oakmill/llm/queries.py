@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, mixing, packing, sharding, simhash, urls
+from . import embeddings, exactdedup, mixing, packing, quality, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bit_sliced_simhash": simhash.op5_bit_sliced_simhash,
         "op6_feistel_shards": sharding.op6_feistel_shards,
         "op7_digest_urls": urls.op7_digest_urls,
+        "op8_site_bayes": quality.op8_site_bayes,
+        "op10_projection_forest": embeddings.op10_projection_forest,
     }
 
 
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_content_sort": exactdedup.SQL,
         "op7_digest_urls": urls.SQL,
+        "op10_projection_forest": embeddings.SQL,
     }
