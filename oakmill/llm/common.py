@@ -68,6 +68,11 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Let Arrow batches of what runs next hold ``rows`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def split_words(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as UTF-8 (null: none)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exactdedup, mixing, packing, quality, sharding, simhash, urls
+from . import embeddings, exactdedup, lm, mixing, packing, quality, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_feistel_shards": sharding.op6_feistel_shards,
         "op7_digest_urls": urls.op7_digest_urls,
         "op8_site_bayes": quality.op8_site_bayes,
+        "op9_subword_lattice": lm.op9_subword_lattice,
         "op10_projection_forest": embeddings.op10_projection_forest,
     }
 
