@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exactdedup, lm, mixing, packing, quality, sharding, simhash, urls
+from . import chat, embeddings, exactdedup, lm, mixing, packing, quality, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_viterbi_chat": chat.op1_viterbi_chat,
         "op2_tournament_ffd": packing.op2_tournament_ffd,
         "op3_sainte_lague_mix": mixing.op3_sainte_lague_mix,
         "op4_content_sort": exactdedup.op4_content_sort,
