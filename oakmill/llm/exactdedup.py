@@ -138,9 +138,69 @@ def dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_
 
 
 def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = dedup(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    """One row of ``docs`` of each group of equal texts, with all its columns.
+
+    The same sort carries whole rows, so that no join brings them back.  Each
+    partition keeps its runs' first rows; of a run that goes on over several
+    partitions, the first partition's row stays.  Of rows that repeat an id and a text any one stays.
+    """
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep is smallest or largest")
+    small_batches(docs.sparkSession)
+    n = len(docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(n)])
+    at = {c: i for i, c in enumerate(docs.columns)}
+    key = F.col(f"c{at[id_col]}").cast("long")
+    key = key.asc_nulls_last() if keep == "smallest" else key.desc_nulls_last()
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+
+    def lower(batch: pa.RecordBatch) -> pa.RecordBatch:
+        norm = pc.ascii_lower(pc.fill_null(batch.column(at[text_col]), ""))
+        return pa.RecordBatch.from_arrays([*batch.columns, norm], names=[*batch.schema.names, "norm"])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, run = TaskContext.get().partitionId(), None, 0
+        held: pa.RecordBatch | None = None  # the last run's row, which may go on in the next partition
+
+        def out(rows: pa.RecordBatch, edge: list[bool]) -> pa.RecordBatch:
+            texts = [t if e else None for t, e in zip(rows.column(n).to_pylist(), edge, strict=True)]
+            return pa.RecordBatch.from_arrays(
+                [*rows.columns[:n], pa.array([part] * len(edge), pa.int32()), pa.array(texts, pa.string())],
+                names=[*rows.schema.names[:n], "part", "edge_text"],
+            )
+
+        for b in batches:
+            texts = b.column(n).to_pylist()
+            new = [i for i, t in enumerate(texts) if t != (texts[i - 1] if i else last)]
+            last = texts[-1] if texts else last
+            if not new:
+                continue
+            if held is not None:
+                yield out(held, [run == 1])
+            rows = b.take(pa.array(new[:-1], pa.int64()))
+            if rows.num_rows:
+                yield out(rows, [not run, *[False] * (len(new) - 2)])
+            run += len(new)
+            held = b.take(pa.array(new[-1:], pa.int64()))
+        if held is not None:
+            yield out(held, [True])
+
+    rows = cut_lineage(
+        map_batches(plain, lower, f"{fields}, norm string")
+        .withColumns({"head": F.substring(F.encode("norm", "utf-8"), 1, HEAD), "h": F.xxhash64("norm")})
+        .repartitionByRange("head", "h", key)
+        .sortWithinPartitions("head", "h", "norm", key)
+        .drop("head", "h")
+        .mapInArrow(firsts, f"{fields}, part int, edge_text string"),
+        "firsts",
+    )
+    owner = rows.where(F.col("edge_text").isNotNull()).groupBy("edge_text").agg(F.min("part").alias("part"))
+    late = (
+        rows.where(F.col("edge_text").isNotNull()).select("edge_text", F.col("part").alias("p"))
+        .join(owner, "edge_text").where("p > part").select("p", F.xxhash64("edge_text").alias("x"), F.col("edge_text").alias("t"))
+    )
+    stay = rows.join(F.broadcast(late), (rows["part"] == late["p"]) & (F.xxhash64("edge_text") == late["x"]) & (rows["edge_text"] == late["t"]), "left_anti")
+    return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut_lineage, documents, map_batches, small_batches
@@ -71,40 +71,60 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, fp (the fingerprint as a signed long) and text_hash (of the whole text as it is)."""
     small_batches(docs.sparkSession)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+            [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_hash"]
         )
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), f, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_hash(text_col))
+    return map_batches(rows, f, "doc_id long, fp long, text_hash long")
 
 
 PAIRS = list(itertools.combinations(range(4), 2))
 
 
 def near_lanes(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows ``i > j`` of the same bucket within the radius (at most 3), a block of pairs at a time.
+    """Pairs of rows ``i > j`` of the same bucket within the radius, a block of pairs at a time.
 
-    ``fps`` (uint64) lies bucket by bucket; ``starts`` has each bucket's first row, then the number of rows.
+    ``fps`` (uint64, a row or a row of words for each fingerprint) lies bucket
+    by bucket; ``starts`` has each bucket's first row, then the number of rows.
     """
+    fps = fps.reshape(len(fps), -1)
+    bits = 64 * fps.shape[1]
     sizes = np.diff(starts)
     per = (sizes + 63) // 64  # words of each bucket
     first = np.concatenate([[0], np.cumsum(per)])
     bucket = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(len(fps)) - np.repeat(starts[:-1], sizes)
     slot = (first[bucket] + inside // 64) * 64 + inside % 64
-    planes = np.zeros((64, int(first[-1])), np.uint64)
+    planes = np.zeros((bits, int(first[-1])), np.uint64)
     lanes = np.zeros(int(first[-1]) * 64, np.uint8)
-    for b in range(64):
-        lanes[slot] = ((fps >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
+    for b in range(bits):
+        lanes[slot] = ((fps[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.uint8)
         planes[b] = np.packbits(lanes, bitorder="little").view(np.uint64)
     row_of = np.zeros(len(lanes), np.int64)
     row_of[slot] = np.arange(len(fps))
+    none, one, full = np.uint64(0), np.uint64(1), ~np.uint64(0)
+
+    def exceeds(over: np.ndarray, counters: list[np.ndarray]) -> np.ndarray:
+        """Lanes whose count is over the radius, from the carry-out and the counters' planes."""
+        same = np.full_like(over, full)
+        for b in reversed(range(len(counters))):
+            if radius >> b & 1:
+                same &= counters[b]
+            else:
+                over = over | (same & counters[b])
+                same &= ~counters[b]
+        return over
 
     blocks = inside // 64 + 1  # a row meets the words up to its own
     ends = np.cumsum(blocks)
@@ -117,28 +137,28 @@ def near_lanes(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> Ite
         w = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         own = w == inside[i] // 64
         w = w + first[bucket[i]]
+        at = to
         # lanes that count: those before the row itself
-        over = np.where(own, ~((np.uint64(1) << (inside[i] % 64).astype(np.uint64)) - np.uint64(1)), np.uint64(0))
-        one, two = np.zeros_like(over), np.zeros_like(over)
+        over = np.where(own, ~((one << (inside[i] % 64).astype(np.uint64)) - one), none)
+        counters = [np.zeros_like(over) for _ in range(max(1, radius.bit_length()))]
         mine = fps[i]
-        for b in range(64):
-            x = planes[b][w] ^ (np.uint64(0) - ((mine >> np.uint64(b)) & np.uint64(1)))
-            carry = one & x
-            one ^= x
-            over |= two & carry
-            two ^= carry
+        for b in range(bits):
+            carry = planes[b][w] ^ (none - ((mine[:, b // 64] >> np.uint64(b % 64)) & one))
+            for c in counters:
+                both = c & carry
+                c ^= carry
+                carry = both
+            over |= carry
             if b % 8 == 7:
-                alive = (over | (one & two) if radius == 2 else over) != ~np.uint64(0)
+                alive = exceeds(over, counters) != full
                 if not alive.all():
-                    i, w, over, one, two, mine = (v[alive] for v in (i, w, over, one, two, mine))
+                    i, w, over, mine = (v[alive] for v in (i, w, over, mine))
+                    counters = [c[alive] for c in counters]
                     if not len(i):
                         break
-        at = to
         if not len(i):
             continue
-        near = ~(over | (one & two)) if radius == 2 else ~over
-        if radius < 2:
-            near &= ~two if radius else ~(one | two)
+        near = ~exceeds(over, counters)
         k, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         if len(k):
             yield i[k], row_of[w[k] * 64 + lane]
@@ -196,51 +216,59 @@ def _bucketed(classes: DataFrame) -> DataFrame:
     return small.union(deep)
 
 
-def link_forest(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a``, ``b``: links that connect all classes within the radius; ``classes`` has distinct longs ``fp``."""
-    if radius not in (0, 1, 2):
-        raise ValueError("the buckets hold for a radius of 2 or less")
+def bucket_starts(key: np.ndarray) -> np.ndarray:
+    """Each bucket's first row, then the number of rows, of rows sorted by ``key`` (a row of numbers each)."""
+    return np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]), len(key)]
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(t, key, fp):  # noqa: ANN001, ANN202
-            new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-            starts = np.r_[new, len(fp)]
-            root = forest(len(fp), near_lanes(fp, starts, radius))
-            off = np.flatnonzero(root != np.arange(len(fp)))
-            if len(off):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[off].view(np.int64)), pa.array(fp[root[off]].view(np.int64))], names=["a", "b"]
-                )
 
-        held: list[tuple] = []
+def by_bucket(
+    f: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], keys: int, rows: int = 100_000
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls ``f`` with the keys and the values of some ``rows`` sorted rows of longs, whole buckets only."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
         for b in batches:
-            if not b.num_rows:
+            held.append(np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1))
+            n += b.num_rows
+            if n < rows:
                 continue
-            cols = [b.column(k).to_numpy() for k in range(3)]
-            held.append((cols[0], cols[1], cols[2].view(np.uint64)))
-            if sum(len(h[0]) for h in held) < 200_000:
-                continue
-            t, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            # the last bucket may go on in the next batch
-            last = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1 if ((t != t[-1]) | (key != key[-1])).any() else 0
+            data = np.concatenate(held)
+            last = int(bucket_starts(data[:, :keys])[-2])  # the last bucket may go on in the next batch
             if last:
-                yield from links(t[:last], key[:last], fp[:last])
-            held = [(t[last:], key[last:], fp[last:])]
-        if held:
-            yield from links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                yield from f(data[:last, :keys], np.ascontiguousarray(data[:last, keys:]))
+            held, n = [data[last:]], len(data) - last
+        if n:
+            data = np.concatenate(held)
+            yield from f(data[:, :keys], np.ascontiguousarray(data[:, keys:]))
+
+    return over
+
+
+def link_forest(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a``, ``b``: links that connect all classes within the radius; ``classes`` has distinct longs ``fp``."""
+    if radius not in (0, 1, 2):
+        raise ValueError("the buckets hold for a radius of 2 or less")
+
+    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        root = forest(len(fp), near_lanes(fp.view(np.uint64), bucket_starts(key), radius))
+        off = np.flatnonzero(root != np.arange(len(fp)))
+        if len(off):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[off, 0]), pa.array(fp[root[off], 0])], names=["a", "b"])
 
     return (
         _bucketed(classes)
         .repartition("t", "key")
         .sortWithinPartitions("t", "key")
-        .mapInArrow(over, "a long, b long")
+        .mapInArrow(by_bucket(links, 2), "a long, b long")
     )
 
 
 def near_dedup(
     docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id for every row of ``docs``."""
+    """doc_id, fingerprint (hex), component_id and text_hash for every row of ``docs``."""
     rows = cut_lineage(fingerprints(docs, size, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(link_forest(classes.select("fp"), radius), "simhash")
@@ -250,15 +278,189 @@ def near_dedup(
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = cut_lineage(joined.join(least, "root").select("fp", "component_id"), "classes")
     return rows.join(of, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"
+    )
+
+
+# Near duplicates by similarity: a wider fingerprint, a wide radius, and a check of what was found.
+
+#: Words in a shingle, and least share of common shingles (Jaccard).
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Shingle hashes that a sketch keeps: all of them in texts of no more shingles, else the smallest ones.
+SKETCH = 400
+#: Classes in a bucket on average, and share of pairs at the threshold that meet in a bucket.
+MEET_ROWS, MEET = 256, 0.998
+TILE = 1024
+WIDE = 128
+
+
+def chance_equal(similarity: float) -> float:
+    """The chance that a SimHash bit of two texts agrees, by their Jaccard similarity."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def bands(n: int, similarity: float = SIMILARITY, seed: int = SEED) -> np.ndarray:
+    """Bits of each band's key: as many as leave ``MEET_ROWS`` classes in a bucket, and bands so that pairs meet."""
+    width = int(np.clip(np.ceil(np.log2(max(1, n) / MEET_ROWS)), 8, 48))
+    p = chance_equal(similarity) ** width
+    number = int(np.ceil(np.log(1 - MEET) / np.log(1 - p)))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(WIDE, width, replace=False) for _ in range(number)])
+
+
+def wide_radius(similarity: float = SIMILARITY) -> int:
+    """Differing bits of four standard deviations over the mean at the threshold."""
+    p = 1 - chance_equal(similarity)
+    return int(np.ceil(WIDE * p + 4 * np.sqrt(WIDE * p * (1 - p))))
+
+
+def wide_hashes(text: str | None, size: int) -> np.ndarray:
+    """128-bit hashes of a text's distinct shingles, two words each."""
+    words = text.encode("utf-8", "surrogatepass").translate(_upper).split() if text else []
+    if not words:
+        return np.empty((0, 2), np.uint64)
+    h = xxhash.xxh3_128_digest
+    data = b" ".join(words)
+    ends = list(itertools.accumulate([len(w) + 1 for w in words]))
+    tails = ends[size - 1 :] or ends[-1:]
+    digests = {h(data[a : b - 1]) for a, b in zip([0, *ends], tails)}  # noqa: B905
+    return np.frombuffer(b"".join(sorted(digests)), np.uint64).reshape(-1, 2)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    return tuple(fingerprint(np.ascontiguousarray(hashes[:, k])) for k in (0, 1))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes[:, 0] ^ hashes[:, 1]).astype(np.uint32))[:SKETCH]
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sketches: exact if both are whole, else estimated from the smallest hashes of both."""
+    both = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        both = both[:SKETCH]
+    if not len(both):
+        return 1.0
+    return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
+
+
+def similar_groups(
+    docs: DataFrame, size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, text_hash and component (a number) of every row; components join texts of at least the similarity.
+
+    Texts meet where all bits of a band agree; buckets are compared bit-sliced as
+    above (in tiles, if there are more than ``TILE`` classes).  Each class names its nearest class
+    before and after it; these links are checked on shingle sketches and joined.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+
+    def sign(b: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [wide_hashes(t, size) for t in b.column(1).to_pylist()]
+        fps = [wide_fingerprint(h) for h in hashes]
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(2), *(signed([f[k] for f in fps]) for k in (0, 1)), pa.array([sketch(h).tobytes() for h in hashes], pa.binary())],
+            names=["doc_id", "text_hash", "fp0", "fp1", "sketch"],
+        )
+
+    rows = cut_lineage(
+        map_batches(
+            docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_hash(text_col)),
+            sign, "doc_id long, text_hash long, fp0 long, fp1 long, sketch binary",
+        ),
+        "signatures",
+    )
+    # the fingerprints and the sketch are functions of the shingles: a class has equal ones
+    key = ["fp0", "fp1", "content"]
+    rows = rows.withColumn("content", F.xxhash64("sketch"))
+    classes = cut_lineage(
+        rows.groupBy(*key).agg(F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
+    chosen = bands(classes.count(), similarity)
+
+    def meet(b: pa.RecordBatch) -> pa.RecordBatch:
+        cid, fp = b.column(0), np.stack([b.column(k).to_numpy() for k in (1, 2)], 1).view(np.uint64)
+        keys = [
+            sum((((fp[:, x // 64] >> np.uint64(x % 64)) & np.uint64(1)) << np.uint64(i) for i, x in enumerate(bits.tolist())), np.zeros(len(fp), np.uint64))
+            for bits in chosen
+        ]
+        n = len(fp)
+        at = pa.array(np.tile(np.arange(n), len(chosen)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(chosen), dtype=np.int32), n)), pa.array(np.concatenate(keys).view(np.int64)), *(c.take(at) for c in b.columns)],
+            names=["band", "key", "cid", "fp0", "fp1"],
+        )
 
+    met = map_batches(classes.select("cid", "fp0", "fp1"), meet, "band int, key long, cid long, fp0 long, fp1 long")
+    counts = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    tiled = (
+        met.join(counts, ["band", "key"])
+        .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+        .withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("band", "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "cid", "fp0", "fp1")
+    )
+    radius = wide_radius(similarity)
+
+    def nearest(keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cid, fp = values[:, 0], np.ascontiguousarray(values[:, 1:]).view(np.uint64)
+        none = np.iinfo(np.int64).max
+        best = np.full((2, len(cid)), none)  # of the classes before, and after: the distance, then the row
+        for i, j in near_lanes(fp, bucket_starts(keys), radius):
+            d = np.bitwise_count(fp[i] ^ fp[j]).sum(1).astype(np.int64)
+            low, high = np.where(cid[i] < cid[j], i, j), np.where(cid[i] < cid[j], j, i)
+            np.minimum.at(best[0], high, (d << 32) | low)
+            np.minimum.at(best[1], low, (d << 32) | high)
+        for side in (0, 1):
+            at = np.flatnonzero(best[side] != none)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cid[at]), pa.array(np.full(len(at), side, np.int32)), pa.array((best[side][at] >> 32).astype(np.int32)), pa.array(cid[best[side][at] & 0xFFFFFFFF])],
+                    names=["cid", "side", "distance", "other"],
+                )
+
+    found = (
+        tiled.repartition("band", "key", "p", "q")
+        .sortWithinPartitions("band", "key", "p", "q")
+        .mapInArrow(by_bucket(nearest, 4), "cid long, side int, distance int, other long")
+        .groupBy("cid", "side")
+        .agg(F.min(F.struct("distance", "other"))["other"].alias("other"))
+        .select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+        .distinct()
+    )
+    of = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with all their columns."""
-    stay = near_dedup(docs, id_col=id_col, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    def check(b: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+        alike = [resemblance(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity for x, y in pairs]
+        return b.select(["a", "b"]).filter(pa.array(alike))
+
+    links = map_batches(
+        found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b"), check, "a long, b long"
+    )
+    roots = components(links, "similar")
+    grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select(*key, F.coalesce("root", "cid").alias("component"))
+    return rows.join(cut_lineage(grouped, "grouped"), key).select("doc_id", "text_hash", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """One document of each group of :func:`similar_groups`, that with the smallest id, with all its columns.
+
+    Rows that repeat both id and text are one document; of rows that repeat the id alone, the smallest text hash stays.
+    """
+    stay = (
+        similar_groups(docs, id_col=id_col, text_col=text_col, **options)
+        .groupBy("component")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("kept"))
+        .select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash"))
+    )
+    return docs.join(
+        stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_hash(text_col) == F.col("__hash")), "left_semi"
+    )
 
 
 def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir))
+    return near_dedup(documents(spark, sf_dir)).drop("text_hash")
