@@ -1,0 +1 @@
+"""No streaming operator exists in the surface this engine covers; tables can be read with ``spark.readStream`` as they are."""
