@@ -37,6 +37,7 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -97,60 +98,94 @@ def scores(weights: np.ndarray, pieces: list[bytes]) -> np.ndarray:
 
 
 class Lattice:
-    """Sums over segmentations of a word.  A score list has, for piece k, that of ending a word at 2 k + 1 and else at 2 k."""
+    """Sums over segmentations, for many words at once.
+
+    Pieces are the paths of a trie.  All positions of all words walk it together;
+    where a piece ends there is an edge.  Edges are taken in the order of where they end in their
+    word, so each step of the recursion is one step of all words.  Scores are
+    (2 * pieces, parts): that of piece k as the last of its word at 2 k + 1, and else at 2 k.
+    """
+
+    WORDS = 4096
 
     def __init__(self, pieces: list[bytes]) -> None:
-        # each prefix of a piece -> the piece's number, or None where no piece ends
-        self.steps: dict[bytes, int | None] = {}
-        for k, p in enumerate(pieces):
-            for i in range(1, len(p)):
-                self.steps.setdefault(p[:i], None)
-            self.steps[p] = k
-
-    def edges(self, word: bytes) -> list[list[tuple[int, int]]]:
-        """For each position of the marked word: (start, score's place) of the pieces that end there."""
-        word = MARK + word
-        n, step = len(word), self.steps.get
-        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                k = step(word[i:j], -1)
-                if k is None:
-                    continue
-                if k < 0:
-                    break
-                into[j].append((i, 2 * k + (j == n)))
-        return into
-
-    @staticmethod
-    def forward(into: list[list[tuple[int, int]]], score: list[float]) -> list[float]:
-        """Log of the summed probability of all ways to each position."""
-        exp, log = math.exp, math.log
-        alpha = [0.0] * len(into)
-        for j in range(1, len(into)):
-            terms = [alpha[i] + score[k] for i, k in into[j]]
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            else:
-                top = max(terms)
-                alpha[j] = top + log(sum([exp(t - top) for t in terms]))
-        return alpha
-
-    @classmethod
-    def expect(cls, into: list[list[tuple[int, int]]], score: list[float], count: int, total: list[float]) -> None:
-        """Add the expected uses of each score in ``count`` times the word."""
-        alpha = cls.forward(into, score)
-        exp = math.exp
-        share = [0.0] * len(into)  # segmentations with a boundary here
-        share[-1] = count
-        for j in range(len(into) - 1, 0, -1):
-            here = share[j]
-            if here:
-                base = alpha[j]
-                for i, k in into[j]:
-                    part = here * exp(alpha[i] + score[k] - base)
-                    share[i] += part
-                    total[k] += part
+        number: dict[bytes, int] = {b"": 0}
+        for p in pieces:
+            for i in range(1, len(p) + 1):
+                number.setdefault(p[:i], len(number))
+        self.next = np.zeros((len(number), 256), np.int32)
+        for p, n in number.items():
+            if p:
+                self.next[number[p[:-1]], p[-1]] = n
+        self.piece = np.full(len(number), -1, np.int32)
+        self.piece[[number[p] for p in pieces]] = np.arange(len(pieces))
+
+    def edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Start, end, score's place of all edges, where in its word each ends, and each word's last node."""
+        marked = [MARK + w for w in words]
+        sizes = np.array([len(w) for w in marked])
+        text = np.frombuffer(b"".join(marked), np.uint8)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        stop = np.cumsum(sizes)
+        first = stop - sizes
+        at = np.arange(len(text))
+        state = np.zeros(len(text), np.int32)
+        found: list[tuple[np.ndarray, ...]] = []
+        length = 0
+        while len(at):
+            state = self.next[state, text[at + length]]
+            length += 1
+            k = self.piece[state]
+            hit = np.flatnonzero((k >= 0) & (state > 0))
+            i, w = at[hit], word[hit]
+            found.append((i + w, i + w + length, 2 * k[hit] + (i + length == stop[w]), i + length - first[w]))
+            go = (state > 0) & (at + length < stop[word])
+            at, state, word = at[go], state[go], word[go]
+        start, end, place, depth = (np.concatenate([f[x] for f in found]) for x in range(4))
+        order = np.lexsort((end, depth))
+        return start[order], end[order], place[order], depth[order], stop + np.arange(len(sizes))
+
+    def forward(self, words: list[bytes], scores: np.ndarray, shares: bool = False) -> tuple:
+        """Log of each word's probability by part; with ``shares`` also what the backward steps need."""
+        start, end, place, depth, last = self.edges(words)
+        alpha = np.zeros((int(last[-1]) + 1, scores.shape[1]))
+        cuts = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True])
+        share = np.empty((len(start), scores.shape[1])) if shares else None
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ways = alpha[start[a:b]] + scores[place[a:b]]
+            node = end[a:b]
+            new = np.r_[True, node[1:] != node[:-1]]
+            seg, of = np.flatnonzero(new), np.cumsum(new) - 1
+            top = np.maximum.reduceat(ways, seg)
+            np.exp(ways - top[of], out=ways)
+            total = np.add.reduceat(ways, seg)
+            alpha[node[seg]] = top + np.log(total)
+            if shares:
+                share[a:b] = ways / total[of]
+        return (alpha[last], start, end, place, share, cuts, last) if shares else (alpha[last],)
+
+    def log_probability(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
+        """(words, parts)."""
+        own = [self.forward(words[i : i + self.WORDS], scores)[0] for i in range(0, len(words), self.WORDS)]
+        return np.concatenate(own) if own else np.empty((0, scores.shape[1]))
+
+    def expect(self, words: list[bytes], counts: np.ndarray, scores: np.ndarray, total: np.ndarray) -> None:
+        """Add to ``total`` (like ``scores``) the expected uses of each score in ``counts`` (words, parts) of the words."""
+        for i in range(0, len(words), self.WORDS):
+            _, start, end, place, share, cuts, last = self.forward(words[i : i + self.WORDS], scores, shares=True)
+            through = np.zeros((int(last[-1]) + 1, scores.shape[1]))
+            through[last] = counts[i : i + self.WORDS]
+            for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+                share[a:b] *= through[end[a:b]]
+                through[start[a:b]] += share[a:b]  # a word's edges to one place start at different ones
+            for k in range(scores.shape[1]):
+                total[:, k] += np.bincount(place, share[:, k], len(total))
+
+
+@lru_cache(maxsize=2)
+def lattice(path: str) -> Lattice:
+    """This worker's lattice of a vocabulary."""
+    return Lattice(vocabulary(path)[0])
 
 
 _BLOCK = (
@@ -259,6 +294,11 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield runs(*rest)
 
 
+def places(scored: np.ndarray) -> np.ndarray:
+    """Scores (part, piece, last or not) as a lattice takes them: (2 * pieces, parts)."""
+    return np.ascontiguousarray(scored.reshape(len(scored), -1).T)
+
+
 def fit(words: DataFrame, parts: int, path: str, iterations: int = ITERATIONS) -> np.ndarray:
     """Scores (part, piece, last or not) refitted to ``words`` (word, c by part)."""
     pieces, weights = vocabulary(path)
@@ -269,15 +309,16 @@ def fit(words: DataFrame, parts: int, path: str, iterations: int = ITERATIONS) -
         shared = spark.sparkContext.broadcast(now)
 
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            lattice, by_part = Lattice(vocabulary(path)[0]), [s.reshape(-1).tolist() for s in shared.value]
-            total = [[0.0] * len(s) for s in by_part]
+            scored = places(shared.value)
+            total = np.zeros(scored.shape)
             for b in batches:
-                for word, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    into = lattice.edges(word)
-                    for k, c in enumerate(counts):
-                        if c:
-                            lattice.expect(into, by_part[k], 1, total[k])
-            got = np.array(total).reshape(-1)
+                if not b.num_rows:
+                    continue
+                word, c = b.column(0), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                for k in range(c.shape[1]):  # few words are of several parts
+                    own = word.filter(pa.array(c[:, k] > 0)).to_pylist()
+                    lattice(path).expect(own, np.ones((len(own), 1)), scored[:, k : k + 1], total[:, k : k + 1])
+            got = total.T.reshape(-1)
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got[at])], names=["at", "n"])
 
@@ -339,14 +380,11 @@ def score(
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each block needs of a batch of words, packed: local numbers, counts, log probabilities by part."""
-        lattice, by_part = Lattice(vocabulary(path)[0]), [s.reshape(-1).tolist() for s in shared.value]
+        scored = places(shared.value)
         for b in batches:
             if not b.num_rows:
                 continue
-            spelled = np.empty((b.num_rows, parts))
-            for i, word in enumerate(b.column(0).to_pylist()):
-                into = lattice.edges(word)
-                spelled[i] = [lattice.forward(into, s)[-1] for s in by_part]
+            spelled = lattice(path).log_probability(b.column(0).to_pylist(), scored)
             c = b.column(1).flatten().to_numpy().reshape(-1, parts)
             with np.errstate(divide="ignore"):
                 log_p = np.logaddexp(unseen + spelled, np.log(whole * c)).astype(np.float32)
