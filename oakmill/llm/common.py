@@ -91,6 +91,16 @@ def map_batches(
     return df.mapInArrow(over, schema)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and what each was called by: no name can clash with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+
+def named(df: DataFrame, names: dict[str, str]) -> list[Column]:
+    """The columns of :func:`numbered` under their names."""
+    return [df[c].alias(n) for n, c in names.items()]
+
+
 def hash_bucket(n: int, seed: int, *cols: Column | str) -> Column:
     """A reproducible bucket in ``[0, n)`` for the values of ``cols``."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(n)).cast("int")

@@ -28,12 +28,13 @@ import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents, map_batches, small_batches, split_words
+from .common import cut_lineage, documents, map_batches, named, numbered, small_batches, split_words
 
 BLOCK = 32
 MOST_REPEATS = 3
@@ -197,22 +198,21 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     small_batches(docs.sparkSession)
-    take = mix(docs, **options).where("taken > 0").select(
-        F.col("doc_id").alias("__doc"), F.col("size").alias("__size"), F.col("taken").alias("__taken")
-    )
+    take = mix(docs, **options).where("taken > 0").select("doc_id", "size", "taken")
     # words of each row: the size as often as it goes into what is taken, then the rest
     parts = F.transform(
-        F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int")),
-        lambda k: F.least(F.col("__size"), F.col("__taken") - (k - 1) * F.col("__size")),
+        F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")),
+        lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")),
     )
     cut = F.pandas_udf(
-        lambda t, n, z: t.where(n == z, [first_words(a, int(b)) if b < c else a for a, b, c in zip(t, n, z, strict=True)]),
-        "string",
+        lambda t, n: pd.Series([first_words(a, int(b)) for a, b in zip(t, n, strict=True)]), "string"
     )
-    out = docs.join(take, F.col(id_col) == F.col("__doc")).withColumn("__words", F.explode(parts))
-    whole = out.where("__words = __size")
-    part = out.where("__words < __size").withColumn(text_col, cut(F.col(text_col), F.col("__words"), F.col("__size")))
-    return whole.select(*docs.columns).union(part.select(*docs.columns))
+    plain, names = numbered(docs)
+    text = names[text_col]
+    out = plain.join(take, plain[names[id_col]] == take["doc_id"]).withColumn("words", F.explode(parts))
+    whole = out.where("words = size")
+    part = out.where("words < size").withColumn(text, cut(F.col(text), F.col("words")))
+    return whole.select(*named(whole, names)).union(part.select(*named(part, names)))
 
 
 def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents, small_batches
+from .common import cut_lineage, documents, named, numbered, small_batches
 
 TRAIN_ROWS = 20_000
 REJECT = 0.5
@@ -88,20 +88,21 @@ class Logistic:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         train_rows: int = TRAIN_ROWS) -> Logistic | None:
     """The classifier, from about ``train_rows`` labelled documents; None where labels are of one kind."""
-    rows = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).where("__id is not null and __y is not null")
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     every = max(1, round(rows.count() / train_rows))
-    some = rows.where(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0)
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
     measure = F.pandas_udf(lambda t: pd.Series([features(x) for x in t]), "array<double>")
     got = (
-        docs.join(F.broadcast(some), F.col(id_col) == F.col("__id"))
-        .select("__id", measure(F.col(text_col).cast("string")).alias("x"), "__y")
-        .orderBy("__id", "__y", "x")
+        docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+        .join(F.broadcast(some), F.col("doc") == F.col("id"))
+        .select("id", measure("text").alias("x"), "y")
+        .orderBy("id", "y", "x")
         .collect()
     )
-    y = np.array([float(r["__y"] > 0) for r in got])
+    y = np.array([float(r["y"] > 0) for r in got])
     if not len(y) or y.min() == y.max():
         return None
-    return Logistic(np.array([r.x for r in got]), y)
+    return Logistic(np.array([r["x"] for r in got]), y)
 
 
 def _logit(p):  # noqa: ANN001, ANN202
@@ -134,38 +135,45 @@ def judge(
         lambda t: pd.Series(model.log_odds(np.array([features(x) for x in t])) - base if len(t) and model else np.zeros(len(t))),
         "double",
     )
-    made = ["oak_evidence", "oak_site", "oak_posterior", "oak_kept"]
-    own = docs.drop(*made).withColumn("oak_evidence", score(F.col(text_col).cast("string")))
-    p = 1 / (1 + F.exp(-(F.col("oak_evidence") + F.lit(base))))
+    plain, names = numbered(docs)
+    host, path = names[host_col], names[path_col]
+    own = plain.withColumn("evidence", score(F.col(names[text_col]).cast("string")))
+    p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(base))))
     paths = cut_lineage(
-        own.groupBy(F.col(host_col).alias("oak_host"), F.col(path_col).alias("oak_path")).agg(
+        own.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(
             F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")
         ),
         "sites",
     )
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = total.s / total.n if total.n else 0.5
-    hosts = paths.groupBy("oak_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).withColumn("mean", F.lit(mean))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).withColumn("mean", F.lit(mean))
     strong = spread(hosts, "mean")
-    hosts = hosts.select(F.col("oak_host").alias("h"), ((F.lit(strong * mean) + F.col("s")) / (strong + F.col("n"))).alias("host_mean"))
-    sites = paths.join(hosts, F.col("oak_host").eqNullSafe(F.col("h"))).drop("h")
+    hosts = hosts.select(F.col("host").alias("h"), ((F.lit(strong * mean) + F.col("s")) / (strong + F.col("n"))).alias("host_mean"))
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     below = spread(sites, "host_mean")
-    sites = sites.select(
-        "oak_host", "oak_path", (F.lit(below) * F.col("host_mean") + F.col("s")).alias("oak_s"), (F.lit(below) + F.col("n")).alias("oak_n")
-    )
-    site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col("oak_s") - p) / (F.col("oak_n") - 1)))
-    return (
-        own.join(sites, F.col(host_col).eqNullSafe(F.col("oak_host")) & F.col(path_col).eqNullSafe(F.col("oak_path")))
-        .withColumn("oak_site", site)
-        .withColumn("oak_posterior", 1 / (1 + F.exp(-(F.col("oak_evidence") + _logit(F.col("oak_site"))))))
-        .withColumn("oak_kept", F.col("oak_posterior") >= F.lit(reject) if model else F.lit(True))
-        .select(*[c for c in docs.columns if c not in made], *made)
+    sites = sites.select("host", "path", (F.lit(below) * F.col("host_mean") + F.col("s")).alias("s"), (F.lit(below) + F.col("n")).alias("n"))
+    site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col("s") - p) / (F.col("n") - 1)))
+    out = (
+        own.join(sites, F.col(host).eqNullSafe(F.col("host")) & F.col(path).eqNullSafe(F.col("path")))
+        .withColumn("site", site)
+        .withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("site"))))))
+        .withColumn("kept", F.col("posterior") >= F.lit(reject) if model else F.lit(True))
     )
+    made = {f"oak_{c}": c for c in ("evidence", "site", "posterior", "kept")}
+    return out.select(*named(out, names | made))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    return judge(docs, labels, **options).where("oak_kept").select(*docs.columns)
+    plain, names = numbered(docs)
+    used = {k: options.pop(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source"), ("path_col", "lang"))}
+    judged = judge(plain, _renamed(labels, used["id_col"], names), **{k: names[v] for k, v in used.items()}, **options)
+    return judged.where("oak_kept").select(*named(judged, names))
+
+
+def _renamed(labels: DataFrame, id_col: str, names: dict[str, str]) -> DataFrame:
+    return labels.withColumnRenamed(id_col, names[id_col])
 
 
 def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

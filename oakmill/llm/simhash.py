@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, documents, map_batches, small_batches
+from .common import components, cut_lineage, documents, map_batches, named, numbered, small_batches
 
 SHINGLE = 3
 SEED = 42
@@ -455,11 +455,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         similar_groups(docs, id_col=id_col, text_col=text_col, **options)
         .groupBy("component")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("kept"))
-        .select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash"))
+        .select("kept.doc_id", "kept.text_hash")
     )
-    return docs.join(
-        stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_hash(text_col) == F.col("__hash")), "left_semi"
+    plain, names = numbered(docs)
+    out = plain.join(
+        stay,
+        plain[names[id_col]].cast("long").eqNullSafe(stay["doc_id"]) & (text_hash(names[text_col]) == stay["text_hash"]),
+        "left_semi",
     )
+    return out.select(*named(out, names))
 
 
 def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
