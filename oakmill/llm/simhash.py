@@ -287,11 +287,13 @@ def near_dedup(
 #: Words in a shingle, and least share of common shingles (Jaccard).
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingle hashes that a sketch keeps: all of them in texts of no more shingles, else the smallest ones.
-SKETCH = 400
+SKETCH = 800
 #: Classes in a bucket on average, and share of pairs at the threshold that meet in a bucket.
 MEET_ROWS, MEET = 256, 0.998
 TILE = 1024
 WIDE = 128
+#: Links checked for each class, to classes before and after it each; a bucket offers its nearest.
+NEAREST = 4
 
 
 def chance_equal(similarity: float) -> float:
@@ -351,8 +353,8 @@ def similar_groups(
     """doc_id, text_hash and component (a number) of every row; components join texts of at least the similarity.
 
     Texts meet where all bits of a band agree; buckets are compared bit-sliced as
-    above (in tiles, if there are more than ``TILE`` classes).  Each class names its nearest class
-    before and after it; these links are checked on shingle sketches and joined.
+    above (in tiles, if there are more than ``TILE`` classes).  Each bucket names each class's nearest
+    before and after it; the ``NEAREST`` of these are checked on shingle sketches and joined.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -377,7 +379,10 @@ def similar_groups(
     key = ["fp0", "fp1", "content"]
     rows = rows.withColumn("content", F.xxhash64("sketch"))
     classes = cut_lineage(
-        rows.groupBy(*key).agg(F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "classes"
+        rows.groupBy(*key)
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+        .withColumn("cid", F.monotonically_increasing_id()),
+        "classes",
     )
     chosen = bands(classes.count(), similarity)
 
@@ -427,11 +432,17 @@ def similar_groups(
         .sortWithinPartitions("band", "key", "p", "q")
         .mapInArrow(by_bucket(nearest, 4), "cid long, side int, distance int, other long")
         .groupBy("cid", "side")
-        .agg(F.min(F.struct("distance", "other"))["other"].alias("other"))
+        .agg(F.slice(F.sort_array(F.collect_set(F.struct("distance", "other"))), 1, NEAREST).alias("nearest"))
+        .select("cid", F.explode("nearest.other").alias("other"))
         .select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
         .distinct()
     )
-    of = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    found = cut_lineage(found, "found")
+    ends = found.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    reps = cut_lineage(classes.join(ends, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("t")), "reps")
+    of_rep = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    sketches = cut_lineage(rows.join(reps, of_rep).select("cid", "sketch").dropDuplicates(["cid"]), "sketches")
+    of = lambda c: sketches.select(F.col("cid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
         pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
