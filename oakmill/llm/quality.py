@@ -152,7 +152,11 @@ def judge(
     hosts = hosts.select(F.col("host").alias("h"), ((F.lit(strong * mean) + F.col("s")) / (strong + F.col("n"))).alias("host_mean"))
     sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     below = spread(sites, "host_mean")
-    sites = sites.select("host", "path", (F.lit(below) * F.col("host_mean") + F.col("s")).alias("s"), (F.lit(below) + F.col("n")).alias("n"))
+    # written, so that its size is known when the join is planned: a small table is broadcast and no text is shuffled
+    sites = cut_lineage(
+        sites.select("host", "path", (F.lit(below) * F.col("host_mean") + F.col("s")).alias("s"), (F.lit(below) + F.col("n")).alias("n")),
+        "posteriors",
+    )
     site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col("s") - p) / (F.col("n") - 1)))
     out = (
         own.join(sites, F.col(host).eqNullSafe(F.col("host")) & F.col(path).eqNullSafe(F.col("path")))
