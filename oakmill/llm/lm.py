@@ -51,7 +51,7 @@ from .common import arrow_rows, cut_lineage, documents
 
 VOCABULARY = "piece_bpe_32k.model"
 ITERATIONS = 3
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 SMOOTHING = 0.02
 MOST_PARTS = 8
 FOLDS, HELD_OUT = 5, 1
@@ -106,14 +106,14 @@ class Lattice:
     (2 * pieces, parts): that of piece k as the last of its word at 2 k + 1, and else at 2 k.
     """
 
-    WORDS = 4096
+    WORDS = 2048
 
     def __init__(self, pieces: list[bytes]) -> None:
         number: dict[bytes, int] = {b"": 0}
         for p in pieces:
             for i in range(1, len(p) + 1):
                 number.setdefault(p[:i], len(number))
-        self.next = np.zeros((len(number), 256), np.int32)
+        self.next = np.zeros((len(number), 256), np.uint16 if len(number) < 1 << 16 else np.int32)
         for p, n in number.items():
             if p:
                 self.next[number[p[:-1]], p[-1]] = n
@@ -129,7 +129,7 @@ class Lattice:
         stop = np.cumsum(sizes)
         first = stop - sizes
         at = np.arange(len(text))
-        state = np.zeros(len(text), np.int32)
+        state = np.zeros(len(text), self.next.dtype)
         found: list[tuple[np.ndarray, ...]] = []
         length = 0
         while len(at):
@@ -253,6 +253,7 @@ def blocks_of(docs: DataFrame, parts: dict[str | None, int], most: int) -> DataF
                     block = Block(at, most)
         if block.ids:
             yield block.row()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(gather, _BLOCK)
 
@@ -322,7 +323,7 @@ def fit(words: DataFrame, parts: int, path: str, iterations: int = ITERATIONS) -
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got[at])], names=["at", "n"])
 
-        arrow_rows(spark, 10_000)
+        arrow_rows(spark, 8000)
         rows = known.mapInArrow(expected, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
         if not rows:
             break
@@ -350,7 +351,7 @@ def score(
     parts = max(1, len(common))
     arrow_rows(spark, 1000)
     blocks = cut_lineage(blocks_of(rows, numbers, parts), "blocks")
-    arrow_rows(spark, 20_000)
+    arrow_rows(spark, 8000)
     words = cut_lineage(
         blocks.select("block", F.posexplode(F.arrays_zip("words", "train")))
         .select("col.words", "col.train", F.struct("block", F.col("pos").alias("local")).alias("place"))
@@ -400,6 +401,7 @@ def score(
                 [pa.array(block[at]), *(pa.array([o[k] for o in out], pa.binary()) for k in range(3))],
                 names=["block", "local", "c", "log_p"],
             )
+        pa.default_memory_pool().release_unused()
 
     values = words.mapInArrow(spell, "block long, local binary, c binary, log_p binary")
     below = math.log10(total + 0.5 * (distinct + 1))
