@@ -14,6 +14,8 @@ from ..sources.docfile import newest
 LEVELS = ("READ_UNCOMMITTED", "READ_COMMITTED", "REPEATABLE_READ", "SERIALIZABLE")
 #: Distinct keys that a log's memory table holds before it becomes a run.
 MEMTABLE_KEYS = 5
+#: Log numbers that are ranked in one task.
+SPAN = 1 << 20
 
 
 def upsert(index: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -158,15 +160,22 @@ def wal_replay(log: DataFrame, lsn: str = "lsn", tx: str = "tx_id", kind: str =
     """Inserts and deletes of committed transactions, with ``replay_rank``.
 
     A commit counts even if there is a rollback as well.  Transactions follow
-    each other by their first operation, their operations by lsn.  The rank
-    is made of two sums that each need one transaction or one row a transaction only.
+    each other by their first operation, their operations by lsn.  The rank is
+    the sum of the operations of earlier spans of ``SPAN`` numbers, of earlier
+    transactions in the span, and of the place in the transaction: as numbers are unique, no
+    window sees more than a span, a transaction, or one row a span.
     """
     ops = log.where(F.col(kind).isin("insert", "delete"))
     done = log.where(F.col(kind) == "commit").select(F.col(tx).alias("__tx")).distinct()
     kept = ops.join(done, F.col(tx) == F.col("__tx"), "left_semi")
     firsts = kept.groupBy(tx).agg(F.min(lsn).alias("__first"), F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = firsts.select(F.col(tx).alias("__t"), before.alias("__before"))
+    firsts = firsts.withColumn("__span", F.floor(F.col("__first") / F.lit(SPAN)))
+    spans = firsts.groupBy("__span").agg(F.sum("__n").alias("__of_span"))
+    earlier = F.coalesce(F.sum("__of_span").over(W.orderBy("__span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    in_span = F.sum("__n").over(W.partitionBy("__span").orderBy("__first").rowsBetween(W.unboundedPreceding, -1))
+    starts = firsts.join(spans.select("__span", earlier.alias("__earlier")), "__span").select(
+        F.col(tx).alias("__t"), (F.col("__earlier") + F.coalesce(in_span, F.lit(0))).alias("__before")
+    )
     within = F.row_number().over(W.partitionBy(tx).orderBy(lsn))
     return (
         kept.join(starts, F.col(tx) == F.col("__t"))

@@ -79,11 +79,18 @@ def next_id(docs: DataFrame, key: str = "doc_id") -> int:
 
 
 def append(docs: DataFrame, payloads: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with the rows of ``payloads`` (json), which get the next ids in their order."""
+    """``docs`` with the rows of ``payloads`` (json), which get the next ids in their order.
+
+    Spark numbers rows consecutively within a partition; only the partitions' counts are summed up.
+    """
     first = next_id(docs, key)
-    numbered = payloads.withColumn("__at", F.monotonically_increasing_id())
-    n = F.row_number().over(W.orderBy("__at")) - 1 + F.lit(first)
-    return docs.union(numbered.select(n.cast(docs.schema[key].dataType).alias(key), "json"))
+    at = payloads.select("json", F.monotonically_increasing_id().alias("at"))
+    at = at.select("json", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    counts = at.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    new = at.join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    number = F.col("before") + F.col("row") + F.lit(first)
+    return docs.union(new.select(number.cast(docs.schema[key].dataType).alias(key), "json"))
 
 
 def without(docs: DataFrame, gone: Column) -> DataFrame:

@@ -170,3 +170,10 @@ def test_document_store(spark, tmp_path):
 def test_newest_is_last(spark, rows):
     df = spark.createDataFrame([(k, i, v) for i, (k, v) in enumerate(rows)], "k int, i int, v int")
     assert {r.k: r.v for r in docfile.newest(df, "k", ["i"]).collect()} == dict(rows)
+
+
+def test_append_numbers_rows_in_order(spark):
+    docs = spark.createDataFrame([(4, "x")], "doc_id long, json string")
+    payloads = spark.range(100).repartition(5).sortWithinPartitions("id").select(F.col("id").cast("string").alias("json"))
+    got = docfile.append(docs, payloads).collect()
+    assert sorted(r.doc_id for r in got) == [4, *range(5, 105)]

@@ -99,3 +99,13 @@ def test_wal(spark, tmp_path):
     again.truncate()
     assert again.replay().count() == 0
     assert again.insert(10, 1, "z") == last + 1
+
+
+def test_replay_ranks_span_by_span(spark, monkeypatch):
+    rows = [(i, i % 7, "commit" if i > 90 else "insert", i) for i in range(98)]
+    log = spark.createDataFrame(rows, "lsn long, tx_id long, kind string, doc_id long")
+    want = [r.lsn for r in v.wal_replay(log).orderBy("replay_rank").collect()]
+    assert want == sorted(range(91), key=lambda i: (i % 7, i))
+    monkeypatch.setattr(v, "SPAN", 3)
+    got = v.wal_replay(log).orderBy("replay_rank").collect()
+    assert [r.lsn for r in got] == want and [r.replay_rank for r in got] == list(range(1, 92))
