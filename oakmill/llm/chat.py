@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -185,8 +186,8 @@ def _count(codes: list[list[int]], known: list[int], before: int | None, first:
     return np.concatenate([first_n, turn, opening, further]).tolist()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (id, turn, marker, text) to chunks, one a batch."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (id, turn, marker, text) to chunks of ``most`` rows, one a batch."""
     part, no = TaskContext.get().partitionId(), 0
     now: int | None = None
     rows: list[tuple] = []
@@ -203,7 +204,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, turn, marker, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             other = started and i != now
-            if rows and (other or len(rows) >= CHUNK_ROWS or size >= CHUNK_BYTES):
+            if rows and (other or len(rows) >= most or size >= CHUNK_BYTES):
                 out = chunk(goes_on or not other)
                 yield out
                 before = out.column(7)[0].as_py()[-1] if not other else None
@@ -248,7 +249,8 @@ def turns_of(text: str | None, states: list[int]) -> Iterator[tuple[str, str]]:
 
 
 def parse(
-    rows: DataFrame, id_col: str = "conv_id", turn_col: str | None = "turn", marker_col: str | None = "role", text_col: str = "text"
+    rows: DataFrame, id_col: str = "conv_id", turn_col: str | None = "turn", marker_col: str | None = "role", text_col: str = "text",
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The turns of all transcripts: conv_id, turn, part (number in its row), role, text, rendered."""
     spark = rows.sparkSession
@@ -264,7 +266,7 @@ def parse(
         .repartitionByRange("id", "turn", "marker", "h")
         .sortWithinPartitions("id", "turn", "marker", "h", "text")
         .drop("h")
-        .mapInArrow(_chunks, _CHUNK),
+        .mapInArrow(partial(_chunks, most=chunk_rows), _CHUNK),
         "chunks",
     )
     total = chunks.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()

@@ -101,11 +101,6 @@ def named(df: DataFrame, names: dict[str, str]) -> list[Column]:
     return [df[c].alias(n) for n, c in names.items()]
 
 
-def hash_bucket(n: int, seed: int, *cols: Column | str) -> Column:
-    """A reproducible bucket in ``[0, n)`` for the values of ``cols``."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(n)).cast("int")
-
-
 def components(edges: DataFrame, what: str = "links") -> DataFrame:
     """Connected components of an undirected graph.
 

@@ -59,19 +59,17 @@ def test_raw_transcripts(spark):
     assert collections.Counter(r.conv_id for r in got) == {1: 5, 2: 1, 3: 1, 4: 1}
 
 
-def test_chunks_give_the_whole_viterbi_path(spark, monkeypatch):
+def test_chunks_give_the_whole_viterbi_path(spark):
     """A transcript in many chunks and partitions is decoded as if it were in one."""
     rng = random.Random(5)
     roles = [None, None, "user", "assistant", "system", "who"]
     rows = [(7, t, rng.choice(roles), "a?" if t % 2 else "text\nuser: b") for t in range(300)]
     rows += [(None, None, "user", "x"), (7, 5, "user", "tie"), (7, 5, "user", "tie"), (8, None, None, "y")]
     want = sorted(map(tuple, chat.parse(talk(spark, rows)).select("conv_id", "turn", "part", "role", "text").collect()), key=repr)
-    monkeypatch.setattr(chat, "CHUNK_ROWS", 3)
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
-        got = chat.parse(talk(spark, rows).repartition(5)).select("conv_id", "turn", "part", "role", "text")
-        # the function that makes chunks runs in workers: hand it the smaller bound there
-        got = sorted(map(tuple, got.collect()), key=repr)
+        parsed = chat.parse(talk(spark, rows).repartition(5), chunk_rows=3).select("conv_id", "turn", "part", "role", "text")
+        got = sorted(map(tuple, parsed.collect()), key=repr)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == want
