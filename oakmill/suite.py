@@ -185,10 +185,9 @@ def join_nested_loop(s: SparkSession, d: str) -> DataFrame:
     return joins.join(table(s, d, "nation"), "n_regionkey", table(s, d, "region"), "r_regionkey", ["n_name", "r_name"], "nested_loop")
 
 
-@shows("SELECT c_name, o_orderkey FROM customer JOIN orders ON c_custkey IS NOT DISTINCT FROM o_custkey WHERE c_custkey BETWEEN 1 AND 5")
+@shows("SELECT n_name, c_custkey FROM nation JOIN customer ON n_nationkey IS NOT DISTINCT FROM c_nationkey")
 def join_index_nl(s: SparkSession, d: str) -> DataFrame:
-    few = table(s, d, "customer").where("c_custkey BETWEEN 1 AND 5")
-    return joins.join(few, "c_custkey", orders(s, d), "o_custkey", ["c_name", "o_orderkey"], "index")
+    return joins.join(table(s, d, "nation"), "n_nationkey", table(s, d, "customer"), "c_nationkey", ["n_name", "c_custkey"], "index")
 
 
 def _null_keys(strategy: str) -> Query:
@@ -525,10 +524,10 @@ def index_upsert(s: SparkSession, d: str) -> DataFrame:
     return versions.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id")
 
 
-@shows("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 1 AND 100 AND o_orderkey % 7 <> 0")
+@shows("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'")
 def index_delete(s: SparkSession, d: str) -> DataFrame:
-    o = orders(s, d).select("o_orderkey", "o_custkey").where("o_orderkey BETWEEN 1 AND 100")
-    return versions.remove(o, "o_orderkey", o.where("o_orderkey % 7 = 0"))
+    o = orders(s, d)
+    return versions.remove(o.select("o_orderkey", "o_custkey"), "o_orderkey", query.select(o, "o_orderstatus", "F", ["o_orderkey"]))
 
 
 def lsm_log(s: SparkSession, d: str) -> DataFrame:
