@@ -288,8 +288,8 @@ def near_dedup(
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingle hashes that a sketch keeps: all of them in texts of no more shingles, else the smallest ones.
 SKETCH = 800
-#: Classes in a bucket on average, and share of pairs at the threshold that meet in a bucket.
-MEET_ROWS, MEET = 256, 0.998
+#: MinHashes in a band's key, and share of pairs at the threshold that meet in a band.
+BAND_HASHES, MEET = 4, 0.9999
 TILE = 1024
 WIDE = 128
 #: Links checked for each class, to classes before and after it each; a bucket offers its nearest.
@@ -301,13 +301,23 @@ def chance_equal(similarity: float) -> float:
     return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
-def bands(n: int, similarity: float = SIMILARITY, seed: int = SEED) -> np.ndarray:
-    """Bits of each band's key: as many as leave ``MEET_ROWS`` classes in a bucket, and bands so that pairs meet."""
-    width = int(np.clip(np.ceil(np.log2(max(1, n) / MEET_ROWS)), 8, 48))
-    p = chance_equal(similarity) ** width
-    number = int(np.ceil(np.log(1 - MEET) / np.log(1 - p)))
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(WIDE, width, replace=False) for _ in range(number)])
+def bands(similarity: float = SIMILARITY, seed: int = SEED) -> np.ndarray:
+    """Odd multipliers, a row a band.  Each MinHash is drawn anew and agrees with chance ``similarity``, so that
+    the share of pairs that meet depends neither on other bands nor on the size of the table."""
+    number = int(np.ceil(np.log(1 - MEET) / np.log(1 - similarity**BAND_HASHES)))
+    return np.random.default_rng(seed).integers(0, 2**63, (number, BAND_HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """A key for each band of ``chosen``: its MinHashes of a text's shingles, mixed."""
+    least = np.full(chosen.size, ~np.uint64(0))
+    for k in range(0, len(hashes), 4096):
+        np.minimum(least, (chosen.reshape(-1, 1) * hashes[k : k + 4096, 0]).min(1), out=least)
+    key = np.zeros(len(chosen), np.uint64)
+    for m in least.reshape(chosen.shape).T:
+        key = (key ^ m) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def wide_radius(similarity: float = SIMILARITY) -> int:
@@ -352,54 +362,43 @@ def similar_groups(
 ) -> DataFrame:
     """doc_id, text_hash and component (a number) of every row; components join texts of at least the similarity.
 
-    Texts meet where all bits of a band agree; buckets are compared bit-sliced as
+    Texts meet where all MinHashes of a band agree; buckets are compared bit-sliced as
     above (in tiles, if there are more than ``TILE`` classes).  Each bucket names each class's nearest
     before and after it; the ``NEAREST`` of these are checked on shingle sketches and joined.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    chosen, radius = bands(similarity), wide_radius(similarity)
     signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [wide_hashes(t, size) for t in b.column(1).to_pylist()]
         fps = [wide_fingerprint(h) for h in hashes]
         return pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), *(signed([f[k] for f in fps]) for k in (0, 1)), pa.array([sketch(h).tobytes() for h in hashes], pa.binary())],
-            names=["doc_id", "text_hash", "fp0", "fp1", "sketch"],
+            [
+                b.column(0), b.column(2), *(signed([f[k] for f in fps]) for k in (0, 1)),
+                pa.array([band_keys(h, chosen) for h in hashes], pa.list_(pa.int64())), pa.array([sketch(h).tobytes() for h in hashes], pa.binary()),
+            ],
+            names=["doc_id", "text_hash", "fp0", "fp1", "keys", "sketch"],
         )
 
     rows = cut_lineage(
         map_batches(
             docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_hash(text_col)),
-            sign, "doc_id long, text_hash long, fp0 long, fp1 long, sketch binary",
+            sign, "doc_id long, text_hash long, fp0 long, fp1 long, keys array<long>, sketch binary",
         ),
         "signatures",
     )
-    # the fingerprints and the sketch are functions of the shingles: a class has equal ones
+    # the fingerprints, the keys and the sketch are functions of the shingles: a class has equal ones
     key = ["fp0", "fp1", "content"]
     rows = rows.withColumn("content", F.xxhash64("sketch"))
     classes = cut_lineage(
         rows.groupBy(*key)
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+        .agg(F.min(F.struct("doc_id", "text_hash", "keys", F.length("sketch").alias("bytes"))).alias("rep"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    chosen = bands(classes.count(), similarity)
-
-    def meet(b: pa.RecordBatch) -> pa.RecordBatch:
-        cid, fp = b.column(0), np.stack([b.column(k).to_numpy() for k in (1, 2)], 1).view(np.uint64)
-        keys = [
-            sum((((fp[:, x // 64] >> np.uint64(x % 64)) & np.uint64(1)) << np.uint64(i) for i, x in enumerate(bits.tolist())), np.zeros(len(fp), np.uint64))
-            for bits in chosen
-        ]
-        n = len(fp)
-        at = pa.array(np.tile(np.arange(n), len(chosen)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(len(chosen), dtype=np.int32), n)), pa.array(np.concatenate(keys).view(np.int64)), *(c.take(at) for c in b.columns)],
-            names=["band", "key", "cid", "fp0", "fp1"],
-        )
-
-    met = map_batches(classes.select("cid", "fp0", "fp1"), meet, "band int, key long, cid long, fp0 long, fp1 long")
+    met = classes.select("cid", "fp0", "fp1", F.posexplode("rep.keys").alias("band", "key"))
     counts = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     tiled = (
         met.join(counts, ["band", "key"])
@@ -408,7 +407,6 @@ def similar_groups(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("band", "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "cid", "fp0", "fp1")
     )
-    radius = wide_radius(similarity)
 
     def nearest(keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         cid, fp = values[:, 0], np.ascontiguousarray(values[:, 1:]).view(np.uint64)
@@ -423,25 +421,28 @@ def similar_groups(
             at = np.flatnonzero(best[side] != none)
             if len(at):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid[at]), pa.array(np.full(len(at), side, np.int32)), pa.array((best[side][at] >> 32).astype(np.int32)), pa.array(cid[best[side][at] & 0xFFFFFFFF])],
-                    names=["cid", "side", "distance", "other"],
+                    [pa.array(keys[at, 0].astype(np.int32)), pa.array(keys[at, 1]), pa.array(cid[at]), pa.array(np.full(len(at), side, np.int32)), pa.array((best[side][at] >> 32).astype(np.int32)), pa.array(cid[best[side][at] & 0xFFFFFFFF])],
+                    names=["band", "key", "cid", "side", "distance", "other"],
                 )
 
-    found = (
+    near = cut_lineage(
         tiled.repartition("band", "key", "p", "q")
         .sortWithinPartitions("band", "key", "p", "q")
-        .mapInArrow(by_bucket(nearest, 4), "cid long, side int, distance int, other long")
-        .groupBy("cid", "side")
+        .mapInArrow(by_bucket(nearest, 4), "band int, key long, cid long, side int, distance int, other long"),
+        "near",
+    )
+    found = cut_lineage(
+        near.groupBy("cid", "side")
         .agg(F.slice(F.sort_array(F.collect_set(F.struct("distance", "other"))), 1, NEAREST).alias("nearest"))
         .select("cid", F.explode("nearest.other").alias("other"))
         .select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-        .distinct()
+        .distinct(),
+        "found",
     )
-    found = cut_lineage(found, "found")
-    ends = found.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ends = near.select("cid").distinct()
     reps = cut_lineage(classes.join(ends, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("t")), "reps")
     of_rep = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-    sketches = cut_lineage(rows.join(reps, of_rep).select("cid", "sketch").dropDuplicates(["cid"]), "sketches")
+    sketches = cut_lineage(rows.join(reps, of_rep).select("cid", "fp0", "fp1", "keys", "sketch").dropDuplicates(["cid"]), "sketches")
     of = lambda c: sketches.select(F.col("cid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -453,7 +454,10 @@ def similar_groups(
         found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b"), check, "a long, b long"
     )
     roots = components(links, "similar")
-    grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select(*key, F.coalesce("root", "cid").alias("component"))
+    sides = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", *key, "rep.bytes", F.coalesce("root", "cid").alias("root"))
+    sides = cut_lineage(sides, "sides")
+
+    grouped = sides.select(*key, F.col("root").alias("component"))
     return rows.join(cut_lineage(grouped, "grouped"), key).select("doc_id", "text_hash", "component")
 
 

@@ -161,6 +161,17 @@ def test_similar(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(at.values()))
 
 
+def test_bands_meet_at_the_threshold():
+    """Pairs at 0.8 meet in a band with the chance that MEET names; nothing in it depends on the number of texts."""
+    rng = np.random.default_rng(3)
+    chosen, met = simhash.bands(), 0
+    for _ in range(3000):
+        h = rng.integers(0, 2**63, (360, 2), dtype=np.uint64) << np.uint64(1)
+        a, b = h[:324], np.r_[h[:288], h[324:]]
+        met += (simhash.band_keys(a, chosen) == simhash.band_keys(b, chosen)).any()
+    assert met >= 2997
+
+
 def test_empty(spark):
     docs = table(spark, [])
     assert exactdedup.dedup(docs).count() == 0 and exactdedup.keep_one(docs).count() == 0
