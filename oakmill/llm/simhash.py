@@ -286,8 +286,6 @@ def near_dedup(
 
 #: Words in a shingle, and least share of common shingles (Jaccard).
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Shingle hashes that a sketch keeps: all of them in texts of no more shingles, else the smallest ones.
-SKETCH = 800
 #: MinHashes in a band's key, and share of pairs at the threshold that meet in a band.
 BAND_HASHES, MEET = 4, 0.9999
 TILE = 1024
@@ -344,17 +342,15 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    return np.unique((hashes[:, 0] ^ hashes[:, 1]).astype(np.uint32))[:SKETCH]
+    """32-bit hashes of all shingles."""
+    return np.unique((hashes[:, 0] ^ hashes[:, 1]).astype(np.uint32))
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sketches: exact if both are whole, else estimated from the smallest hashes of both."""
-    both = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        both = both[:SKETCH]
-    if not len(both):
-        return 1.0
-    return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
+    """Jaccard similarity of two whole sketches."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    both = len(a) + len(b) - common
+    return common / both if both else 1.0
 
 
 def similar_groups(
@@ -364,7 +360,7 @@ def similar_groups(
 
     Texts meet where all MinHashes of a band agree; buckets are compared bit-sliced as
     above (in tiles, if there are more than ``TILE`` classes).  Each bucket names each class's nearest
-    before and after it; the ``NEAREST`` of these are checked on shingle sketches and joined.
+    before and after it; the ``NEAREST`` of these are checked on whole shingle sets and joined.
     """
     spark = docs.sparkSession
     small_batches(spark)

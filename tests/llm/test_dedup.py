@@ -161,6 +161,18 @@ def test_similar(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(at.values()))
 
 
+def kept_by_brute_force(rows):
+    sets = [set(map(tuple, simhash.wide_hashes(t, 5).tolist())) for _, t in rows]
+    links = []
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common / (len(sets[a]) + len(sets[b]) - common) >= 0.8:
+                links.append((a, b))
+    at = merged(range(len(rows)), links)
+    return sorted(rows[i][0] for i in set(at.values()))
+
+
 def test_bands_meet_at_the_threshold():
     """Pairs at 0.8 meet in a band with the chance that MEET names; nothing in it depends on the number of texts."""
     rng = np.random.default_rng(3)
@@ -172,6 +184,20 @@ def test_bands_meet_at_the_threshold():
     assert met >= 2997
 
 
+def test_similar_long_texts(spark):
+    """Texts of thousands of shingles are linked by their true similarity, close to the threshold on either side."""
+    rows = []
+    for k in range(30):
+        base = [f"b{k}w{i}" for i in range(5004)]
+        lost = (530, 580)[k % 2]  # 0.808 and 0.792
+        rows.append((2 * k, " ".join(base)))
+        rows.append((2 * k + 1, " ".join(base[lost - 4 :] + [f"n{k}x{i}" for i in range(lost - 4)])))
+    got = sorted(r.doc_id for r in simhash.keep_one(table(spark, rows)).collect())
+    want = kept_by_brute_force(rows)
+    assert len(want) == 45
+    assert got == want
+
+
 def test_empty(spark):
     docs = table(spark, [])
     assert exactdedup.dedup(docs).count() == 0 and exactdedup.keep_one(docs).count() == 0
