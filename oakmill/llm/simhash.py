@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, documents, map_batches, named, numbered, small_batches
+from .common import ARROW_ROWS, components, cut_lineage, documents, map_batches, named, numbered, small_batches
 
 SHINGLE = 3
 SEED = 42
@@ -289,8 +289,10 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: MinHashes in a band's key, and share of pairs at the threshold that meet in a band.
 BAND_HASHES, MEET = 4, 0.9999
 TILE = 1024
+#: Shingle hashes in a tile where all pairs left open are checked.
+TILE_HASHES = 800_000
 WIDE = 128
-#: Links checked for each class, to classes before and after it each; a bucket offers its nearest.
+#: Links checked first for each class, to classes before and after it each; a bucket offers its nearest.
 NEAREST = 4
 
 
@@ -353,6 +355,46 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return common / both if both else 1.0
 
 
+def open_links(
+    band: int, crossed: bool, fp: np.ndarray, root: np.ndarray, tile: np.ndarray, keys: np.ndarray,
+    sketches: list[np.ndarray], radius: int, similarity: float,
+) -> Iterator[tuple[int, int]]:
+    """A forest of links between the roots of a tile's classes: every pair within the radius is checked that meets in no earlier band.
+
+    Pairs of one root, or joined by now, need no check.  A ``crossed`` tile holds two tiles; pairs inside one are checked there.
+    """
+    ends = np.cumsum([0, *map(len, sketches)])
+    names, ids = np.unique(np.concatenate(sketches), return_inverse=True)
+    size, mark = np.diff(ends), np.zeros(len(names), bool)
+    at = np.unique(root, return_inverse=True)[1]
+    for left, right in near_lanes(fp, np.array([0, len(fp)]), radius):
+        for k in range(0, len(left), 1 << 16):
+            i, j = left[k : k + (1 << 16)], right[k : k + (1 << 16)]
+            new = at[i] != at[j]
+            if crossed:
+                new &= tile[i] != tile[j]
+            i, j = i[new], j[new]
+            new = ~(keys[i, :band] == keys[j, :band]).any(1)
+            i, j = i[new], j[new]
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+            for x, others in zip(i[starts], np.split(j, starts[1:]), strict=True) if len(i) else ():
+                others = others[at[others] != at[x]]
+                if not len(others):
+                    continue
+                mine = ids[ends[x] : ends[x + 1]]
+                mark[mine] = True
+                hits = np.cumsum(np.r_[0, mark[np.concatenate([ids[ends[y] : ends[y + 1]] for y in others])]])
+                mark[mine] = False
+                common = np.diff(hits[np.cumsum(np.r_[0, size[others]])])
+                both = size[x] + size[others] - common
+                for y in others[common / np.maximum(both, 1) >= similarity].tolist():
+                    if at[x] != at[y]:
+                        at[at == at[y]] = at[x]
+                        yield int(root[x]), int(root[y])
+
+
 def similar_groups(
     docs: DataFrame, size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -360,7 +402,9 @@ def similar_groups(
 
     Texts meet where all MinHashes of a band agree; buckets are compared bit-sliced as
     above (in tiles, if there are more than ``TILE`` classes).  Each bucket names each class's nearest
-    before and after it; the ``NEAREST`` of these are checked on whole shingle sets and joined.
+    before and after it; the ``NEAREST`` of these are checked on whole shingle sets and joined, which settles
+    groups of near copies.  Then every other pair within the radius is checked that isn't in one group by now:
+    the sketches go to the tiles of their buckets, and only a forest of links leaves a tile.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -453,7 +497,56 @@ def similar_groups(
     sides = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", *key, "rep.bytes", F.coalesce("root", "cid").alias("root"))
     sides = cut_lineage(sides, "sides")
 
-    grouped = sides.select(*key, F.col("root").alias("component"))
+    # what is left open: buckets where classes of several roots have pairs within the radius
+    places = near.select("band", "key", "cid").distinct().join(sides.select("cid", "root", "bytes"), "cid")
+    left = (
+        places.groupBy("band", "key")
+        .agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("bytes").alias("bytes"))
+        .where("a <> b")
+        .select("band", "key", F.greatest(F.lit(1), F.ceil(F.col("bytes") / (4 * TILE_HASHES))).cast("int").alias("tiles"))
+    )
+    still = (
+        places.join(left, ["band", "key"])
+        .withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("band", "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "cid", "root")
+        .join(sketches, "cid")
+        .select("band", "key", "p", "q", "tile", "root", "fp0", "fp1", "keys", "sketch")
+    )
+
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, column = [t[c].to_numpy() for c in ("band", "p", "q")], lambda c: t[c].to_numpy()
+        keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        fp = np.stack([column("fp0"), column("fp1")], 1).view(np.uint64)
+        root, tile, sketched = column("root"), column("tile"), [np.frombuffer(x, np.uint32) for x in t["sketch"].to_pylist()]
+        starts = bucket_starts(np.stack([column(c) for c in ("band", "key", "p", "q")], 1))
+        for x, y in zip(starts, starts[1:], strict=False):
+            band, p, q = (int(c[x]) for c in at)
+            if linked := list(open_links(band, p != q, fp[x:y], root[x:y], tile[x:y], keys[x:y], sketched[x:y], radius, similarity)):
+                a, b = zip(*linked, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < 4 * ARROW_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            last = int(bucket_starts(np.stack([t[c].to_numpy() for c in ("band", "key", "p", "q")], 1))[-2])
+            if last:
+                yield from settle(t.slice(0, last))
+            held = t.slice(last).to_batches()
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    more = (
+        still.repartition("band", "key", "p", "q")
+        .sortWithinPartitions("band", "key", "p", "q")
+        .mapInArrow(by_tile, "a long, b long")
+    )
+    joined = components(more, "open").withColumnRenamed("root", "joined")
+    grouped = sides.join(joined, F.col("root") == F.col("node"), "left").select(*key, F.coalesce("joined", "root").alias("component"))
     return rows.join(cut_lineage(grouped, "grouped"), key).select("doc_id", "text_hash", "component")
 
 

@@ -173,6 +173,26 @@ def kept_by_brute_force(rows):
     return sorted(rows[i][0] for i in set(at.values()))
 
 
+def test_similar_among_siblings(spark):
+    """Texts that share a template, and are refused, don't hide a true partner."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(300), n):
+            out[at] = f"x{rng.random()}"
+        return out
+
+    siblings = [changed(base, 5) for _ in range(400)]
+    texts = siblings + [changed(s, 6) for s in siblings[:60]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in simhash.keep_one(table(spark, rows)).collect())
+    want = kept_by_brute_force(rows)
+    assert len(want) < 420
+    assert got == want
+
+
 def test_bands_meet_at_the_threshold():
     """Pairs at 0.8 meet in a band with the chance that MEET names; nothing in it depends on the number of texts."""
     rng = np.random.default_rng(3)
