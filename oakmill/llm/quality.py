@@ -53,10 +53,11 @@ def features(text: str | None) -> list[float]:
     capital = sum(w[0].isupper() for w in words) / n
     sentence = sum(w[-1] in ".!?" for w in words) / n
     log_n = float(np.log(n))
+    digits = sum(map(joined.count, "0123456789")) if joined.isascii() else sum(map(str.isdigit, joined))
     return [
         log_n, log_n * log_n, float(n < 10), float(n < 20), chars / n, distinct, distinct * log_n, same, upper / n,
         odd / chars, min(1.0, 4 * odd / n), alpha / n, capital, sentence, len(set(lines)) / len(lines),
-        sum(c.isdigit() for c in joined) / chars if any(map(str.isdigit, joined[:2000])) else 0.0,
+        digits / chars,
     ]
 
 

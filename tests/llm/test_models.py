@@ -250,6 +250,13 @@ def vectors():
     return rows
 
 
+def test_digits_count_over_the_whole_text():
+    late = "word " * 1000 + "12345 ٣ " * 200
+    joined = "".join(late.split())
+    assert quality.features(late)[-1] == pytest.approx(sum(map(str.isdigit, joined)) / len(joined))
+    assert quality.features("a" * 3000 + "77")[-1] == pytest.approx(2 / 3002)
+
+
 def test_embeddings(spark, monkeypatch):
     rows = vectors()
     schema = "vec_id long, embedding array<float>, label int, cid long, dim int, members long, leaf long"
