@@ -127,9 +127,24 @@ def mix(
 
     ``weight(i, source)``: of the i-th source by code point, null last.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = cut_lineage(sized(docs, id_col, source_col, text_col), "sizes")
+    return deal(rows, rows, weight, block, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def deal(
+    rows: DataFrame,
+    onto: DataFrame,
+    weight: Callable[[int, str | None], float] = lambda i, _: i % 3 + 1,
+    block: int = BLOCK,
+    seed: int = SEED,
+    ties: Sequence[str] = (),
+) -> DataFrame:
+    """The rows of ``onto``, with source_size, target and taken beside them.
+
+    Both have doc_id, source and size; ``onto`` may leave out rows of size 0.  Rows of equal id and size follow each other by ``ties``.
+    """
+    spark = rows.sparkSession
     by_source = {
         r.source: (int(r.n), int(r.size))
         for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
@@ -148,13 +163,16 @@ def mix(
         ],
         kind,
     )
-    dealt = (
-        rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"]))
-        .drop(plan["source"])
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
-        .drop("shards", "quota")
-    )
-    shards = dealt.groupBy("no", "shard").agg(F.sum("size").alias("size")).orderBy("no", "shard").collect()
+
+    def sharded(of: DataFrame) -> DataFrame:
+        return (
+            of.join(F.broadcast(plan), of["source"].eqNullSafe(plan["source"]))
+            .drop(plan["source"])
+            .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
+            .drop("shards", "quota")
+        )
+
+    shards = sharded(rows).groupBy("no", "shard").agg(F.sum("size").alias("size")).orderBy("no", "shard").collect()
     shares = []
     for no, of in itertools.groupby(shards, key=lambda r: r.no):
         own = list(of)
@@ -167,7 +185,7 @@ def mix(
     share = spark.createDataFrame(shares, "no int, shard int, stream long, take long")
     before = (
         W.partitionBy("no", "shard")
-        .orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+        .orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", *ties)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     start = F.sum("size").over(before) - F.col("size")
@@ -177,9 +195,9 @@ def mix(
         F.col("size") * passes + F.greatest(F.lit(0), F.least("size", rest - F.col("start"))),
     ).otherwise(F.lit(0))
     return (
-        dealt.join(F.broadcast(share), ["no", "shard"])
+        sharded(onto).join(F.broadcast(share), ["no", "shard"])
         .withColumn("start", start)
-        .select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        .withColumn("taken", taken.cast("long"))
     )
 
 
@@ -194,11 +212,23 @@ def first_words(text: str, n: int) -> str:
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` as the mix takes them: a row for each whole time that a document is taken, and one for a first part.
 
-    Needs unique ids.  Columns stay as they are; ``text_col`` of a part is cut after its last word taken.
+    What is taken is dealt beside the rows themselves, so ids may be null or repeated (rows of one id share a shard).
+    Columns stay as they are; ``text_col`` of a part is cut after its last word taken.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    id_col, source_col, text_col = (options.pop(f"{c}_col", d) for c, d in (("id", "doc_id"), ("source", "source"), ("text", "text")))
     small_batches(docs.sparkSession)
-    take = mix(docs, **options).where("taken > 0").select("doc_id", "size", "taken")
+    sizes = cut_lineage(sized(docs, id_col, source_col, text_col), "sizes")
+    plain, names = numbered(docs)
+    text = names[text_col]
+    count = F.pandas_udf(lambda t: pd.Series([len(split_words(x)) for x in t], dtype="int64"), "long")
+    rows = (
+        plain.withColumn("doc_id", F.col(names[id_col]).cast("long"))
+        .withColumn("source", F.col(names[source_col]).cast("string"))
+        .withColumn("size", count(F.col(text).cast("string")))
+        .where("size > 0")
+        .withColumn("tie", F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind]))
+    )
+    take = deal(sizes, rows, ties=["tie"], **options).where("taken > 0")
     # words of each row: the size as often as it goes into what is taken, then the rest
     parts = F.transform(
         F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")),
@@ -207,9 +237,7 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     cut = F.pandas_udf(
         lambda t, n: pd.Series([first_words(a, int(b)) for a, b in zip(t, n, strict=True)]), "string"
     )
-    plain, names = numbered(docs)
-    text = names[text_col]
-    out = plain.join(take, plain[names[id_col]] == take["doc_id"]).withColumn("words", F.explode(parts))
+    out = take.withColumn("words", F.explode(parts))
     whole = out.where("words = size")
     part = out.where("words < size").withColumn(text, cut(F.col(text), F.col("words")))
     return whole.select(*named(whole, names)).union(part.select(*named(part, names)))

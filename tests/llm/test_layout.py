@@ -158,6 +158,19 @@ def test_mixed_documents(spark):
     assert words == collections.Counter({i: n for i, (n, _) in want.items() if n})
 
 
+def test_mixed_documents_of_null_and_repeated_ids(spark):
+    docs = table(spark, ROWS)
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        for at in range(0, r.taken, r.size or 1):
+            want[r.doc_id, r.source, min(r.size, r.taken - at)] += 1
+    assert any(i is None for i, _, _ in want) and (3, "s1", 1) in want
+    got = mixing.mixed_documents(docs).collect()
+    assert collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in got) == want
+    again = mixing.mixed_documents(table(spark, ROWS[::-1]).repartition(5)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 90], [1, 1]) == [30.0, 70.0]
     assert mixing.targets([0, 10], [5, 1]) == [0.0, 10.0]
