@@ -6,8 +6,9 @@
    on average.  Split points of the upper levels are medians of a bounded
    sample (``SAMPLE`` classes by hash, all labels together); levels beyond the
    sample's resolution reuse the medians of the sample leaf above them.  A
-   vector closer to a split point than ``SPILL`` times the largest distance of
-   a link along one direction goes down both sides.
+   vector closer to a split point than ``SPILL`` times the root mean square distance of
+   a threshold link along one direction goes down both sides.  A level parts some pairs of a dense
+   group, so a label's trees are as many as its depth needs (:func:`trees_for`).
 3. Within a leaf all pairs are compared exactly, in double precision.  A leaf of more
    than ``LEAF_MOST`` rows is cut into tiles, and each pair of tiles is a group of its own: no
    pair is left out and no group grows with a cluster.
@@ -41,6 +42,8 @@ LEAF = 128
 LEAF_MOST = 512
 TILE = 256
 SPILL = 0.4
+#: Share of a dense group's links that a level of a tree keeps together, and share of links that all trees may lose.
+LEVEL_KEEPS, LOST = 0.9, 0.005
 SAMPLE = 4096
 #: Sample rows below which a node's split point is its ancestor's.
 NODE_ROWS = 32
@@ -54,6 +57,11 @@ def directions(dim: int, tree: int, seed: int = SEED) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def trees_for(depth: int, least: int = TREES) -> int:
+    """Trees of ``depth`` levels that lose no more than ``LOST`` of a dense group's links."""
+    return max(least, int(np.ceil(np.log(LOST) / np.log(1 - LEVEL_KEEPS**depth)))) if depth else least
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, in double precision and without overflow."""
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
@@ -155,10 +163,12 @@ def link(classes: DataFrame, cosine: float = COSINE, trees: int = TREES, seed: i
             part = b.filter(pa.array(dims == dim))
             x = unit(_matrix(part.column(3), int(dim)))
             margin = SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(dim)
-            row, leaf = [], []
-            for k in range(trees):
-                i, at = tree(int(dim), k).leaves(x, part.column(4).to_numpy(), margin)
-                row.append(i)
+            row, leaf, depths = [], [], part.column(4).to_numpy()
+            wanted = np.array([trees_for(n, trees) for n in range(int(depths.max()) + 1)])[depths]
+            for k in range(int(wanted.max())):
+                own_rows = np.flatnonzero(wanted > k)
+                i, at = tree(int(dim), k).leaves(x[own_rows], depths[own_rows], margin)
+                row.append(own_rows[i])
                 leaf.append(at + (k << 40))
             i, at = np.concatenate(row), np.concatenate(leaf)
             order = np.lexsort((at, i))

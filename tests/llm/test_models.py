@@ -312,6 +312,21 @@ def test_embeddings_recall(spark):
     assert found >= 0.9 * links
 
 
+def test_embeddings_recall_in_a_dense_group(spark):
+    """A third of a large label in one group of near copies: links are found in it as well."""
+    rng = np.random.default_rng(5)
+    rest, group = rng.standard_normal((20_000, 64)), 10_000
+    centre = rng.standard_normal(64)
+    near = centre / np.linalg.norm(centre) + rng.standard_normal((group, 64)) * 0.128 / 8
+    x = np.concatenate([near, rest])
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r.n_links for r in embeddings.near_dedup(df).where(F.col("vec_id") < group).collect()}
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    want = (near @ near.T >= 0.98).sum(1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.99 * want.sum(), sum(got.values()) / want.sum()
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
