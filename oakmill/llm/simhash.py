@@ -291,6 +291,8 @@ BAND_HASHES, MEET = 4, 0.9999
 TILE = 1024
 #: Shingle hashes in a tile where all pairs left open are checked.
 TILE_HASHES = 800_000
+#: Classes of a tile that are compared without bit planes, and rows of a batch of buckets (each takes 64 lanes at least).
+FEW, BATCH_ROWS = 128, 10_000
 WIDE = 128
 #: Links checked first for each class, to classes before and after it each; a bucket offers its nearest.
 NEAREST = 4
@@ -367,7 +369,12 @@ def open_links(
     names, ids = np.unique(np.concatenate(sketches), return_inverse=True)
     size, mark = np.diff(ends), np.zeros(len(names), bool)
     at = np.unique(root, return_inverse=True)[1]
-    for left, right in near_lanes(fp, np.array([0, len(fp)]), radius):
+    if len(fp) <= FEW:
+        far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) > radius
+        found = iter([np.nonzero(np.tril(~far, -1))])
+    else:
+        found = near_lanes(fp, np.array([0, len(fp)]), radius)
+    for left, right in found:
         for k in range(0, len(left), 1 << 16):
             i, j = left[k : k + (1 << 16)], right[k : k + (1 << 16)]
             new = at[i] != at[j]
@@ -468,7 +475,7 @@ def similar_groups(
     near = cut_lineage(
         tiled.repartition("band", "key", "p", "q")
         .sortWithinPartitions("band", "key", "p", "q")
-        .mapInArrow(by_bucket(nearest, 4), "band int, key long, cid long, side int, distance int, other long"),
+        .mapInArrow(by_bucket(nearest, 4, BATCH_ROWS), "band int, key long, cid long, side int, distance int, other long"),
         "near",
     )
     found = cut_lineage(
