@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,6 +76,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # not the C library that has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy() -> None:
+    """:func:`trim` at the end of a task, with what Arrow and cycles hold: workers live on and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim()
+
+
 def split_words(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as UTF-8 (null: none)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -91,6 +107,16 @@ def map_batches(
     return df.mapInArrow(over, schema)
 
 
+#: Bytes by the optimiser's estimate up to which a side of a join is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast if its estimated size is within ``BROADCAST_BYTES``; else Spark chooses the join."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns c0, c1, ... and what each was called by: no name can clash with an operator's own."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}

@@ -6,6 +6,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,12 +97,35 @@ def test_first_fit_decreasing(lengths):
         free[want] -= n
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from(" \n\taB1é!'s\u3000\u2003\x85\x1c漢😀"), max_size=20))
-def test_ids_are_the_tokenizers(text):
-    held = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    got = np.frombuffer(packing.encoder(public_tokenizers.path(packing.VOCABULARY))(text), np.uint32).tolist()
-    assert got == held.encode(text, add_special_tokens=False).ids
+PARTS = [*" \n\taB1é!'s\u3000\u2003\x85\x1c漢😀", "<|endoftext|>", "<|endof", "word ", " the"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=20).map("".join), min_size=1, max_size=5))
+def test_ids_are_the_tokenizers(texts):
+    """Of every string, the strings of added tokens and odd white space included."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    held = Tokenizer.from_file(path)
+    want = [held.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.encoder(path).many(pa.array(texts, pa.string()))] == want
+    assert [packing.encoder(path)(t).tolist() for t in texts] == want
+
+
+@pytest.mark.parametrize("text", [" " * 300_000, "\n" * 5000 + " x" + " " * 1500 + "\n", "a" * 200_000, "x" + "\u3000" * 2000 + "y " + " " * 1200 + "z"])
+def test_ids_of_long_runs(text):
+    path = public_tokenizers.path(packing.VOCABULARY)
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """A third of all rows equal in id and text: groups stay near their size, and nothing is lost."""
+    rows = [(1, "same text", "s")] * 500 + [(None, "same text", "s")] * 300 + [(i, f"other {i}", "s") for i in range(2, 802)]
+    parts = packing.pieces(table(spark, rows).repartition(3), with_ids=False)
+    assert parts.count() == len(rows)
+    sizes = [r["count"] for r in parts.groupBy((parts["copy"] % 16).alias("g")).count().collect()]
+    assert max(sizes) < 3 * len(rows) / 16
+    got = packing.pack(parts, len(rows), group_rows=100).collect()
+    assert collections.Counter(r.doc_id for r in got)[1] == 500 and len(got) == len(rows)
 
 
 def highest_quotients(weights, seats, most):
