@@ -7,18 +7,32 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .errors import DuplicateIndex, MissingIndex, UnknownIndexType, UnknownTable
+from .errors import DuplicateIndex, MissingIndex, UnknownColumn, UnknownIndexType, UnknownTable
+from .operators import indexes
+from .sources import files
 from .sources.tables import need
+from .sources.zones import ZonedTable
 
-#: Index types, and the layout that stands for each here.
+#: Index types, and the layout of each (:mod:`oakmill.operators.indexes`).
 LAYOUTS = {
-    "hashindex": "bucketed by the key",
-    "btree": "clustered by the key",
-    "bplustree": "clustered by the key",
-    "lsmtree": "log of puts and tombstones, newest wins",
+    "hashindex": "folders by the key's hash",
+    "btree": "files of key ranges with Bloom filters",
+    "bplustree": "files of key ranges with Bloom filters",
+    "lsmtree": "a run sorted by key with a Bloom filter",
     "gin": "postings of tokens",
     "bitmap": "bitmaps of values",
 }
+#: Those of text columns.
+OF_TEXT = ("gin", "bitmap")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index."""
+
+    kind: str
+    path: str
+    columns: tuple[str, ...]
 
 
 @dataclass
@@ -29,12 +43,17 @@ class Entry:
     name: str
     data: DataFrame
     clustered_by: str | None = None
-    indexes: set[str] = field(default_factory=set)
+    indexes: dict[str, Index] = field(default_factory=dict)
+    stored: ZonedTable | None = None
 
     def column(self, name: str) -> T.StructField:
         need(self.data, [name])
         return next(f for f in self.data.schema if f.name.lower() == name.lower())
 
+    def usable(self, column: str) -> dict[str, Index]:
+        """The indexes that serve an equality of ``column``."""
+        return {k: i for k, i in self.indexes.items() if column.lower() in (c.lower() for c in i.columns)}
+
 
 class Catalog:
     """Tables in the order of their registration."""
@@ -82,17 +101,41 @@ class Catalog:
         return self.spark.createDataFrame(rows, "column_name string, type string, position int")
 
     def set_clustered_key(self, schema: str, name: str, column: str) -> None:
+        """The column by which :meth:`store` writes the table."""
         entry = self.require(schema, name)
         entry.clustered_by = entry.column(column).name
 
-    def create_index(self, schema: str, name: str, kind: str) -> str:
-        """Register an index; gives its layout."""
+    def store(self, schema: str, name: str, path: str | None = None, **options: object) -> Entry:
+        """Write a table clustered by its key, with zones and Bloom filters; from now on it is read from there."""
+        entry = self.require(schema, name)
+        key = entry.clustered_by or entry.data.columns[0]
+        options = {"bloom": [key]} | options
+        entry.stored = ZonedTable.write(entry.data, path or files.new_folder(self.spark, f"table-{entry.name}"), key, **options)
+        entry.data = entry.stored.rows()
+        return entry
+
+    def create_index(self, schema: str, name: str, kind: str, column: str | None = None) -> str:
+        """Write an index; gives its layout.
+
+        ``column``: else ``id``, the clustering key or the first column; of text indexes, else all text columns.
+        """
         entry, kind = self.require(schema, name), kind.lower()
         if kind not in LAYOUTS:
             raise UnknownIndexType(f"no index type {kind}")
         if kind in entry.indexes:
             raise DuplicateIndex(f"{kind} is there already")
-        entry.indexes.add(kind)
+        own = {c.lower(): c for c in entry.data.columns}
+        if column:
+            columns = (entry.column(column).name,)
+        elif kind in OF_TEXT:
+            columns = tuple(f.name for f in entry.data.schema if isinstance(f.dataType, T.StringType))
+        else:
+            columns = (own.get("id") or entry.clustered_by or entry.data.columns[0],)
+        if not columns or kind in OF_TEXT and not all(isinstance(entry.column(c).dataType, T.StringType) for c in columns):
+            raise UnknownColumn(f"{kind} needs a text column")
+        path = files.new_folder(self.spark, f"index-{entry.name}-{kind}")
+        indexes.build(kind, entry.data, path, columns)
+        entry.indexes[kind] = Index(kind, path, columns)
         return LAYOUTS[kind]
 
     def drop_index(self, schema: str, name: str, kind: str) -> None:
@@ -101,7 +144,11 @@ class Catalog:
             raise UnknownIndexType(f"no index type {kind}")
         if kind not in entry.indexes:
             raise MissingIndex(f"{kind} isn't there")
-        entry.indexes.discard(kind)
+        files.delete(self.spark, entry.indexes.pop(kind).path)
 
     def drop_all(self) -> None:
+        """Forget all tables and delete their indexes."""
+        for entry in self._entries.values():
+            for index in entry.indexes.values():
+                files.delete(self.spark, index.path)
         self._entries.clear()

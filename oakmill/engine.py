@@ -31,7 +31,11 @@ class Engine:
         return sql.explain(sql.parse(text), self.catalog)
 
     def select(self, name: str, filter_col: str | None = None, value: object = None, columns: Sequence[str] | None = None) -> DataFrame:
-        return query.select(self.table(name), filter_col, value, columns)
+        """Rows whose column equals a value; a stored table opens only the files that may hold it."""
+        entry = self.catalog.require("public", name)
+        if entry.stored and filter_col is not None and value is not None:
+            return entry.stored.select(entry.column(filter_col).name, value, columns)
+        return query.select(entry.data, filter_col, value, columns)
 
     def aggregate(self, name: str, **named: Column) -> DataFrame:
         return query.aggregate(self.table(name), **named)

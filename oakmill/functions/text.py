@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What separates tokens of documents and of columns, what counts as a number, what is trimmed.
-DOCUMENT_MARKS = r'[{}":\[\]]'
-DOCUMENT_SEPARATOR = r"\s+|,"
+DOCUMENT_MARKS = '{}":[]'
+DOCUMENT_SEPARATOR = r"[\s,]+"
+CONTROLS = r"[\x00-\x08\x0e-\x1f]"
 COLUMN_SEPARATOR = r"[\s,;!?.]+"
 NUMBER = r"^-?\d+(\.\d+)?$"
 EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
@@ -19,9 +20,15 @@ def trim_all(value: Column) -> Column:
 
 
 def document_tokens(value: Column) -> Column:
-    """Lower-cased tokens of a document's text, in order and with repeats; none for null."""
-    parts = F.split(F.regexp_replace(F.coalesce(value, F.lit("")), DOCUMENT_MARKS, " "), DOCUMENT_SEPARATOR)
-    return F.filter(F.transform(parts, lambda t: F.lower(trim_all(t))), lambda t: t != "")
+    """Lower-cased tokens of a document's text, in order and with repeats; none for null.
+
+    Marks become blanks, and one split at blanks and commas gives the tokens; only a text with other control
+    characters has tokens left to trim.
+    """
+    plain = F.lower(F.translate(F.coalesce(value, F.lit("")), DOCUMENT_MARKS, " " * len(DOCUMENT_MARKS)))
+    parts = F.split(plain, DOCUMENT_SEPARATOR)
+    trimmed = F.transform(parts, trim_all)
+    return F.array_remove(F.when(plain.rlike(CONTROLS), trimmed).otherwise(parts), "")
 
 
 def column_tokens(name: str, value: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnknownColumn
+from ..sources.files import estimated_bytes
 from ..sources.tables import need
 
 #: What each strategy asks of Spark for the right side (the build side).
@@ -21,22 +22,21 @@ HINTS = {
 }
 #: Bytes that a side may have by Spark's estimate for a broadcast to be asked for.
 BROADCAST_BYTES = 64 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of a DataFrame's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Product of the sides' estimated bytes up to which every pair of rows is looked at (two sides of 1 MB each).
+NESTED_BYTES = 1 << 40
 
 
 def join(
     left: DataFrame, left_key: str, right: DataFrame, right_key: str, columns: Sequence[str] | None = None,
-    strategy: str = "auto", buckets: int | None = None, null_safe: bool = True,
+    strategy: str = "auto", buckets: int | None = None, null_safe: bool = True, folders: int | None = None,
 ) -> DataFrame:
     """Rows of both sides with equal keys.
 
     ``columns``: those of the result, in order; a name that both have is the left's.
-    ``null_safe``: null keys match each other.  A broadcast is asked for only if
-    the side's estimated size is within ``BROADCAST_BYTES``; else Spark chooses.
+    ``null_safe``: null keys match each other, which multiplies the rows that have one on both sides; as with any
+    common key, their partition is split by the adaptive execution of a merge or hash join.  A broadcast is asked for only if
+    the side's estimated size is within ``BROADCAST_BYTES``, a nested loop only within ``NESTED_BYTES``; else Spark chooses.
+    ``folders``: the right side is a hash index's table with that many folders (``__bucket``); those without a key of the left are not read.
     """
     if strategy not in HINTS:
         raise ValueError(f"no strategy {strategy}")
@@ -47,12 +47,18 @@ def join(
         b = b.hint("broadcast")
     elif strategy == "index" and estimated_bytes(left) <= BROADCAST_BYTES:
         a = a.hint("broadcast")  # few outer rows go to the keyed inner side
-    elif strategy in ("hash", "merge", "nested_loop"):
+    elif strategy in ("hash", "merge"):
+        b = b.hint(HINTS[strategy])
+    elif strategy == "nested_loop" and estimated_bytes(left) * estimated_bytes(right) <= NESTED_BYTES:
         b = b.hint(HINTS[strategy])
     if buckets and strategy == "hash":
         a, b = a.repartition(buckets, f"l.{left_key}"), b.repartition(buckets, f"r.{right_key}")
     x, y = F.col(f"l.`{left_key}`"), F.col(f"r.`{right_key}`")
-    return a.join(b, x.eqNullSafe(y) if null_safe else x == y, "inner").select(*pick(left, right, columns))
+    on = x.eqNullSafe(y) if null_safe else x == y
+    if folders:
+        on &= bucket(x.try_cast(right.schema[right_key].dataType), folders).cast("int") == F.col("r.__bucket")
+        right = right.drop("__bucket")
+    return a.join(b, on, "inner").select(*pick(left, right, columns))
 
 
 def pick(left: DataFrame, right: DataFrame, columns: Sequence[str] | None) -> list[Column]:

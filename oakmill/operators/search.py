@@ -47,7 +47,7 @@ def _search(docs: DataFrame, id_col: str, text_col: str, tokens: Sequence[str],
 
 def token_count(docs: DataFrame, text_col: str) -> DataFrame:
     """The number of distinct tokens."""
-    return docs.select(F.explode(document_tokens(F.col(text_col))).alias("token")).agg(F.countDistinct("token").alias("n"))
+    return docs.select(F.explode(F.array_distinct(document_tokens(F.col(text_col)))).alias("token")).agg(F.countDistinct("token").alias("n"))
 
 
 def column_postings(df: DataFrame, column: str, partition: str, row: str) -> DataFrame:
@@ -72,6 +72,11 @@ def row_locations(posted: DataFrame, column: str, value: str) -> DataFrame:
     return _of_value(posted, column, value).select("partition_id", "row_index")
 
 
+def is_indexed(posted: DataFrame, column: str) -> bool:
+    """Whether postings hold tokens of a column."""
+    return not posted.where(F.startswith("token", F.lit(f"{column.lower()}:"))).limit(1).isEmpty()
+
+
 # Bitmaps: a table of (doc_id, value).
 
 
@@ -90,26 +95,44 @@ def _normal(values: Sequence[str]) -> list[str]:
     return list(dict.fromkeys((v or "").strip(edge).lower() for v in values))
 
 
-def bitmap_search(pairs: DataFrame, values: Sequence[str], every: bool = False, id_col: str = "doc_id", value_col: str = "value") -> DataFrame:
-    """Ids that have any of the values, or all of them; none for an empty list."""
-    wanted = _normal(values)
-    own = pairs.select(F.col(id_col).alias("doc_id"), bitmap_value(F.col(value_col)).alias("value"))
-    hits = own.where(F.col("value").isin(wanted)) if wanted else own.where(F.lit(False))
-    if every and len(wanted) > 1:
-        return hits.groupBy("doc_id").agg(F.countDistinct("value").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
-    return hits.select("doc_id").distinct()
-
-
-def bitmap_and(index: DataFrame, values: Sequence[str]) -> DataFrame:
-    """``bucket``, ``n``: how many ids have all values, from bitmaps."""
+def bitmap_all(index: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``bucket``, ``bitmap`` of the ids that have all values; none for an empty list."""
     wanted = _normal(values)
     return (
-        index.where(F.col("value").isin(wanted))
+        index.where(F.col("value").isin(wanted) if wanted else F.lit(False))
         .groupBy("bucket")
         .agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count("*").alias("k"))
-        .where(F.col("k") == len(wanted))
-        .select("bucket", F.bitmap_count("bitmap").alias("n"))
+        .where(F.col("k") == len(wanted))  # a value without a bitmap there empties the bucket
+        .select("bucket", "bitmap")
+    )
+
+
+def bitmap_any(index: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``bucket``, ``bitmap`` of the ids that have one of the values at least."""
+    wanted = _normal(values)
+    hits = index.where(F.col("value").isin(wanted) if wanted else F.lit(False))
+    return hits.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def expand(bitmaps: DataFrame) -> DataFrame:
+    """``doc_id`` of the bits that are set, from (bucket, bitmap): 64 bits are read as one number, and numbers without a bit are left out."""
+    digits = F.hex("bitmap")
+    word = F.col("word")
+    longs = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.substring(digits, i * 16 + 1, F.lit(16)), 16, -10).cast("long"))
+    words = bitmaps.select("bucket", F.posexplode(longs).alias("at", "word")).where(word != 0)
+    # the first byte of eight is a number's highest one
+    bits = words.select("bucket", "at", word, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where(
+        F.getbit(word, ((F.lit(7) - F.shiftright("bit", 3)) * 8 + F.col("bit").bitwiseAND(F.lit(7))).cast("int")) == 1
     )
+    return bits.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 64 + F.col("bit")).alias("doc_id"))
+
+
+def bitmap_search(pairs: DataFrame, values: Sequence[str], every: bool = False, id_col: str = "doc_id", value_col: str = "value") -> DataFrame:
+    """Ids of (id, value) rows that have any of the values, or all of them; none for an empty list.  Only the values' own bitmaps are made."""
+    wanted = _normal(values)
+    hits = pairs.where(bitmap_value(F.col(value_col)).isin(wanted)) if wanted else pairs.where(F.lit(False))
+    index = bitmaps(hits, id_col, value_col)
+    return expand(bitmap_all(index, values) if every else bitmap_any(index, values))
 
 
 def bitmap_cardinality(pairs: DataFrame, id_col: str = "doc_id", value_col: str = "value") -> DataFrame:

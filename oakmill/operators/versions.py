@@ -9,13 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InactiveTransaction
+from ..sources import files
 from ..sources.docfile import newest
+from . import pruning
 
 LEVELS = ("READ_UNCOMMITTED", "READ_COMMITTED", "REPEATABLE_READ", "SERIALIZABLE")
 #: Distinct keys that a log's memory table holds before it becomes a run.
 MEMTABLE_KEYS = 5
 #: Log numbers that are ranked in one task.
 SPAN = 1 << 20
+#: Rows that wait on the driver to be written, in a store that has a folder.
+PENDING = 10_000
 
 
 def upsert(index: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -45,6 +49,99 @@ def lsm_compact(log: DataFrame, key: str = "key", seq: str = "seq", deleted: str
     return log.where(~F.col(run).isin(oldest)).unionByName(merged)
 
 
+class LsmTree:
+    """A log-structured table: a memory table of ``MEMTABLE_KEYS`` keys, and runs, each a folder sorted by key with a Bloom filter.
+
+    ``hits`` and ``misses`` count the runs that a lookup opened, and that a Bloom filter spared it.
+    """
+
+    SCHEMA = "key long, value long, deleted boolean, seq long"
+
+    def __init__(self, spark: SparkSession, folder: str, rate: float = 0.01) -> None:
+        self.spark, self.folder, self.rate = spark, folder.rstrip("/"), rate
+        self.hits = self.misses = 0
+        self._memory: dict[int, tuple[int | None, bool]] = {}
+
+    def runs(self) -> list[str]:
+        """Names of the runs, oldest first: ``run-(first)-(last)-(bits)-(hashes)``, by the numbers of the flushes in it.  A merged run hides those it was made of."""
+        found = files.written(self.spark, self.folder, "run-")
+        span = {n: tuple(map(int, n.split("-")[1:3])) for n in found}
+        return [n for n in found if not any(o != n and span[o][0] <= span[n][0] and span[n][1] <= span[o][1] for o in found)]
+
+    def _set(self, key: int, value: int | None, deleted: bool) -> None:
+        self._memory[key] = (value, deleted)
+        if len(self._memory) >= MEMTABLE_KEYS:
+            self.flush()
+
+    def put(self, key: int, value: int) -> None:
+        self._set(key, value, False)
+
+    def remove(self, key: int) -> None:
+        """Put a tombstone."""
+        self._set(key, None, True)
+
+    def flush(self) -> None:
+        """Make the memory table a run."""
+        if self._memory:
+            rows = [(k, v, d, 0) for k, (v, d) in sorted(self._memory.items())]
+            self.ingest(self.spark.createDataFrame(rows, self.SCHEMA))
+            self._memory.clear()
+
+    flush_all = flush
+
+    def _write(self, rows: DataFrame, first: int, last: int) -> None:
+        bits, hashes = pruning.bloom_params(max(1, rows.count()), self.rate)
+        name = f"run-{first:012d}-{last:012d}-{bits}-{hashes}"
+        pruning.bloom_words(rows, "key", bits, hashes).write.mode("overwrite").parquet(f"{self.folder}/bloom-{name}")
+        rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{self.folder}/{name}")
+
+    def ingest(self, log: DataFrame) -> None:
+        """Write a whole log (key, value, deleted, seq) as one run: the newest record of each key."""
+        at = max((int(n.split("-")[2]) for n in self.runs()), default=-1) + 1
+        self._write(newest(log.select("key", "value", "deleted", "seq"), "key", ["seq"]).select("key", "value", "deleted", "seq"), at, at)
+
+    def read_run(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def may_hold(self, name: str, key: int) -> bool:
+        """Whether a run's Bloom filter may hold a key."""
+        bits, hashes = map(int, name.split("-")[3:])
+        words = self.spark.read.parquet(f"{self.folder}/bloom-{name}").withColumn("run", F.lit(name))
+        return not pruning.holding(words, F.lit(key).cast("long"), bits, hashes, ["run"]).isEmpty()
+
+    def get(self, key: int) -> int | None:
+        """A key's value: the memory table's, or that of the newest run that has it."""
+        if key in self._memory:
+            return self._memory[key][0]
+        for name in reversed(self.runs()):
+            if not self.may_hold(name, key):
+                self.misses += 1
+                continue
+            self.hits += 1
+            if (row := self.read_run(name).where(F.col("key") == key).first()) is not None:
+                return row.value
+        return None
+
+    def read(self) -> DataFrame:
+        """All live keys and values."""
+        memory = [(k, v, d, 0) for k, (v, d) in self._memory.items()]
+        log = self.spark.createDataFrame(memory, self.SCHEMA).withColumn("run", F.lit(1 << 40))
+        for k, name in enumerate(self.runs()):
+            log = log.union(self.read_run(name).withColumn("run", F.lit(k).cast("long")))
+        return newest(log, "key", ["run"]).where(~F.col("deleted")).select("key", "value", "seq")
+
+    def merge(self) -> None:
+        """Make one run of the two oldest: newer wins, tombstones go, as nothing older is left for them to hide."""
+        two = self.runs()[:2]
+        if len(two) == 2:
+            both = self.read_run(two[0]).withColumn("run", F.lit(0)).union(self.read_run(two[1]).withColumn("run", F.lit(1)))
+            live = newest(both, "key", ["run"]).where(~F.col("deleted")).select("key", "value", "deleted", "seq")
+            self._write(live, int(two[0].split("-")[1]), int(two[1].split("-")[2]))
+
+    def drop(self) -> None:
+        files.delete(self.spark, self.folder)
+
+
 # Snapshots.
 
 
@@ -85,10 +182,12 @@ class Transaction:
 
 @dataclass
 class VersionStore:
-    """Transactions over versioned documents.  Writes gather on the driver until :meth:`flush` adds them to the table."""
+    """Transactions over versioned documents.  Writes gather on the driver until :meth:`flush` adds them to the table,
+    which it does by itself every ``PENDING`` writes if ``folder`` is given."""
 
     spark: SparkSession
     base: DataFrame | None = None
+    folder: str | None = None
     transactions: list[Transaction] = field(default_factory=list)
     _pending: list[tuple] = field(default_factory=list)
     _seq: int = 0
@@ -119,6 +218,8 @@ class VersionStore:
             raise InactiveTransaction(f"transaction {tx.id} is {tx.status}")
         self._seq += 1
         self._pending.append((doc, value, tx.id, deleted, self._seq))
+        if self.folder and len(self._pending) >= PENDING:
+            self.flush(self.folder)
 
     def insert(self, tx: Transaction, doc: int, value: int) -> None:
         self._write(tx, doc, value, False)
@@ -200,6 +301,8 @@ class WriteAheadLog:
     def _append(self, tx: int, kind: str, doc: int | None = None, payload: str | None = None) -> int:
         self._last += 1
         self._pending.append((self._last, tx, kind, doc, payload))
+        if len(self._pending) >= PENDING:
+            self.flush()
         return self._last
 
     def insert(self, tx: int, doc: int, payload: str) -> int:
@@ -220,8 +323,7 @@ class WriteAheadLog:
 
     def records(self) -> DataFrame:
         new = self.spark.createDataFrame(self._pending, self.SCHEMA)
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if not files.exists(self.spark, self.path):
             return new
         return self.spark.read.schema(self.SCHEMA).parquet(self.path).union(new)
 

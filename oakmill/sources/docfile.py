@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import MalformedRequest, MissingDocument
+from . import files
+
+
+#: Folders of successive writes, in the order of their numbers.
+BATCH = r"batch-(\d{12})"
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place: file, then position in it."""
-    return spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line")
+    """Lines with ``place``, a struct that orders them as they were written.
+
+    Writes of :func:`write_documents` follow each other by number, other files by modification time, both after the
+    files that lie there by themselves; then come the file's name, the block in it, and the line in the block.
+    """
+    batch = F.regexp_extract(F.col("_metadata.file_path"), BATCH, 1)
+    since = F.when(batch == "", F.col("_metadata.file_modification_time"))
+    place = F.struct(
+        batch.alias("batch"), since.alias("since"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
     )
+    return spark.read.option("recursiveFileLookup", "true").text(path).select("value", place.alias("place"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``json`` of a document file: the last line of an id holds; empty lines are passed over."""
+    """``doc_id``, ``json`` of a document file or folder: the last line of an id holds; empty lines are passed over."""
     lines = _numbered(spark, path).where(F.col("value") != "")
     parts = F.split("value", ",", 2)
-    return newest(
-        lines.select(parts[0].cast("int").alias("doc_id"), parts[1].alias("json"), "file", "line"), "doc_id", ["file", "line"]
-    ).select("doc_id", "json")
+    return newest(lines.select(parts[0].cast("int").alias("doc_id"), parts[1].alias("json"), "place"), "doc_id", ["place"]).select("doc_id", "json")
 
 
 def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -35,10 +45,12 @@ def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(picked.alias("__row")).select(key, "__row.*")
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "append") -> None:
-    """Write ``doc_id``, ``json`` as lines; line breaks inside a document are dropped."""
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Append ``doc_id``, ``json`` as lines, in a new folder in ``path``; line breaks inside a document are dropped.  One writer at a time."""
+    spark = docs.sparkSession
+    numbers = [int(m[1]) for n in files.names(spark, path) if (m := re.fullmatch(BATCH, n))]
     line = F.concat(F.col("doc_id").cast("string"), F.lit(","), F.regexp_replace("json", r"[\r\n]", ""))
-    docs.select(line.alias("value")).write.mode(mode).text(path)
+    docs.select(line.alias("value")).write.text(f"{path}/batch-{max(numbers, default=-1) + 1:012d}")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -62,15 +74,7 @@ def line_exists(spark: SparkSession, path: str, line: str) -> bool:
 
 def delete_matching(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     """Delete the files of a folder whose whole names match; gives the names."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(conf)
-    gone = []
-    if fs.exists(at):
-        for f in fs.listStatus(at):
-            if re.fullmatch(pattern, f.getPath().getName()) and fs.delete(f.getPath(), True):
-                gone.append(f.getPath().getName())
-    return sorted(gone)
+    return [n for n in files.names(spark, folder) if re.fullmatch(pattern, n) and files.delete(spark, f"{folder}/{n}")]
 
 
 def next_id(docs: DataFrame, key: str = "doc_id") -> int:
@@ -78,12 +82,12 @@ def next_id(docs: DataFrame, key: str = "doc_id") -> int:
     return int(docs.agg(F.coalesce(F.max(key), F.lit(-1)) + 1).first()[0])
 
 
-def append(docs: DataFrame, payloads: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with the rows of ``payloads`` (json), which get the next ids in their order.
+def append(docs: DataFrame, payloads: DataFrame, key: str = "doc_id", first: int | None = None) -> DataFrame:
+    """``docs`` with the rows of ``payloads`` (json), which get the next ids (from ``first``, if known) in their order.
 
     Spark numbers rows consecutively within a partition; only the partitions' counts are summed up.
     """
-    first = next_id(docs, key)
+    first = next_id(docs, key) if first is None else first
     at = payloads.select("json", F.monotonically_increasing_id().alias("at"))
     at = at.select("json", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
     counts = at.groupBy("part").agg(F.count("*").alias("n"))
@@ -99,47 +103,55 @@ def without(docs: DataFrame, gone: Column) -> DataFrame:
 
 
 class DocumentStore:
-    """Documents in versioned parquet folders: a write makes a new version, readers keep theirs."""
+    """Documents in numbered folders: a write adds one with its rows and tombstones alone, readers keep the folders they saw.
+
+    A folder's name holds its number and the next free id, so a write reads no document;
+    :meth:`compact` puts all that is left into one folder.
+    """
+
+    SCHEMA = "doc_id long, json string, deleted boolean"
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _versions(self) -> list[str]:
-        at = self._fs_path(self.folder)
-        if not self._fs.exists(at):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
-        return sorted(n for n in names if re.fullmatch(r"v\d{12}-\w+", n) and self._fs.exists(self._fs_path(f"{self.folder}/{n}/_SUCCESS")))
+        """Folders from the last compaction on."""
+        found = files.written(self.spark, self.folder, "v")
+        last = max((i for i, n in enumerate(found) if n.endswith("-all")), default=0)
+        return found[last:]
+
+    def _rows(self) -> DataFrame:
+        rows = self.spark.createDataFrame([], f"{self.SCHEMA}, version int")
+        for k, name in enumerate(self._versions()):
+            rows = rows.union(self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/{name}").withColumn("version", F.lit(k)))
+        return rows
 
     def documents(self) -> DataFrame:
-        """The newest version."""
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], "doc_id long, json string")
-        return self.spark.read.parquet(f"{self.folder}/{versions[-1]}")
+        """What is there now."""
+        return newest(self._rows(), "doc_id", ["version"]).where(~F.col("deleted")).select("doc_id", "json")
 
-    def _write(self, docs: DataFrame) -> None:
+    def _next(self) -> tuple[int, int]:
+        """The number of the next folder, and the next id."""
         versions = self._versions()
-        number = int(versions[-1][1:13]) + 1 if versions else 0
-        docs.write.parquet(f"{self.folder}/v{number:012d}-{uuid.uuid4().hex}")
+        return (int(versions[-1][1:13]) + 1, int(versions[-1].split("-")[1])) if versions else (0, 0)
+
+    def _write(self, rows: DataFrame, number: int, next_id: int, kind: str = "some") -> None:
+        rows.write.parquet(f"{self.folder}/v{number:012d}-{next_id:018d}-{kind}")
 
     def append(self, payloads: list[str]) -> list[int]:
         """Store JSON texts; gives their ids."""
         if any(not isinstance(p, str) or not p.strip() for p in payloads):
             raise MalformedRequest("a document is a JSON text")
-        now = self.documents()
-        first = next_id(now)
-        rows = [(first + i, re.sub(r"[\r\n]", "", p)) for i, p in enumerate(payloads)]
-        self._write(now.union(self.spark.createDataFrame(rows, "doc_id long, json string")))
+        number, first = self._next()
+        rows = [(first + i, re.sub(r"[\r\n]", "", p), False) for i, p in enumerate(payloads)]
+        self._write(self.spark.createDataFrame(rows, self.SCHEMA), number, first + len(rows))
         return [r[0] for r in rows]
 
     def find(self, doc_id: object) -> str | None:
         """A document's JSON, or None."""
         if not isinstance(doc_id, int) or isinstance(doc_id, bool):
             return None
-        row = self.documents().where(F.col("doc_id") == doc_id).limit(1).first()
+        row = self.documents().where(F.col("doc_id") == doc_id).first()
         return row.json if row else None
 
     def delete(self, doc_id: int) -> str:
@@ -147,9 +159,15 @@ class DocumentStore:
         found = self.find(doc_id)
         if found is None:
             raise MissingDocument(f"document {doc_id} isn't there")
-        self._write(without(self.documents(), F.col("doc_id") == doc_id))
+        number, first = self._next()
+        self._write(self.spark.createDataFrame([(doc_id, None, True)], self.SCHEMA), number, first)
         return f"{doc_id},{found}"
 
+    def compact(self) -> None:
+        """Write what is there as one folder; the older ones stay for their readers until :meth:`drop`."""
+        number, first = self._next()
+        self._write(self.documents().withColumn("deleted", F.lit(False)), number, first, "all")
+
     def drop(self) -> None:
-        """Remove all versions."""
-        self._fs.delete(self._fs_path(self.folder), True)
+        """Remove everything."""
+        files.delete(self.spark, self.folder)

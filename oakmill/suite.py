@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import atexit
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
 from .engine import Engine
 from .functions import text as tx
-from .operators import joins, pruning, query, search, versions
-from .sources import docfile, tables
+from .operators import indexes, joins, pruning, query, search, versions
+from .sources import docfile, files, tables
+from .sources.zones import ZonedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,10 +39,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{at.rstrip('/')}/suite-{name}-{uuid.uuid4().hex}"
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> str:
+    """The path of an index or a layout that ``build`` writes once for a session and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        path = files.new_folder(spark, f"suite-{name}")
+        build(path)
+        _built[key] = path
+    return _built[key]
+
+
+@atexit.register
+def _forget() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        for (app, _, _), path in _built.items():
+            with contextlib.suppress(Exception):  # the session may be another one, or gone
+                if app == spark.sparkContext.applicationId:
+                    files.delete(spark, path)
 
 
 # Scans, filters, aggregates.
@@ -190,27 +207,42 @@ def join_index_nl(s: SparkSession, d: str) -> DataFrame:
     return joins.join(table(s, d, "nation"), "n_nationkey", table(s, d, "customer"), "c_nationkey", ["n_name", "c_custkey"], "index")
 
 
+#: Null on both sides, in few rows of each: the customers 1 to 3 and their orders.
+_NULL_JOIN = (
+    "SELECT o_orderkey, c_name FROM (SELECT o_orderkey, CASE WHEN o_custkey > 3 THEN o_custkey END AS k FROM orders) o "
+    "JOIN (SELECT c_name, CASE WHEN c_custkey > 3 THEN c_custkey END AS ck FROM customer) c ON k {} ck"
+)
+
+
+def _null_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    known = lambda c: F.when(F.col(c) > 3, F.col(c))
+    o = orders(s, d).select("o_orderkey", known("o_custkey").alias("k"))
+    return o, table(s, d, "customer").select("c_name", known("c_custkey").alias("ck"))
+
+
 def _null_keys(strategy: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        n = table(s, d, "nation").withColumn("k", F.nullif("n_regionkey", F.lit(0)))
-        r = table(s, d, "region").withColumn("rk", F.nullif("r_regionkey", F.lit(0)))
-        return joins.join(n, "k", r, "rk", ["n_name", "r_name"], strategy)
+        o, c = _null_sides(s, d)
+        return joins.join(o, "k", c, "ck", ["o_orderkey", "c_name"], strategy)
 
     return run
 
 
-for _strategy in ("broadcast", "hash", "merge", "nested_loop", "index"):
-    shows(
-        "SELECT n_name, r_name FROM nation JOIN region ON nullif(n_regionkey, 0) IS NOT DISTINCT FROM nullif(r_regionkey, 0)",
-        f"join_null_keys_{_strategy}",
-    )(_null_keys(_strategy))
+for _strategy in ("broadcast", "hash", "merge", "index"):
+    shows(_NULL_JOIN.format("IS NOT DISTINCT FROM"), f"join_null_keys_{_strategy}")(_null_keys(_strategy))
 
 
-@shows("SELECT n_name, r_name FROM nation JOIN region ON nullif(n_regionkey, 0) = nullif(r_regionkey, 0)")
-def join_null_keys_plain(s: SparkSession, d: str) -> DataFrame:
+@shows("SELECT n_name, r_name FROM nation JOIN region ON nullif(n_regionkey, 0) IS NOT DISTINCT FROM nullif(r_regionkey, 0)")
+def join_null_keys_nested_loop(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "nation").withColumn("k", F.nullif("n_regionkey", F.lit(0)))
     r = table(s, d, "region").withColumn("rk", F.nullif("r_regionkey", F.lit(0)))
-    return joins.join(n, "k", r, "rk", ["n_name", "r_name"], null_safe=False)
+    return joins.join(n, "k", r, "rk", ["n_name", "r_name"], "nested_loop")
+
+
+@shows(_NULL_JOIN.format("="))
+def join_null_keys_plain(s: SparkSession, d: str) -> DataFrame:
+    o, c = _null_sides(s, d)
+    return joins.join(o, "k", c, "ck", ["o_orderkey", "c_name"], null_safe=False)
 
 
 @shows("SELECT s_suppkey, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -263,16 +295,66 @@ for _name, _text_of, _sql in (
     shows(_sql, _name)(_text(_text_of))
 
 
-@shows("SELECT * FROM (VALUES ('full scan', 'hash join'), ('full scan', 'index join by hash index')) t(scan, join_by)")
+def indexed(s: SparkSession, d: str) -> Engine:
+    """Orders and customers with ``id`` as key, and indexes of every kind on them, stored once."""
+
+    def build(_: str) -> None:
+        e = Engine(s)
+        e.register("buyer", table(s, d, "customer").withColumnRenamed("c_custkey", "id"))
+        e.register("sale", orders(s, d).withColumnRenamed("o_orderkey", "id"))
+        for name, kind in (("buyer", "hashIndex"), ("sale", "BPlusTree"), ("sale", "bitmap"), ("buyer", "GIN")):
+            e.catalog.create_index("public", name, kind)
+        _engines[s.sparkContext.applicationId, d] = e
+
+    stored(s, d, "engine", build)
+    return _engines[s.sparkContext.applicationId, d]
+
+
+_engines: dict[tuple[str, str], Engine] = {}
+
+
+def _indexed(sql: str) -> Query:
+    return lambda s, d: indexed(s, d).sql(sql)
+
+
+for _name, _text_of, _sql in (
+    ("sql_index_hash", "SELECT id, c_name FROM buyer WHERE id = 77", "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey = 77"),
+    ("sql_index_bplustree", "SELECT id, o_custkey, o_totalprice FROM sale WHERE id = 4242", "SELECT o_orderkey AS id, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 4242"),
+    ("sql_index_bitmap", "SELECT id, o_custkey FROM sale WHERE o_orderpriority = '1-URGENT'", "SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"),
+    ("sql_index_token", "SELECT id, c_nationkey FROM buyer WHERE c_mktsegment = 'BUILDING'", "SELECT c_custkey AS id, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    ("sql_index_join", "SELECT o_orderkey, c_name FROM orders JOIN buyer ON o_custkey = id WHERE o_orderstatus = 'P'", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'"),
+    ("sql_index_join_plain", "SELECT o_orderkey, c_name FROM orders JOIN buyer ON o_custkey = id", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
+):
+
+    def _joined(s: SparkSession, d: str, text: str = _text_of) -> DataFrame:
+        e = indexed(s, d)
+        e.register("orders", orders(s, d))
+        return e.sql(text)
+
+    shows(_sql, _name)(_joined)
+
+
+@shows(
+    "SELECT * FROM (VALUES ('hash index scan on id', NULL), ('B+tree index scan on id', NULL), ('bitmap index scan on o_orderpriority', NULL), "
+    "('token index scan on c_mktsegment', NULL), ('full scan', 'index join by hash index'), ('full scan', 'hash join'), ('B+tree index scan on id', 'nested loop join')) t(scan, join_by)"
+)
 def sql_explain(s: SparkSession, d: str) -> DataFrame:
-    e = engine(s, d)
-    e.register("lookup", table(s, d, "customer").withColumnRenamed("c_custkey", "id"))
-    plans = [e.explain("SELECT * FROM orders JOIN customer ON o_custkey = c_custkey")]
-    e.catalog.create_index("public", "lookup", "hashIndex")
-    plans.append(e.explain("SELECT * FROM orders JOIN lookup ON o_custkey = id"))
+    e = indexed(s, d)
+    e.register("orders", orders(s, d))
+    texts = [
+        "buyer WHERE id = 77", "sale WHERE id = 4242", "sale WHERE o_orderpriority = '1-URGENT'", "buyer WHERE c_mktsegment = 'BUILDING'",
+        "orders JOIN buyer ON o_custkey = id", "orders JOIN sale ON o_custkey = o_custkey", "sale JOIN orders ON o_custkey = o_custkey WHERE id = 3",
+    ]
+    plans = [e.explain(f"SELECT * FROM {t}") for t in texts]
     return s.createDataFrame([(p.scan, p.join) for p in plans], "scan string, join_by string")
 
 
+@shows("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 42")
+def hash_index_get(s: SparkSession, d: str) -> DataFrame:
+    path = stored(s, d, "by-customer", lambda p: indexes.HashIndex.write(orders(s, d), p, "o_custkey"))
+    return indexes.HashIndex(s, path).lookup(42).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 # Documents: events as (doc_id, json).
 
 
@@ -286,9 +368,21 @@ def event_documents(s: SparkSession, d: str) -> DataFrame:
 
 @shows("SELECT event_id AS doc_id, props AS json FROM events")
 def doc_scan(s: SparkSession, d: str) -> DataFrame:
-    path = _shared(s, "documents")
-    docs = event_documents(s, d)
-    docfile.write_documents(docs, path)
+    path = stored(s, d, "documents", lambda p: docfile.write_documents(event_documents(s, d), p))
+    return docfile.read_documents(s, path).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@shows("SELECT event_id AS doc_id, CASE WHEN event_id % 3 = 0 THEN 'third' WHEN event_id % 2 = 0 THEN 'second' ELSE props END AS json FROM events")
+def doc_append_twice(s: SparkSession, d: str) -> DataFrame:
+    """A document file that is appended to twice: the last line of an id holds."""
+
+    def build(path: str) -> None:
+        docs = event_documents(s, d)
+        docfile.write_documents(docs, path)
+        for step, text in ((2, "second"), (3, "third")):
+            docfile.write_documents(docs.where(F.col("doc_id") % step == 0).withColumn("json", F.lit(text)), path)
+
+    path = stored(s, d, "appended", build)
     return docfile.read_documents(s, path).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -304,7 +398,14 @@ def json_extract(s: SparkSession, d: str) -> DataFrame:
 
 @shows("SELECT event_id AS doc_id, props AS json FROM events UNION ALL SELECT (SELECT max(event_id) FROM events) + 1, '{\"k\": -1}'")
 def doc_append(s: SparkSession, d: str) -> DataFrame:
-    return docfile.append(event_documents(s, d), s.createDataFrame([('{"k": -1}',)], "json string"))
+    def build(path: str) -> None:
+        docs = event_documents(s, d)
+        docfile.write_documents(docs, path)
+        new = docfile.append(docs.where(F.lit(False)), s.createDataFrame([('{"k": -1}',)], "json string"), first=docfile.next_id(docs))
+        docfile.write_documents(new, path)
+
+    path = stored(s, d, "one-more", build)
+    return docfile.read_documents(s, path).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @shows("SELECT event_id AS doc_id, props AS json FROM events WHERE event_id <> 3")
@@ -314,9 +415,8 @@ def doc_delete(s: SparkSession, d: str) -> DataFrame:
 
 @shows("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_custkey AS value FROM orders")
 def snapshot_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    path = _shared(s, "snapshot")
-    docfile.write_snapshot(orders(s, d).select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value")), path)
-    return docfile.read_snapshot(s, path)
+    pairs = orders(s, d).select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"))
+    return docfile.read_snapshot(s, stored(s, d, "snapshot", lambda p: docfile.write_snapshot(pairs, p)))
 
 
 # Search.
@@ -329,40 +429,71 @@ tokens AS (
 )"""
 
 
+def token_index(s: SparkSession, d: str) -> indexes.TokenIndex:
+    docs = table(s, d, "documents")
+    return indexes.TokenIndex(s, stored(s, d, "tokens", lambda p: indexes.TokenIndex.write(docs, p, "doc_id", "text")))
+
+
 @shows(f"WITH {_TOKENS} SELECT doc_id AS id, token, count(*) AS n FROM tokens GROUP BY 1, 2")
 def token_list(s: SparkSession, d: str) -> DataFrame:
     return search.postings(table(s, d, "documents"), "doc_id", "text").groupBy("id", "token").agg(F.count("*").alias("n"))
 
 
-@shows(f"WITH {_TOKENS} SELECT DISTINCT doc_id AS id FROM tokens WHERE token = 'the'")
+@shows(f"WITH {_TOKENS} SELECT doc_id AS id, token, count(*) AS n FROM tokens GROUP BY 1, 2")
+def token_save_load(s: SparkSession, d: str) -> DataFrame:
+    """Postings written as lines and read back into an index."""
+    index = token_index(s, d)
+    saved = stored(s, d, "saved-tokens", index.save)
+    path = stored(s, d, "loaded-tokens", lambda p: indexes.TokenIndex.load(s, saved, p))
+    return indexes.TokenIndex(s, path).postings().withColumnRenamed("times", "n")
+
+
+_THE = f"WITH {_TOKENS} SELECT DISTINCT doc_id AS id FROM tokens WHERE token = 'the'"
+
+
+@shows(_THE)
 def token_search(s: SparkSession, d: str) -> DataFrame:
+    return token_index(s, d).find("The")
+
+
+@shows(_THE)
+def token_search_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same without an index."""
     return search.token_search(table(s, d, "documents"), "doc_id", "text", "The")
 
 
 @shows(f"WITH {_TOKENS} SELECT doc_id AS id FROM tokens WHERE token = 'the'")
 def token_occurrences(s: SparkSession, d: str) -> DataFrame:
-    return search.token_search(table(s, d, "documents"), "doc_id", "text", "the", occurrences=True)
+    return token_index(s, d).find("the", occurrences=True)
 
 
 @shows(f"WITH {_TOKENS} SELECT doc_id AS id FROM tokens WHERE token IN ('the', 'of') GROUP BY 1 HAVING count(DISTINCT token) = 2")
 def token_search_all(s: SparkSession, d: str) -> DataFrame:
-    return search.token_search_all(table(s, d, "documents"), "doc_id", "text", ["the", "OF"])
+    return token_index(s, d).find_all(["the", "OF"])
 
 
 @shows(f"WITH {_TOKENS} SELECT DISTINCT doc_id AS id FROM tokens WHERE token IN ('the', 'und')")
 def token_search_any(s: SparkSession, d: str) -> DataFrame:
-    return search.token_search_any(table(s, d, "documents"), "doc_id", "text", ["the", "und"])
+    return token_index(s, d).find_any(["the", "und"])
 
 
 @shows(f"WITH {_TOKENS} SELECT count(DISTINCT token) AS n FROM tokens")
 def token_count(s: SparkSession, d: str) -> DataFrame:
-    return search.token_count(table(s, d, "documents"), "text")
+    return token_index(s, d).token_count()
 
 
-@shows(f"WITH {_TOKENS} SELECT token, count(DISTINCT doc_id) AS n FROM tokens WHERE doc_id <> 1 GROUP BY 1")
+@shows(f"WITH {_TOKENS} SELECT token, count(DISTINCT doc_id) AS n FROM tokens WHERE doc_id % 3 <> 1 OR doc_id % 2 = 0 GROUP BY 1")
 def token_delete(s: SparkSession, d: str) -> DataFrame:
-    left = docfile.without(table(s, d, "documents"), F.col("doc_id") == 1)
-    return search.postings(left, "doc_id", "text").groupBy("token").agg(F.countDistinct("id").alias("n"))
+    """An index from which a third of the documents has been removed, and some of these inserted again."""
+    docs = table(s, d, "documents")
+
+    def build(path: str) -> None:
+        index = indexes.TokenIndex.write(docs, path, "doc_id", "text")
+        index.remove(docs.where("doc_id % 3 = 1").select("doc_id"))
+        index.insert(docs.where("doc_id % 3 = 1 AND doc_id % 2 = 0"), "doc_id", "text")
+
+    index = indexes.TokenIndex(s, stored(s, d, "shrunken", build))
+    return index.postings().groupBy("token").agg(F.countDistinct("id").alias("n"))
 
 
 _PARTS = """
@@ -373,7 +504,17 @@ words AS (
 
 
 def part_postings(s: SparkSession, d: str) -> DataFrame:
-    return search.column_postings(pruning.with_partitions(table(s, d, "part"), "p_partkey"), "p_name", "partition_id", "p_partkey")
+    def build(path: str) -> None:
+        parts = pruning.with_partitions(table(s, d, "part"), "p_partkey")
+        tables.write(search.column_postings(parts, "p_name", "partition_id", "p_partkey"), path, cluster_by="token")
+
+    return s.read.parquet(stored(s, d, "parts", build))
+
+
+@shows("SELECT * FROM (VALUES ('p_brand', false), ('p_name', true)) t(column_name, indexed)")
+def inverted_is_indexed(s: SparkSession, d: str) -> DataFrame:
+    posted = part_postings(s, d)
+    return s.createDataFrame([(c, search.is_indexed(posted, c)) for c in ("p_brand", "P_Name")], "column_name string, indexed boolean").withColumn("column_name", F.lower("column_name"))
 
 
 @shows(f"WITH {_PARTS} SELECT token, count(*) AS n FROM words GROUP BY 1")
@@ -411,30 +552,51 @@ def order_values(s: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array("o_orderstatus", "o_orderpriority")).alias("value"))
 
 
-@shows("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'F'")
+def bitmap_index(s: SparkSession, d: str) -> indexes.BitmapIndex:
+    return indexes.BitmapIndex(s, stored(s, d, "bitmaps", lambda p: indexes.BitmapIndex.write(order_values(s, d), p)))
+
+
+_FINISHED = "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'F'"
+
+
+@shows(_FINISHED)
 def bitmap_search(s: SparkSession, d: str) -> DataFrame:
-    return search.bitmap_search(order_values(s, d), [" f "])
+    return bitmap_index(s, d).find([" f "])
+
+
+@shows(_FINISHED)
+def bitmap_save_load(s: SparkSession, d: str) -> DataFrame:
+    """Bitmaps written as lines of base64 and read back into an index."""
+    saved = stored(s, d, "saved-bitmaps", bitmap_index(s, d).save)
+    path = stored(s, d, "loaded-bitmaps", lambda p: indexes.BitmapIndex.load(s, saved, p))
+    return indexes.BitmapIndex(s, path).find(["F"])
 
 
-@shows("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+@shows(f"{_FINISHED} AND o_orderpriority = '1-URGENT'")
 def bitmap_and(s: SparkSession, d: str) -> DataFrame:
-    return search.bitmap_search(order_values(s, d), ["F", "1-urgent"], every=True)
+    return bitmap_index(s, d).find(["F", "1-urgent"], every=True)
 
 
 @shows("SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def bitmap_and_count(s: SparkSession, d: str) -> DataFrame:
-    index = search.bitmaps(order_values(s, d))
-    return search.bitmap_and(index, ["F", "1-urgent"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    both = search.bitmap_all(bitmap_index(s, d).bitmaps, ["F", "1-urgent"])
+    return both.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("n"))
 
 
-@shows("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'")
+@shows(f"{_FINISHED} OR o_orderpriority = '1-URGENT'")
 def bitmap_or(s: SparkSession, d: str) -> DataFrame:
+    return bitmap_index(s, d).find(["F", "1-urgent"])
+
+
+@shows(f"{_FINISHED} OR o_orderpriority = '1-URGENT'")
+def bitmap_or_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same without an index."""
     return search.bitmap_search(order_values(s, d), ["F", "1-urgent"])
 
 
 @shows(f"WITH {_VALUES} SELECT value, count(DISTINCT doc_id) AS n FROM v GROUP BY 1")
 def bitmap_cardinality(s: SparkSession, d: str) -> DataFrame:
-    return search.bitmap_cardinality(order_values(s, d))
+    return bitmap_index(s, d).cardinality()
 
 
 @shows(f"WITH {_VALUES} SELECT value, count(DISTINCT doc_id) AS n FROM v WHERE doc_id <> 5 GROUP BY 1")
@@ -454,40 +616,82 @@ def zone_map(s: SparkSession, d: str) -> DataFrame:
     return pruning.zone_map(zoned(s, d), ["o_totalprice"])
 
 
+def zone_table(s: SparkSession, d: str) -> ZonedTable:
+    """Orders in micro-partitions of 100 keys, with ranges and Bloom filters of order and customer."""
+
+    def build(path: str) -> None:
+        part = F.floor(F.col("o_orderkey") / tables.PARTITION_ROWS)
+        ZonedTable.write(orders(s, d), path, "o_orderkey", zones=["o_custkey"], bloom=["o_orderkey", "o_custkey"], partition=part)
+
+    return ZonedTable(s, stored(s, d, "zones", build))
+
+
 @shows("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 777")
 def zone_prune(s: SparkSession, d: str) -> DataFrame:
-    o = zoned(s, d)
-    return pruning.pruned_select(o, pruning.zone_map(o, ["o_orderkey"]), "o_orderkey", 777).select("o_orderkey", "o_custkey")
+    return zone_table(s, d).select("o_orderkey", 777, ["o_orderkey", "o_custkey"])
 
 
-@shows("SELECT count(DISTINCT o_orderkey // 100) AS partitions, 1 AS after_ranges, 1 AS after_bloom FROM orders")
+@shows("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 77")
+def zone_prune_unclustered(s: SparkSession, d: str) -> DataFrame:
+    return zone_table(s, d).select("o_custkey", 77, ["o_orderkey", "o_custkey"])
+
+
+@shows(
+    """
+WITH z AS (SELECT o_orderkey // 100 AS p, min(o_custkey) AS low, max(o_custkey) AS high, count(*) FILTER (o_custkey = 77) AS n FROM orders GROUP BY 1)
+SELECT count(*) AS partitions, count(*) FILTER (77 BETWEEN low AND high) AS after_ranges, count(*) FILTER (n > 0) AS holding, 0 AS missed,
+       true AS few_false FROM z"""
+)
 def prune_report(s: SparkSession, d: str) -> DataFrame:
-    return pruning.prune_report(zoned(s, d), ["o_orderkey"], "o_orderkey", 777)
+    """What ranges and Bloom filters leave of the partitions for a customer, against where the customer is."""
+    zones = zone_table(s, d)
+    holding = zoned(s, d).where("o_custkey = 77").select("partition_id").distinct()
+    left = zones.candidates("o_custkey", 77).select(F.col("__partition").alias("p"))
+    met = holding.join(left, F.col("partition_id") == F.col("p"), "left")
+    facts = met.agg(F.count("*").alias("holding"), F.count_if(F.col("p").isNull()).alias("missed"))
+    return zones.report("o_custkey", 77).join(F.broadcast(facts)).select(  # one row each
+        "partitions", "after_ranges", "holding", "missed",
+        (F.col("after_bloom") <= F.col("holding") + 0.03 * F.col("after_ranges") + 1).alias("few_false"),
+    )
 
 
-@shows("SELECT count(*) AS n_rows, true AS disjoint FROM orders")
+@shows("SELECT count(*) AS n_rows, 0 AS overlaps FROM orders")
 def cluster_by(s: SparkSession, d: str) -> DataFrame:
-    path = _shared(s, "clustered")
-    tables.write(orders(s, d), path, cluster_by="o_custkey", partitions=8, bloom=["o_custkey"])
-    files = s.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(
+    """Files written by customer: their rows, and neighbours in the order of their ranges that overlap by more than an end."""
+    path = stored(s, d, "clustered", lambda p: tables.write(orders(s, d), p, cluster_by="o_custkey", partitions=8, bloom=["o_custkey"]))
+    ranges = s.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(
         F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"), F.count("*").alias("n")
     )
-    other = files.select(F.col("f").alias("g"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    meet = files.join(other, (F.col("f") < F.col("g")) & (F.col("low") <= F.col("h2")) & (F.col("l2") <= F.col("high")))
-    return files.agg(F.sum("n").alias("n_rows")).crossJoin(meet.agg((F.count("*") == 0).alias("disjoint")))
+    before = W.orderBy("low", "high")  # a row a file
+    return ranges.withColumn("last", F.lag("high").over(before)).agg(
+        F.sum("n").alias("n_rows"), F.count_if(F.col("last") >= F.col("low")).alias("overlaps")
+    )
+
+
+@shows("SELECT count(*) AS n_rows, ceil(count(*) / 100)::BIGINT AS least_files, true AS rolled FROM orders")
+def table_rollover(s: SparkSession, d: str) -> DataFrame:
+    """A table whose files are rolled over at 100 rows (here of 1,000 keys' layouts, in tasks of their own)."""
+    path = stored(s, d, "rolled", lambda p: tables.write(orders(s, d).select("o_orderkey"), p, cluster_by="o_orderkey", rows_per_file=tables.PARTITION_ROWS))
+    sizes = s.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
+    return sizes.agg(
+        F.sum("n").alias("n_rows"), F.ceil(F.sum("n") / tables.PARTITION_ROWS).alias("least_files"),
+        ((F.max("n") <= tables.PARTITION_ROWS) & (F.count("*") >= F.sum("n") / tables.PARTITION_ROWS)).alias("rolled"),
+    )
 
 
 @shows("SELECT count(*) AS members, 0 AS missed, true AS few_false FROM orders")
 def bloom_no_false_negative(s: SparkSession, d: str) -> DataFrame:
-    o = orders(s, d)
+    o = orders(s, d).select("o_orderkey")
     n = o.count()
     params = pruning.bloom_params(n, 0.01)
-    held = pruning.bloom_build(o, "o_orderkey", *params)
-    inside = o.select("o_orderkey").crossJoin(F.broadcast(held))
-    absent = o.select((F.col("o_orderkey") + n).alias("o_orderkey")).crossJoin(F.broadcast(held))
-    probe = pruning.bloom_probe(held, F.col("o_orderkey"), *params)
-    found = inside.agg(F.count("*").alias("members"), F.count_if(~probe).alias("missed"))
-    return found.crossJoin(absent.agg((F.count_if(probe) <= F.count("*") * 0.03).alias("few_false")))
+    words = s.read.parquet(stored(s, d, "bloom", lambda p: pruning.bloom_words(o, "o_orderkey", *params).write.parquet(p)))
+    rows = o.select("o_orderkey", F.lit(True).alias("inside")).union(o.select(F.col("o_orderkey") + n, F.lit(False)))
+    found = pruning.bloom_member(rows, "o_orderkey", words, *params)
+    inside, held = F.col("inside"), F.col("held")
+    return found.agg(
+        F.count_if(inside).alias("members"), F.count_if(inside & ~held).alias("missed"),
+        (F.count_if(~inside & held) <= F.count_if(~inside) * 0.03).alias("few_false"),
+    )
 
 
 @shows("SELECT 959 AS bits, 7 AS hashes")
@@ -549,6 +753,62 @@ def lsm_compact(s: SparkSession, d: str) -> DataFrame:
     return versions.lsm_read(versions.lsm_compact(lsm_log(s, d))).drop("run")
 
 
+def lsm_tree(s: SparkSession, d: str) -> versions.LsmTree:
+    """The log as runs of 1,000 numbers each (a bulk flush a run), and a memory table on top."""
+
+    def build(path: str) -> None:
+        tree = versions.LsmTree(s, path)
+        log = lsm_log(s, d)
+        for r in log.select("run").distinct().orderBy("run").limit(LSM_RUNS).collect():
+            tree.ingest(log.where(F.col("run") == r.run))
+        tree.ingest(log.where(F.col("run") >= LSM_RUNS))
+
+    return versions.LsmTree(s, stored(s, d, "lsm", build))
+
+
+#: Runs of 1,000 numbers that are flushed one by one; the rest is one run.
+LSM_RUNS = 4
+
+
+@shows(f"WITH {_LSM} SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM log GROUP BY key HAVING NOT arg_max(deleted, seq)")
+def lsm_run_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """The live keys of a tree that is read from its run files."""
+    return lsm_tree(s, d).read()
+
+
+@shows(
+    f"WITH {_LSM}, live AS (SELECT key, arg_max(value, seq) AS value FROM log GROUP BY key HAVING NOT arg_max(deleted, seq)) "
+    "SELECT key, CASE WHEN key IN (1, 2, 3) THEN -key ELSE value END AS value FROM (SELECT key, value FROM live WHERE key NOT IN (1, 2, 3, 4, 5) UNION ALL SELECT unnest([1, 2, 3]), 0)"
+)
+def lsm_flush(s: SparkSession, d: str) -> DataFrame:
+    """Five puts and tombstones more, which the memory table flushes by itself, and a merge of the two oldest runs."""
+
+    def build(path: str) -> None:
+        tree = versions.LsmTree(s, path)
+        tree.ingest(lsm_log(s, d))
+        for key in (1, 2, 3):
+            tree.put(key, -key)
+        tree.remove(4)
+        tree.remove(5)
+        tree.merge()
+
+    return versions.LsmTree(s, stored(s, d, "flushed", build)).read().select("key", "value")
+
+
+@shows(f"WITH {_LSM}, r AS (SELECT DISTINCT key, least(seq // 1000, 4) AS run FROM log) SELECT run, count(*) AS keys, 0 AS missed FROM r GROUP BY 1")
+def lsm_bloom_counts(s: SparkSession, d: str) -> DataFrame:
+    """Each run's keys, and those that its Bloom filter would lose."""
+    tree = lsm_tree(s, d)
+    out = None
+    for k, name in enumerate(tree.runs()):
+        bits, hashes = map(int, name.split("-")[3:])
+        words = s.read.parquet(f"{tree.folder}/bloom-{name}")
+        held = pruning.bloom_member(tree.read_run(name).select("key"), "key", words, bits, hashes)
+        own = held.agg(F.lit(k).cast("long").alias("run"), F.count("*").alias("keys"), F.count_if(~F.col("held")).alias("missed"))
+        out = own if out is None else out.union(own)
+    return out.where("keys > 0")
+
+
 def history(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).selectExpr(
         "user_id AS doc_id", "event_id AS version_seq", "event_id DIV 10 AS writer_tx",
@@ -571,7 +831,12 @@ SELECT doc_id, version_seq, writer_tx FROM seen WHERE rn = 1 AND NOT deleted AND
 
 _READ = ["doc_id", "version_seq", "writer_tx"]
 _COMMITTED = "status = 'COMMITTED'"
-_SNAPSHOT = f"{_COMMITTED} AND writer_tx <= 50"
+#: Half of the largest committed writer.
+_SNAPSHOT = f"{_COMMITTED} AND writer_tx <= (SELECT max(writer_tx) // 2 FROM h WHERE {_COMMITTED})"
+
+
+def _snapshot(h: DataFrame) -> int:
+    return h.where(_COMMITTED).agg(F.max("writer_tx")).first()[0] // 2
 
 
 @shows(_mvcc("status <> 'ROLLED_BACK'"))
@@ -586,12 +851,14 @@ def mvcc_read_committed(s: SparkSession, d: str) -> DataFrame:
 
 @shows(_mvcc(_SNAPSHOT))
 def mvcc_repeatable_read(s: SparkSession, d: str) -> DataFrame:
-    return versions.mvcc_read(history(s, d), "REPEATABLE_READ", 50).select(*_READ)
+    h = history(s, d)
+    return versions.mvcc_read(h, "REPEATABLE_READ", _snapshot(h)).select(*_READ)
 
 
 @shows(_mvcc(_SNAPSHOT))
 def mvcc_serializable(s: SparkSession, d: str) -> DataFrame:
-    return versions.mvcc_read(history(s, d), "SERIALIZABLE", 50).select(*_READ)
+    h = history(s, d)
+    return versions.mvcc_read(h, "SERIALIZABLE", _snapshot(h)).select(*_READ)
 
 
 @shows(_mvcc(_COMMITTED, "doc_id BETWEEN 10 AND 60"))

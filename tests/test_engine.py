@@ -11,33 +11,31 @@ from oakmill.errors import (
     DuplicateIndex, MalformedRequest, MissingDocument, MissingIndex, UnknownColumn, UnknownIndexType, UnknownTable,
 )
 from oakmill.operators import pruning, query
-from oakmill.sources import docfile, tables
+from oakmill.sources import docfile, files, tables
+from oakmill.sources.zones import ZonedTable
 
-ORDERS = [
-    (1, 1, 500, "EU", 20240101), (2, 2, 300, "US", 20240115), (3, 1, 200, "EU", 20240120), (4, 3, 750, "EU", 20240201),
-    (5, 2, 400, "US", 20240210), (6, 5, 100, "APAC", 20240301), (7, 4, 950, "APAC", 20240315), (8, 3, 620, "EU", 20240320),
-    (9, 1, 800, "EU", 20240401), (10, 2, 250, "US", 20240410),
-]
+#: trip, rider, fare, zone, day
+TRIPS = [(i, (i * 7) % 6, 10 + (i * 37) % 90, ("north", "south", "harbour")[i * i % 3 if i % 4 else 2], 730 + (i * 11) % 28) for i in range(40)]
+RIDERS = [(r, f"rider {r}", ("north", "south")[r % 2]) for r in range(5)]  # rider 5 has trips and no row
 
 
 @pytest.fixture(scope="module")
 def engine(spark):
     e = Engine(spark)
-    e.register("orders", tables.rows(spark, ORDERS, "order_id int, customer_id int, amount int, region string, order_date int"))
-    people = [(1, "Alice", "EU"), (2, "Bob", "US"), (3, "Carol", "EU"), (4, "Dave", "APAC"), (5, "Eve", "US")]
-    e.register("Customers", tables.rows(spark, people, "customer_id int, name string, region string"))
+    e.register("trips", tables.rows(spark, TRIPS, "trip int, rider int, fare int, zone string, day int"))
+    e.register("Riders", tables.rows(spark, RIDERS, "rider int, name string, zone string"))
     return e
 
 
 def test_catalog(engine):
     c = engine.catalog
-    assert len(c) == 2 and c.names("PUBLIC") == ["orders", "customers"]
+    assert len(c) == 2 and c.names("PUBLIC") == ["trips", "riders"]
     assert c.get("public", "none") is None
     with pytest.raises(UnknownTable):
         c.require("public", "none")
-    assert c.require("public", "ORDERS").column("Amount").dataType.simpleString() == "int"
+    assert c.require("public", "TRIPS").column("Fare").dataType.simpleString() == "int"
     with pytest.raises(UnknownColumn):
-        c.require("public", "orders").column("nothing")
+        c.require("public", "trips").column("nothing")
 
 
 def test_catalog_replaces_and_keeps_order(spark):
@@ -55,7 +53,7 @@ def test_catalog_replaces_and_keeps_order(spark):
 
 def test_indexes(spark):
     c = Catalog(spark)
-    c.register("s", "t", spark.range(1))
+    c.register("s", "t", spark.range(9).select("id", F.lit("x").alias("v")))
     assert c.create_index("s", "t", "BPlusTree")
     with pytest.raises(DuplicateIndex, match="DB-402"):
         c.create_index("s", "t", "bplustree")
@@ -63,28 +61,42 @@ def test_indexes(spark):
         c.drop_index("s", "t", "gin")
     with pytest.raises(UnknownIndexType, match="DB-404"):
         c.create_index("s", "t", "rtree")
+    path = c.require("s", "t").indexes["bplustree"].path
     c.drop_index("s", "t", "bplustree")
+    assert not files.exists(spark, path) and not c.require("s", "t").indexes
+    with pytest.raises(UnknownColumn):
+        c.create_index("s", "t", "gin", "id")
 
 
 def test_select(engine):
-    assert engine.select("orders", "order_date", 19990101).count() == 0
-    assert engine.select("orders", "region", "EU").count() == 5
-    assert engine.select("orders", "region", "US").count() == 3
-    assert engine.select("orders").count() == 10
-    assert engine.select("orders", "region", None, ["order_id"]).count() == 10
+    zones = [t[3] for t in TRIPS]
+    assert engine.select("trips", "day", 1).count() == 0
+    for zone in set(zones):
+        assert engine.select("trips", "zone", zone).count() == zones.count(zone)
+    assert engine.select("trips").count() == len(TRIPS)
+    assert engine.select("trips", "zone", None, ["trip"]).count() == len(TRIPS)
     # the filtered column needn't be in the result
-    assert engine.select("orders", "region", "EU", ["order_id"]).columns == ["order_id"]
-    assert engine.select("orders", "region", "EU", ["order_id"]).count() == 5
+    assert engine.select("trips", "zone", "harbour", ["trip"]).columns == ["trip"]
     with pytest.raises(UnknownColumn):
-        engine.select("orders", columns=["nothing"])
+        engine.select("trips", columns=["nothing"])
 
 
 def test_aggregates(engine):
-    row = engine.aggregate("orders", total=F.sum("amount"), mean=F.avg("amount")).first()
-    assert (row.total, row.mean) == (4870, 487.0)
-    got = {r.region: r.total for r in engine.group_by("orders", "region", total=F.sum("amount")).collect()}
-    assert got == {"EU": 2870, "US": 950, "APAC": 1050}
-    assert query.count_where(engine.table("orders"), F.col("amount") > 500).first().n == 4
+    fares = [t[2] for t in TRIPS]
+    row = engine.aggregate("trips", total=F.sum("fare"), mean=F.avg("fare")).first()
+    assert (row.total, row.mean) == (sum(fares), pytest.approx(sum(fares) / len(fares)))
+    want = {}
+    for _, _, fare, zone, _ in TRIPS:
+        want[zone] = want.get(zone, 0) + fare
+    assert {r.zone: r.total for r in engine.group_by("trips", "zone", total=F.sum("fare")).collect()} == want
+    assert query.count_where(engine.table("trips"), F.col("fare") > 50).first().n == sum(f > 50 for f in fares)
+
+
+def test_join_of_registered_tables(engine):
+    known = [t for t in TRIPS if t[1] < 5]
+    for strategy in ("broadcast", "hash", "merge", "nested_loop", "index", "auto"):
+        got = engine.join("trips", "rider", "riders", "rider", ["trip", "name", "zone"], strategy).collect()
+        assert sorted(tuple(r) for r in got) == sorted((t[0], f"rider {t[1]}", t[3]) for t in known)  # zone is the left's
 
 
 def test_group_apply_sees_nulls_and_the_null_group(spark):
@@ -117,43 +129,113 @@ def test_clustered_files_have_disjoint_ranges(spark, tmp_path):
 
 
 def test_zone_maps(spark):
-    df = spark.createDataFrame([(0, 20240101), (0, 20240131), (1, None)], "partition_id int, d int")
+    df = spark.createDataFrame([(0, 5), (0, 25), (1, None)], "partition_id int, d int")
     zones = pruning.zone_map(df, ["d"])
-    assert {r.partition_id for r in pruning.may_hold(zones, "d", 20240301).collect()} == {1}
-    for v in (20240101, 20240115, 20240131):  # bounds belong to the range; a zone of nulls is kept
+    assert {r.partition_id for r in pruning.may_hold(zones, "d", 31).collect()} == {1}
+    for v in (5, 15, 25):  # bounds belong to the range; a zone of nulls is kept
         assert {r.partition_id for r in pruning.may_hold(zones, "d", v).collect()} == {0, 1}
 
 
-def test_bloom(spark):
+def opened(df):
+    return {f.rsplit("/", 1)[1] for f in df.inputFiles()}
+
+
+def test_a_zoned_table_opens_few_files(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("k"), ((F.col("id") * 7919) % 4000).alias("other"), F.nullif(F.col("id") % 50, F.lit(0)).alias("odd"))
+    t = ZonedTable.write(rows.repartition(7), str(tmp_path / "t"), "k", bloom=["other"], rows_per_file=100)
+    files = opened(t.data)
+    assert len(files) >= 40 and max(r["count"] for r in t.data.groupBy(F.input_file_name()).count().collect()) <= 100
+    one = t.select("k", 1234)
+    assert [tuple(r) for r in one.collect()] == [(1234, 1234 * 7919 % 4000, 34)] and len(opened(one)) == 1
+    by_bloom = t.select("other", 17, ["k"])
+    assert [(r.k * 7919) % 4000 for r in by_bloom.collect()] == [17] and len(opened(by_bloom)) < 8
+    assert t.select("k", 9999).count() == 0 and t.select("k", None).count() == 0 and t.select("k", "x").count() == 0
+    assert t.select("odd", 7, ["k"]).count() == 80  # neither zone nor filter: all files
+    report = t.report("other", 17).first()
+    assert report.partitions == report.after_ranges == len(files) and report.after_bloom == len(opened(by_bloom))
+    with pytest.raises(UnknownColumn):
+        t.select("nothing", 1)
+
+
+def test_micro_partitions_lie_in_one_file(spark, tmp_path):
+    t = ZonedTable.write(spark.range(1000), str(tmp_path / "t"), "id", bloom=["id"], partition=F.floor(F.col("id") / 100))
+    assert t.zones.count() == t.zones.select("__partition").distinct().count() == 10
+    assert [r.id for r in t.select("id", 777).collect()] == [777] and t.report("id", 777).first().after_ranges == 1
+    assert t.rows().columns == ["id"]
+
+
+def test_an_empty_zoned_table(spark, tmp_path):
+    t = ZonedTable.write(spark.range(0), str(tmp_path / "t"), "id", bloom=["id"])
+    assert t.select("id", 1).count() == 0 and t.report("id", 1).first().partitions == 0
+
+
+def test_a_stored_table_is_clustered_by_its_key(spark):
+    e = Engine(spark)
+    e.register("trips", tables.rows(spark, TRIPS, "trip int, rider int, fare int, zone string, day int"))
+    e.catalog.set_clustered_key("public", "trips", "Day")
+    e.catalog.store("public", "trips", rows_per_file=5)
+    for day in {t[4] for t in TRIPS}:
+        got = e.select("trips", "day", day, ["trip"])
+        assert sorted(r.trip for r in got.collect()) == sorted(t[0] for t in TRIPS if t[4] == day)
+    entry = e.catalog.require("public", "trips")
+    assert len(opened(e.select("trips", "day", TRIPS[0][4]))) < len(opened(entry.data))
+    assert entry.data.columns == ["trip", "rider", "fare", "zone", "day"]
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1])
+def test_bloom(spark, monkeypatch, most):
+    """As one broadcast map, and by a join of words."""
+    monkeypatch.setattr(pruning, "BROADCAST_BITS", most)
     assert pruning.bloom_params(100, 0.01) == (959, 7)
     n = 10_000
     params = pruning.bloom_params(n, 0.01)
-    held = pruning.bloom_build(spark.range(n), "id", *params)
-    probe = pruning.bloom_probe(held, F.col("id"), *params)
-    rows = spark.range(2 * n).crossJoin(F.broadcast(held)).select((F.col("id") < n).alias("inside"), probe.alias("hit"))
-    got = {(r.inside, r.hit): r["count"] for r in rows.groupBy("inside", "hit").count().collect()}
-    assert (True, False) not in got and got[True, True] == n
+    words = pruning.bloom_words(spark.range(n), "id", *params)
+    rows = spark.range(2 * n).select("id", (F.col("id") < n).alias("inside")).union(spark.createDataFrame([(None, None)], "id long, inside boolean"))
+    got = {(r.inside, r.held): r["count"] for r in pruning.bloom_member(rows, "id", words, *params).groupBy("inside", "held").count().collect()}
+    assert (True, False) not in got and got[True, True] == n and got[None, False] == 1
     assert got.get((False, True), 0) <= 0.03 * n
     assert abs(pruning.false_positive_rate(*params, n) - 0.01) < 0.002
 
 
 def test_document_file(spark, tmp_path):
-    path = str(tmp_path / "data.dat")
+    path = str(tmp_path / "notes.dat")
     with open(path, "w") as f:
-        f.write('0,{"id":0}\n1,{"a":"x,y"}\n\n1,{"a":"later"}\n')
+        f.write('0,{"k":0}\n1,{"a":"x,y"}\n\n1,{"a":"later"}\n')
     got = {r.doc_id: r.json for r in docfile.read_documents(spark, path).collect()}
-    assert got == {0: '{"id":0}', 1: '{"a":"later"}'}
-    assert docfile.line_exists(spark, path, ' 0,{"id":0} ') and not docfile.line_exists(spark, path, "0")
+    assert got == {0: '{"k":0}', 1: '{"a":"later"}'}
+    assert docfile.line_exists(spark, path, ' 0,{"k":0} ') and not docfile.line_exists(spark, path, "0")
     assert docfile.next_id(docfile.read_documents(spark, path)) == 2
-    assert docfile.delete_matching(spark, str(tmp_path), r".*\.dat") == ["data.dat"]
+    assert docfile.delete_matching(spark, str(tmp_path), r".*\.dat") == ["notes.dat"]
+
+
+def test_the_last_of_many_appends_holds(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    for k in range(12):
+        rows = [(i, f"write {k}") for i in range(0, 40, k + 1)]
+        docfile.write_documents(spark.createDataFrame(rows, "doc_id int, json string").repartition(3), path)
+    got = {r.doc_id: r.json for r in docfile.read_documents(spark, path).collect()}
+    assert got == {i: f"write {max(k for k in range(12) if i % (k + 1) == 0)}" for i in range(40)}
+
+
+def test_a_file_in_many_blocks_keeps_its_order(spark, tmp_path):
+    path = str(tmp_path / "big.dat")
+    with open(path, "w") as f:
+        f.writelines(f"{i % 7},{i}\n" for i in range(3000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r.doc_id: int(r.json) for r in docfile.read_documents(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i % 7: i for i in range(3000)}
 
 
 def test_document_store(spark, tmp_path):
     store = docfile.DocumentStore(spark, str(tmp_path / "docs"))
     assert store.find(0) is None
-    assert store.append([f'{{"data":"testdata{i}","id":{i}}}' for i in range(5)]) == [0, 1, 2, 3, 4]
+    notes = [f'{{"note":"no. {i}","k":{i * i}}}' for i in range(5)]
+    assert store.append(notes) == [0, 1, 2, 3, 4]
     reader = store.documents()
-    assert store.delete(1) == '1,{"data":"testdata1","id":1}'
+    assert store.delete(1) == f"1,{notes[1]}"
     assert store.find(1) is None and store.find("1") is None
     assert reader.count() == 5 and store.documents().count() == 4  # a reader keeps its version
     assert store.append(['{"a":\n1}']) == [5] and store.find(5) == '{"a":1}'
@@ -161,6 +243,10 @@ def test_document_store(spark, tmp_path):
         store.delete(99)
     with pytest.raises(MalformedRequest, match="DB-401"):
         store.append([""])
+    before = sorted(map(tuple, store.documents().collect()))
+    store.compact()
+    assert sorted(map(tuple, store.documents().collect())) == before and len(store._versions()) == 1
+    assert store.delete(5) and store.append(['{"b":2}']) == [6]  # ids aren't used again
     store.drop()
     assert store.documents().count() == 0
 

@@ -6,9 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oakmill.functions.text import column_tokens, document_tokens, trim_all
-from oakmill.operators import search
+from oakmill.operators import indexes, search
 
-WORDS = [("hello world", 10), ("hello java", 20), ("world goodbye", 30)]
+WORDS = [("red kite over moor", 7), ("Kite: red, red", 8), ("moor {grey}", 9), ("", 10), (None, 11)]
 
 
 def ids(df):
@@ -25,19 +25,20 @@ def tokens(spark, values):
 
 
 def test_document_tokens(spark):
-    assert tokens(spark, ['{"data":"testdata42","id":42}', None, "", "   ", "A,b  C"]) == [
-        ["data", "testdata42", "id", "42"], [], [], [], ["a", "b", "c"],
+    assert tokens(spark, ['{"Note":"no. 7","k":[49]}', None, "", "   ", "A,b  C", "\x01ab\x02 c", "ΑΣ:Β ΑΣ"]) == [
+        ["note", "no.", "7", "k", "49"], [], [], [], ["a", "b", "c"], ["ab", "c"], ["ας", "β", "ας"],
     ]
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.text("aB{}\":,[] \t\n1", max_size=12), max_size=8))
+@given(st.lists(st.text("aB{}\":,[] \t\n1\x01\x1f", max_size=12), max_size=8))
 def test_document_tokens_model(spark, values):
     import re
 
     def model(v):
-        parts = re.split(r"\s+|,", re.sub(r'[{}":\[\]]', " ", v))
-        return [p.lower() for p in parts if p.strip()]
+        parts = re.split(r"[ \t\n\x0b\f\r]+|,", re.sub(r'[{}":\[\]]', " ", v))
+        edge = "".join(map(chr, range(33)))
+        return [p.strip(edge).lower() for p in parts if p.strip(edge)]
 
     assert tokens(spark, values) == [model(v) for v in values]
 
@@ -53,23 +54,55 @@ def test_trim_all(spark):
 
 def test_token_search(posted):
     args = (posted, "o", "t")
-    assert ids(search.token_search(*args, "HELLO")) == [10, 20]
-    assert ids(search.token_search_all(*args, ["hello", "world"])) == [10]
-    assert ids(search.token_search_all(*args, ["hello", "nothere"])) == []
+    assert ids(search.token_search(*args, "KITE")) == [7, 8]
+    assert ids(search.token_search_all(*args, ["red", "moor"])) == [7]
+    assert ids(search.token_search_all(*args, ["red", "nothere"])) == []
     assert ids(search.token_search_all(*args, [])) == []
-    assert ids(search.token_search_any(*args, ["java", "goodbye"])) == [20, 30]
+    assert ids(search.token_search_any(*args, ["grey", "over"])) == [7, 9]
     assert ids(search.token_search_any(*args, [])) == []
-
-
-def test_occurrences(spark):
-    df = spark.createDataFrame([("a b a", 1)], "t string, o long")
-    assert ids(search.token_search(df, "o", "t", "a", occurrences=True)) == [1, 1]
-    assert ids(search.token_search(df, "o", "t", "a")) == [1]
-
-
-def test_late_rows_are_found(posted, spark):
-    more = posted.union(spark.createDataFrame([("hello again", 40)], "t string, o long"))
-    assert ids(search.token_search(more, "o", "t", "hello")) == [10, 20, 40]
+    assert search.token_count(posted, "t").first().n == 5
+
+
+def test_occurrences(spark, posted):
+    assert ids(search.token_search(posted, "o", "t", "red", occurrences=True)) == [7, 8, 8]
+    assert ids(search.token_search(posted, "o", "t", "red")) == [7, 8]
+
+
+def test_token_index(spark, posted, tmp_path):
+    """Stored postings answer as the scan does; they take inserts and tombstones, and lines bring them back."""
+    index = indexes.TokenIndex.write(posted, str(tmp_path / "index"), "o", "t")
+
+    def agrees(index, docs):
+        args = (docs, "o", "t")
+        for t in ("KITE", "red", "grey", "none"):
+            assert ids(index.find(t)) == ids(search.token_search(*args, t))
+            assert ids(index.find(t, occurrences=True)) == ids(search.token_search(*args, t, occurrences=True))
+        for ts in (["red", "MOOR"], ["red", "red"], ["kite", "none"], []):
+            assert ids(index.find_all(ts)) == ids(search.token_search_all(*args, ts))
+            assert ids(index.find_any(ts)) == ids(search.token_search_any(*args, ts))
+        assert index.token_count().first().n == search.token_count(docs, "t").first().n
+
+    agrees(index, posted)
+    late = spark.createDataFrame([("grey kite", 40), ("pipe|d,1", 41)], "t string, o long")
+    index.insert(late, "o", "t")
+    agrees(index, posted.union(late))
+    index.remove(spark.createDataFrame([(7,), (9,), (99,)], "o long"))
+    left = posted.union(late).where("o not in (7, 9)")
+    agrees(index, left)
+    index.insert(posted.where("o = 7"), "o", "t")  # seen again
+    left = left.union(posted.where("o = 7"))
+    agrees(index, left)
+    index.save(str(tmp_path / "saved"))
+    agrees(indexes.TokenIndex.load(spark, str(tmp_path / "saved"), str(tmp_path / "loaded")), left)
+    none = indexes.TokenIndex.load(spark, str(tmp_path / "nothing"), str(tmp_path / "empty"))
+    assert ids(none.find("red")) == [] and none.token_count().first().n == 0
+    index.remove(left.select("o"))
+    assert index.token_count().first().n == 0
+
+
+def test_is_indexed(spark):
+    posted = search.column_postings(spark.createDataFrame([("a b", 1, 2)], "C string, p long, r long"), "C", "p", "r")
+    assert search.is_indexed(posted, "c") and not search.is_indexed(posted, "p")
 
 
 @pytest.fixture(scope="module")
@@ -78,14 +111,25 @@ def pairs(spark):
     return spark.createDataFrame(rows, "doc_id long, value string")
 
 
-def test_bitmaps(pairs):
+def test_bitmaps(spark, pairs, tmp_path):
     assert ids(search.bitmap_search(pairs, ["active"])) == [1, 2, 32769]
     assert ids(search.bitmap_search(pairs, ["active", "Premium"], every=True)) == [1]
     assert ids(search.bitmap_search(pairs, ["active", "none"], every=True)) == []
-    assert ids(search.bitmap_search(pairs, [], every=True)) == []
+    assert ids(search.bitmap_search(pairs, [], every=True)) == ids(search.bitmap_search(pairs, [])) == []
     assert ids(search.bitmap_search(pairs, ["active", "none"])) == [1, 2, 32769]
     assert ids(search.bitmap_search(pairs, [""])) == [0]
     got = {r.value: r.n for r in search.bitmap_cardinality(pairs).collect()}
     assert got == {"active": 3, "premium": 2, "": 1}
-    both = search.bitmap_and(search.bitmaps(pairs), ["active", "premium"]).agg(F.sum("n")).first()[0]
-    assert both == 1
+    index = indexes.BitmapIndex.write(pairs, str(tmp_path / "bitmaps"))
+    index.save(str(tmp_path / "saved"))
+    for stored in (index, indexes.BitmapIndex.load(spark, str(tmp_path / "saved"), str(tmp_path / "loaded"))):
+        assert ids(stored.find(["active", "PREMIUM "], every=True)) == [1]
+        assert ids(stored.find(["premium", ""])) == [0, 1, 3]
+        assert {r.value: r.n for r in stored.cardinality().collect()} == got
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.sets(st.integers(0, 100_000), max_size=200))
+def test_expanded_bits_are_the_ids(spark, numbers):
+    pairs = spark.createDataFrame([(n, "v") for n in numbers], "doc_id long, value string")
+    assert ids(search.bitmap_search(pairs, ["v"])) == sorted(numbers)

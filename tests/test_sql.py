@@ -10,21 +10,20 @@ from oakmill.plans.sql import Join, parse, plan
 @pytest.mark.parametrize(
     ("text", "columns", "where", "limit"),
     [
-        ("SELECT * FROM data", (), None, -1),
-        ("SELECT * FROM data WHERE id = 42", (), ("id", "42"), -1),
-        ("SELECT * FROM data WHERE data = 'testdata5'", (), ("data", "testdata5"), -1),
-        ("SELECT * FROM data LIMIT 10", (), None, 10),
-        ("select  a , B from Data where ID=5 limit 1 ;", ("a", "b"), ("id", "5"), 1),
+        ("SELECT * FROM trips", (), None, -1),
+        ("SELECT * FROM trips WHERE fare = 12", (), ("fare", "12"), -1),
+        ("SELECT * FROM trips WHERE trips.zone = 'north'", (), ("zone", "north"), -1),
+        ("SELECT fare FROM trips LIMIT 7", ("fare",), None, 7),
+        ("select  Fare , zone from Trips where DAY=5 limit 3 ;", ("fare", "zone"), ("day", "5"), 3),
     ],
 )
 def test_reads(text, columns, where, limit):
     s = parse(text)
-    assert (s.table, s.columns, s.where, s.limit) == ("data", columns, where, limit)
+    assert (s.table, s.columns, s.where, s.limit) == ("trips", columns, where, limit)
 
 
 def test_reads_joins():
-    s = parse("SELECT * FROM data JOIN lookup ON data.customer_id = lookup.id")
-    assert s.join == Join("lookup", "customer_id", "id", "AUTO")
+    assert parse("SELECT * FROM trips JOIN riders ON trips.rider = riders.no").join == Join("riders", "rider", "no", "AUTO")
     assert parse("SELECT * FROM a INNER JOIN b ON x = y HASH").join.hint == "HASH"
     s = parse("SELECT * FROM a JOIN b ON x = y nested_loop WHERE z = 1 LIMIT 2")
     assert (s.join.hint, s.where, s.limit) == ("NESTED_LOOP", ("z", "1"), 2)
@@ -32,7 +31,7 @@ def test_reads_joins():
 
 @pytest.mark.parametrize(
     "text",
-    ["", "INSERT INTO data VALUES (1)", "DELETE FROM data", "UPDATE data SET a = 1", "SELECT FROM data", "SELECT * FROM",
+    ["", "INSERT INTO trips VALUES (1)", "DELETE FROM trips", "UPDATE trips SET a = 1", "SELECT FROM trips", "SELECT * FROM",
      "SELECT * FROM a WHERE b > 1", "SELECT * FROM a ORDER BY b", "SELECT * FROM a INNER b", "SELECT * FROM a LIMIT x",
      "SELECT * FROM a JOIN b", "SELECT * FROM a JOIN b ON x", "SELECT * FROM a WHERE b ="],
 )
@@ -66,38 +65,68 @@ def test_plans(text, indexes, scan, how):
     assert (got.scan, got.join) == (scan, how)
 
 
+#: no (of which 4 is a part of 41), zone, note
+STOPS = [(i, ("pier", "mill lane", "Old Mill")[i % 3], f"stop {i}") for i in range(60)]
+
+
 @pytest.fixture(scope="module")
 def engine(spark):
     e = Engine(spark)
-    e.register("data", spark.createDataFrame([(i, f"testdata{i}") for i in range(100)], "id int, data string"))
-    e.register("more", spark.createDataFrame([(4, "x"), (42, "y"), (None, "z")], "ref int, note string"))
+    e.register("stops", spark.createDataFrame(STOPS, "id int, zone string, note string"))
+    e.register("more", spark.createDataFrame([(4, "x"), (41, "y"), (None, "z"), (77, "w")], "ref int, text string"))
     return e
 
 
 def test_rows(engine):
-    assert engine.sql("SELECT * FROM data WHERE id = 5").collect()[0].data == "testdata5"
-    assert engine.sql("SELECT * FROM data WHERE id = 999999").count() == 0
-    assert engine.sql("SELECT * FROM data WHERE id = 4").count() == 1  # 42 doesn't match
-    assert engine.sql("SELECT * FROM data WHERE id = abc").count() == 0
-    assert engine.sql("SELECT * FROM data LIMIT 3").count() == 3
-    assert engine.sql("SELECT * FROM data LIMIT 0").count() == 0
-    assert engine.sql("SELECT * FROM data LIMIT 1000").count() == 100
-    assert engine.sql("SELECT data FROM data").columns == ["data"]
+    assert engine.sql("SELECT * FROM stops WHERE id = 5").collect()[0].note == "stop 5"
+    assert engine.sql("SELECT * FROM stops WHERE id = 999999").count() == 0
+    assert engine.sql("SELECT * FROM stops WHERE id = 4").count() == 1
+    assert engine.sql("SELECT * FROM stops WHERE id = abc").count() == 0
+    assert engine.sql("SELECT * FROM stops LIMIT 3").count() == 3
+    assert engine.sql("SELECT * FROM stops LIMIT 0").count() == 0
+    assert engine.sql("SELECT * FROM stops LIMIT 1000").count() == 60
+    assert engine.sql("SELECT note FROM stops").columns == ["note"]
     with pytest.raises(UnknownTable):
         engine.sql("SELECT * FROM nothing")
 
 
 @pytest.mark.parametrize("hint", ["", "HASH", "NESTED_LOOP"])
 def test_joined_rows(engine, hint):
-    got = engine.sql(f"SELECT id, note FROM data JOIN more ON id = ref {hint}").collect()
-    assert sorted(tuple(r) for r in got) == [(4, "x"), (42, "y")]
-    assert engine.sql(f"SELECT * FROM data JOIN data ON id = id {hint} WHERE id = 5").count() == 1
-
-
-def test_indexes_never_change_the_rows(engine):
-    text = "SELECT id, note FROM more JOIN data ON ref = id"
-    before = sorted(map(tuple, engine.sql(text).collect()))
-    engine.catalog.create_index("public", "data", "hashindex")
-    assert engine.explain(text).join == "index join by hash index"
-    assert sorted(map(tuple, engine.sql(text).collect())) == before
-    engine.catalog.drop_index("public", "data", "hashindex")
+    got = engine.sql(f"SELECT id, text FROM stops JOIN more ON id = ref {hint}").collect()
+    assert sorted(tuple(r) for r in got) == [(4, "x"), (41, "y")]
+    assert engine.sql(f"SELECT * FROM stops JOIN stops ON id = id {hint} WHERE id = 5").count() == 1
+
+
+STATEMENTS = [
+    "SELECT * FROM stops WHERE id = 41", "SELECT * FROM stops WHERE id = 4", "SELECT note FROM stops WHERE id = 99999999999",
+    "SELECT id FROM stops WHERE zone = 'pier'", "SELECT id FROM stops WHERE zone = 'mill'", "SELECT id FROM stops WHERE zone = 'pier ' LIMIT 5",
+    "SELECT * FROM stops WHERE note = stop", "SELECT ref, note FROM more JOIN stops ON ref = id", "SELECT note FROM stops JOIN more ON id = ref WHERE id = 41",
+]
+
+
+@pytest.mark.parametrize(
+    ("kind", "scan", "node"),
+    [
+        ("hashindex", "hash index scan on id", "index-stops-hashindex"), ("bplustree", "B+tree index scan on id", "index-stops-bplustree"),
+        ("lsmtree", "LSM index scan on id", "index-stops-lsmtree"), ("gin", "token index scan on zone", "index-stops-gin"),
+        ("bitmap", "bitmap index scan on zone", "index-stops-bitmap"), ("btree", "full scan on id", None),
+    ],
+)
+def test_statements_read_the_index_and_give_the_same_rows(spark, kind, scan, node):
+    e = Engine(spark)
+    e.register("stops", spark.createDataFrame(STOPS, "id int, zone string, note string"))
+    e.register("more", spark.createDataFrame([(4, "x"), (41, "y"), (None, "z"), (77, "w")], "ref int, text string"))
+    before = [sorted(map(tuple, e.sql(t).collect())) for t in STATEMENTS]
+    e.catalog.create_index("public", "stops", kind)
+    assert [sorted(map(tuple, e.sql(t).collect())) for t in STATEMENTS] == before
+    text = STATEMENTS[3] if kind in ("gin", "bitmap") else STATEMENTS[0]
+    assert e.explain(text).scan == scan
+    files = e.sql(text).inputFiles()
+    assert all(node in f for f in files) and files if node else not files
+    if kind == "hashindex":
+        assert e.explain(STATEMENTS[-2]).join == "index join by hash index"
+        plan = e.sql(text)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(__bucket" in plan.replace("#", "") or "__bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+        assert any("index-stops-hashindex" in f for f in e.sql(STATEMENTS[-2]).inputFiles())
+    e.catalog.drop_index("public", "stops", kind)
+    assert e.explain(text).scan.startswith("full scan")

@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from oakmill.errors import InactiveTransaction
 from oakmill.operators import versions as v
@@ -30,6 +31,47 @@ def test_lsm_model(spark, ops):
     assert packed.count() <= log.count()
 
 
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.one_of(st.none(), st.integers(0, 99))), min_size=1, max_size=24), st.integers(0, 3))
+def test_lsm_tree_model(spark, tmp_path_factory, ops, merges):
+    tree, model = v.LsmTree(spark, str(tmp_path_factory.mktemp("lsm"))), {}
+    for k, x in ops:
+        tree.remove(k) if x is None else tree.put(k, x)
+        model[k] = x
+    keys = {}
+    flushed = 0
+    for k, x in ops:  # a run for each five distinct keys
+        keys[k] = x
+        if len(keys) == v.MEMTABLE_KEYS:
+            flushed, keys = flushed + 1, {}
+    assert len(tree.runs()) == flushed
+    live = {k: x for k, x in model.items() if x is not None}
+    for step in range(merges + 2):
+        assert {r.key: r.value for r in tree.read().collect()} == live
+        assert all(tree.get(k) == model.get(k) for k in range(1, 4))
+        if step == merges:
+            tree.flush_all()
+            assert len(tree.runs()) == max(1, flushed - merges) + bool(keys) if flushed else bool(keys)
+        else:
+            tree.merge()
+    again = v.LsmTree(spark, tree.folder)
+    assert {r.key: r.value for r in again.read().collect()} == live
+    tree.drop()
+
+
+def test_lsm_filters_spare_runs(spark, tmp_path):
+    tree = v.LsmTree(spark, str(tmp_path / "lsm"))
+    for run in range(3):
+        rows = spark.range(1000).select((F.col("id") * 3 + run).alias("key"), F.col("id").alias("value"), F.lit(False).alias("deleted"), F.col("id").alias("seq"))
+        tree.ingest(rows)
+    assert [tree.get(k) for k in (0, 1, 2, 2999)] == [0, 0, 0, 999]
+    assert tree.hits >= 4 and tree.misses >= 2
+    before = tree.misses
+    assert tree.get(10**9) is None and tree.misses + 3 - before >= 3
+    held = [tree.may_hold(name, k) for run, name in enumerate(tree.runs()) for k in range(run, 60, 3)]
+    assert all(held)
+
+
 def test_dirty_and_unrepeatable_reads(spark):
     s = v.VersionStore(spark)
     t0 = s.begin("READ_COMMITTED")
