@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.tables import need
 
 
@@ -24,14 +26,33 @@ def column_scan(df: DataFrame, column: str) -> DataFrame:
     return df.select(column)
 
 
+#: Rows up to which a range is taken as a top-k, in one task.
+TOP_ROWS = 1_000_000
+
+
 def row_range(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
     """Rows ``start`` (included) to ``end`` (excluded) by ``order``, counted from 0; an ``end`` past the last row is the last row's.
 
-    The first ``end`` rows are taken as a top-k, so nothing else is sorted in one task.
+    Up to ``TOP_ROWS`` rows the first ``end`` ones are a top-k.  Beyond, rows are sorted by ranges and written; a
+    partition's first number is the sum of the counts before it, and only the partitions that meet the range are read.
     """
     start, end = max(0, start), max(0, end)
-    first = df.orderBy(order).limit(end)
-    return first.orderBy(order).offset(start) if start else first
+    if end <= TOP_ROWS:
+        first = df.orderBy(order).limit(end)
+        return first.orderBy(order).offset(start) if start else first
+    spark, path = df.sparkSession, files.new_folder(df.sparkSession, "sorted")
+    at = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order).select("*", at.alias("__at"))
+    dealt.withColumn("__part", F.shiftright("__at", 33)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    counts = stored.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # two numbers a partition
+    firsts = dict(zip([r["__part"] for r in counts], accumulate([r.n for r in counts], initial=0), strict=False))
+    met = [r["__part"] for r in counts if firsts[r["__part"]] < end and firsts[r["__part"]] + r.n > start]
+    if not met:
+        return df.where(F.lit(False))
+    first = F.create_map(*[F.lit(x) for p in met for x in (p, firsts[p])])[F.col("__part")]
+    number = first + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.where(F.col("__part").isin(met)).where((number >= start) & (number < end)).orderBy(order).drop("__at", "__part")
 
 
 def range_scan(df: DataFrame, key: str, low: object, high: object) -> DataFrame:

@@ -14,7 +14,8 @@ LOCAL_SHARED = "/tmp/checkpoints/oakmill"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a cluster has to name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or LOCAL_SHARED).rstrip("/")
 
@@ -51,6 +52,15 @@ def delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes, step: int = 1 << 24) -> None:
+    """Write a file."""
+    fs, p = at(spark, path)
+    out = fs.create(p)
+    for i in range(0, len(data), step):
+        out.write(bytearray(data[i : i + step]))
+    out.close()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of a DataFrame's size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -105,8 +105,13 @@ def test_group_apply_sees_nulls_and_the_null_group(spark):
     assert got == {"a": 2, None: 1}
 
 
-def test_row_range_is_clamped(spark):
+@pytest.mark.parametrize("top", [1_000_000, 0])
+def test_row_range_is_clamped(spark, monkeypatch, top):
+    """As a top-k, and by sorted partitions."""
+    monkeypatch.setattr(query, "TOP_ROWS", top)
     df = spark.range(20)
+    assert [r.id for r in query.row_range(df.repartition(3), "id", 4, 11).collect()] == list(range(4, 11))
+    assert query.row_range(df, "id", 20, 30).count() == 0
     assert [r.id for r in query.row_range(df, "id", 18, 99).collect()] == [18, 19]
     assert query.row_range(df, "id", 5, 5).count() == 0
 
