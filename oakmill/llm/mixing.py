@@ -2,8 +2,8 @@
 
 A source's target is its weight's share of all words, ``MOST_REPEATS`` times
 its own size at most; what is over goes to the other sources by weight.
-Tokens are dealt in blocks of ``BLOCK``.  Sainte-Lague gives each block to the
-source with the highest quotient target / (2 blocks + 1), then each source's
+Tokens are dealt in equal blocks of ``BLOCK`` words, or fewer where a target is small (:func:`block_of`).
+Sainte-Lague gives each block to the source with the highest quotient target / (2 blocks + 1), then each source's
 blocks to its shards, by quotients of the shards' sizes: integer quotas.
 
 A shard is a hash share of a source's documents, in a seeded order; its words
@@ -14,35 +14,46 @@ of a shard may have a first part taken once more.
 
 ``apportion`` finds the quotients' dividing line by bisection and deals only
 the remainder one by one, so its cost doesn't depend on the number of blocks.
-Quotas are held for (source, shard), ``MOST_SHARDS`` shards of a source at most.
+A shard has :func:`shard_rows` rows on average: what the driver holds (a quota a shard) and what a
+task sorts (a shard, without texts) both grow with the root of the table only.
 The number of sources is bounded by the weights that the caller configures.
 
 Defined results: null or blank text has size 0 and nothing is taken; a null source is a
-source of its own, after all others; equal ids are ordered by size; reruns and other
+source of its own, after all others; rows of one id are ordered by size and text; reruns and other
 partitionings give the same rows; an empty table gives none; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents, map_batches, named, numbered, small_batches, split_words
+from .common import cut_lineage, documents, named, numbered, small_batches, small_side, split_words, trim
 
 BLOCK = 32
+#: Blocks that the smallest target has at least, where it has as many words.
+LEAST_BLOCKS = 64
 MOST_REPEATS = 3
-SHARD_ROWS = 1024
-MOST_SHARDS = 4096
 SEED = 11
 
 
+def shard_rows(rows: int) -> int:
+    """Rows of a shard on average, in a table of ``rows``."""
+    return max(4096, 16 * math.isqrt(rows))
+
+
+def block_of(targets: Sequence[float], most: int = BLOCK) -> int:
+    """Words of a block: ``most``, or fewer so that the smallest target has ``LEAST_BLOCKS``."""
+    return max(1, min(most, int(min((t for t in targets if t > 0), default=0)) // LEAST_BLOCKS))
+
+
 def apportion(weights: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
     """Sainte-Lague: ``seats`` by highest quotients weight / (2 k + 1), no more than ``most`` each.
 
@@ -60,9 +71,7 @@ def apportion(weights: np.ndarray, seats: int, most: np.ndarray | None = None) -
         """Seats whose quotient is over ``line``."""
         return np.minimum(most, np.maximum(0, np.ceil((weights / line - 1) / 2)).astype(np.int64))
 
-    low, high = 1e-300, float(weights.max()) * 2
-    low = min(low, high / 2)
-    low = float(weights[weights > 0].min()) / (2.0 * seats + 3)
+    low, high = float(weights[weights > 0].min()) / (2.0 * seats + 3), float(weights.max()) * 2
     for _ in range(200):
         mid = (low + high) / 2
         if mid in (low, high):
@@ -97,53 +106,49 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST_R
     return out
 
 
-def count_words(batch: pa.RecordBatch) -> pa.Array:
-    return pa.array([len(split_words(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+def words_in(text: Column) -> Column:
+    """The number of words of a text."""
 
+    def count(texts: pa.Array) -> pa.Array:
+        out = pa.array([len(split_words(t)) for t in texts.to_pylist()], pa.int64())
+        trim()
+        return out
 
-def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """doc_id, source, size in words."""
+    return F.arrow_udf(count, "long")(text)
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), count_words(b)], names=["doc_id", "source", "size"])
 
-    return map_batches(
-        docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string")),
-        f,
-        "doc_id long, source string, size long",
-    )
+def facts(id_col: str, source_col: str, text_col: str) -> list[Column]:
+    """doc_id, source, size in words, tie (of the text), and row (a number by place)."""
+    text = F.col(text_col).cast("string")
+    return [
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        words_in(text).alias("size"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"),
+    ]
+
+
+Weight = Callable[[int, "str | None"], float]
+
+
+def by_three(i: int, _: str | None) -> float:
+    """Weights 1, 2, 3, repeating."""
+    return i % 3 + 1
 
 
 def mix(
-    docs: DataFrame,
-    weight: Callable[[int, str | None], float] = lambda i, _: i % 3 + 1,
-    block: int = BLOCK,
-    seed: int = SEED,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    text_col: str = "text",
+    docs: DataFrame, weight: Weight = by_three, block: int = BLOCK, seed: int = SEED,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words), for every row of ``docs``.
 
     ``weight(i, source)``: of the i-th source by code point, null last.
     """
     small_batches(docs.sparkSession)
-    rows = cut_lineage(sized(docs, id_col, source_col, text_col), "sizes")
-    return deal(rows, rows, weight, block, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
-
+    rows = cut_lineage(docs.select(*facts(id_col, source_col, text_col)), "sizes")
+    return dealt(rows, *shares(rows, weight, block, seed), seed).select("doc_id", "source", "size", "source_size", "target", "taken")
 
-def deal(
-    rows: DataFrame,
-    onto: DataFrame,
-    weight: Callable[[int, str | None], float] = lambda i, _: i % 3 + 1,
-    block: int = BLOCK,
-    seed: int = SEED,
-    ties: Sequence[str] = (),
-) -> DataFrame:
-    """The rows of ``onto``, with source_size, target and taken beside them.
 
-    Both have doc_id, source and size; ``onto`` may leave out rows of size 0.  Rows of equal id and size follow each other by ``ties``.
-    """
+def shares(rows: DataFrame, weight: Weight, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (:func:`facts`): the sources (no, source, shards, source_size, target), and the words to take from each shard (no, shard, stream, take)."""
     spark = rows.sparkSession
     by_source = {
         r.source: (int(r.n), int(r.size))
@@ -152,52 +157,47 @@ def deal(
     names = sorted(by_source, key=lambda s: (s is None, s or ""))
     sizes = [by_source[s][1] for s in names]
     goal = targets(sizes, [weight(i, s) for i, s in enumerate(names)])
+    block = block_of(goal, block)
     cap = [-(-MOST_REPEATS * z // block) for z in sizes]
     quota = apportion(np.array(goal), round(sum(goal) / block), np.array(cap)) if names else []
-
-    kind = "no int, source string, shards int, source_size long, target double, quota long"
-    plan = spark.createDataFrame(
-        [
-            (i, s, min(MOST_SHARDS, max(1, -(-by_source[s][0] // SHARD_ROWS))), sizes[i], goal[i], int(quota[i]))
-            for i, s in enumerate(names)
-        ],
-        kind,
-    )
-
-    def sharded(of: DataFrame) -> DataFrame:
-        return (
-            of.join(F.broadcast(plan), of["source"].eqNullSafe(plan["source"]))
-            .drop(plan["source"])
-            .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
-            .drop("shards", "quota")
-        )
-
-    shards = sharded(rows).groupBy("no", "shard").agg(F.sum("size").alias("size")).orderBy("no", "shard").collect()
-    shares = []
-    for no, of in itertools.groupby(shards, key=lambda r: r.no):
+    most = shard_rows(sum(n for n, _ in by_source.values()))
+    plan = [(i, s, -(-by_source[s][0] // most), sizes[i], goal[i]) for i, s in enumerate(names)]
+    sources = cut_lineage(spark.createDataFrame(plan, "no int, source string, shards int, source_size long, target double"), "sources")
+    streams = sharded(rows, sources, seed).groupBy("no", "shard").agg(F.sum("size").alias("size")).orderBy("no", "shard").collect()
+    out = []
+    for no, of in itertools.groupby(streams, key=lambda r: r.no):
         own = list(of)
         z = np.array([r["size"] for r in own], np.int64)
         got = apportion(z, int(quota[no]), -(-MOST_REPEATS * z // block))
-        shares += [
+        out += [
             (no, r.shard, int(r["size"]), int(min(q * block, MOST_REPEATS * r["size"])))
             for r, q in zip(own, got.tolist(), strict=True)
         ]
-    share = spark.createDataFrame(shares, "no int, shard int, stream long, take long")
-    before = (
-        W.partitionBy("no", "shard")
-        .orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", *ties)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    return sources, cut_lineage(spark.createDataFrame(out, "no int, shard int, stream long, take long"), "shares")
+
+
+def sharded(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with no, source_size, target, shard and ``at``, their place in the order of their shard."""
+    key = ["doc_id", "size", "tie"]
+    return (
+        rows.join(small_side(sources), rows["source"].eqNullSafe(sources["source"]))
+        .drop(sources["source"])
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), *key), F.col("shards")).cast("int"))
+        .withColumn("at", F.struct(F.xxhash64(F.lit(seed + 1), *key).alias("h"), "row"))
+        .drop("shards")
     )
-    start = F.sum("size").over(before) - F.col("size")
-    passes, rest = F.call_function("div", F.col("take"), F.col("stream")), F.pmod("take", "stream")
-    taken = F.when(
-        F.col("stream") > 0,
-        F.col("size") * passes + F.greatest(F.lit(0), F.least("size", rest - F.col("start"))),
-    ).otherwise(F.lit(0))
+
+
+def dealt(rows: DataFrame, sources: DataFrame, share: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with source_size, target, the words ``taken`` of each, and what their shard takes."""
+    before = W.partitionBy("no", "shard").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        sharded(onto).join(F.broadcast(share), ["no", "shard"])
-        .withColumn("start", start)
-        .withColumn("taken", taken.cast("long"))
+        sharded(rows, sources, seed)
+        .withColumn("start", F.sum("size").over(before) - F.col("size"))
+        .join(small_side(share), ["no", "shard"])
+        .withColumn("passes", F.when(F.col("stream") > 0, F.call_function("div", F.col("take"), F.col("stream"))).otherwise(F.lit(0)))
+        .withColumn("rest", F.when(F.col("stream") > 0, F.pmod("take", "stream")).otherwise(F.lit(0)))
+        .withColumn("taken", F.col("size") * F.col("passes") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start"))))
     )
 
 
@@ -209,38 +209,50 @@ def first_words(text: str, n: int) -> str:
     return data[:at].rstrip().decode("utf-8", "surrogatepass")
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weight: Weight = by_three, block: int = BLOCK, seed: int = SEED,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
     """``docs`` as the mix takes them: a row for each whole time that a document is taken, and one for a first part.
 
-    What is taken is dealt beside the rows themselves, so ids may be null or repeated (rows of one id share a shard).
-    Columns stay as they are; ``text_col`` of a part is cut after its last word taken.
+    Columns stay as they are; ``text_col`` of a part is cut after its last word taken.  Ids may be null or repeated.
+    Texts are not shuffled: rows without texts are ordered, and each shard names the one row where its last pass ends;
+    rows before it, by the order's key, are taken once more than rows after it.
     """
-    id_col, source_col, text_col = (options.pop(f"{c}_col", d) for c, d in (("id", "doc_id"), ("source", "source"), ("text", "text")))
     small_batches(docs.sparkSession)
-    sizes = cut_lineage(sized(docs, id_col, source_col, text_col), "sizes")
     plain, names = numbered(docs)
     text = names[text_col]
-    count = F.pandas_udf(lambda t: pd.Series([len(split_words(x)) for x in t], dtype="int64"), "long")
-    rows = (
-        plain.withColumn("doc_id", F.col(names[id_col]).cast("long"))
-        .withColumn("source", F.col(names[source_col]).cast("string"))
-        .withColumn("size", count(F.col(text).cast("string")))
-        .where("size > 0")
-        .withColumn("tie", F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind]))
+    # written with sizes and places, so that words are counted once and a row's place stays what it is
+    kept = cut_lineage(
+        plain.select("*", *facts(names[id_col], names[source_col], text)),
+        "sized",
+    )
+    rows = kept.select("doc_id", "source", "size", "tie", "row")
+    sources, share = shares(rows, weight, block, seed)
+    end = dealt(rows, sources, share, seed).where("start <= rest and rest < start + size")
+    ends = cut_lineage(end.select("no", "shard", F.col("at").alias("end"), (F.col("rest") - F.col("start")).alias("part"), "passes"), "ends")
+    once_more = F.when(F.col("at") < F.col("end"), F.col("size")).when(F.col("at") == F.col("end"), F.col("part")).otherwise(F.lit(0))
+    take = (
+        sharded(kept.where("size > 0"), sources, seed)
+        .join(small_side(ends), ["no", "shard"])
+        .withColumn("taken", F.col("size") * F.col("passes") + once_more)
+        .where("taken > 0")
     )
-    take = deal(sizes, rows, ties=["tie"], **options).where("taken > 0")
     # words of each row: the size as often as it goes into what is taken, then the rest
     parts = F.transform(
         F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")),
         lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")),
     )
-    cut = F.pandas_udf(
-        lambda t, n: pd.Series([first_words(a, int(b)) for a, b in zip(t, n, strict=True)]), "string"
-    )
+
+    def cut(texts: pa.Array, n: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), n.to_pylist(), strict=True)
+        return pa.array([None if t is None else first_words(t, k) for t, k in pairs], pa.string())
+
     out = take.withColumn("words", F.explode(parts))
-    whole = out.where("words = size")
-    part = out.where("words < size").withColumn(text, cut(F.col(text), F.col("words")))
-    return whole.select(*named(whole, names)).union(part.select(*named(part, names)))
+    # only texts that are cut go to Python
+    first = F.arrow_udf(cut, "string")(F.when(F.col("words") < F.col("size"), F.col(text).cast("string")), F.col("words"))
+    out = out.withColumn(text, F.coalesce(first, F.col(text)))
+    return out.select(*named(out, names))
 
 
 def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
