@@ -1,9 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-1. Document evidence: a logistic classifier on a dozen shape features of the
-   whole text, fitted to a bounded share of the labelled rows (``TRAIN_ROWS``
-   on average, picked by hash).  Its log-odds less the log-odds of the training
-   share is the document's evidence, free of any prior.
+1. Document evidence: a logistic classifier on ``SHAPES`` shape features of the
+   whole text and ``LEXICAL`` hashed counts of its words and word endings, fitted to a bounded share of the
+   labelled rows (``TRAIN_ROWS`` on average, picked by hash).  Its log-odds less the log-odds of the training
+   share is the document's evidence, free of any prior.  It is computed once a document and written.
 2. Sites: the classifier's probabilities are summed by (host, path) over all
    documents, and from there by host: partial aggregates, so a host with a
    third of all rows is one row a map task.
@@ -17,31 +17,33 @@ For ``documents`` the host is ``source`` and the path ``lang``.
 
 Defined results: null text equals empty text; a null host or path is a site of
 its own; without labels of both kinds there is no evidence and every document is
-kept; rows that repeat an id are judged each; an empty table gives no rows.
+kept; rows that repeat an id are judged each, and the one with the least text hash is trained on;
+of labels that repeat an id the highest counts; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents, named, numbered, small_batches
+from .common import cut_lineage, documents, named, numbered, small_batches, trim
 
 TRAIN_ROWS = 20_000
 REJECT = 0.5
-RIDGE = 1e-2
-
-FEATURES = 16
+SHAPES, LEXICAL = 16, 256
+#: Ridge a training row of the shape features' weights, and of the lexical ones' in all.
+RIDGE, LEXICAL_RIDGE = 1e-3, 50.0
 
 
-def features(text: str | None) -> list[float]:
-    """Shape features of a whole text."""
-    words = (text or "").split()
+def shapes(text: str, words: list[str]) -> list[float]:
+    """Shape features of a whole text that has words."""
     n = len(words)
-    if not n:
-        return [0.0] * FEATURES
     chars = sum(map(len, words))
     joined = "".join(words)
     odd = sum(joined.count(c) for c in "#$%&*|!<>{}[]\\^~=_+@")
@@ -61,17 +63,41 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def lexical(words: list[str]) -> np.ndarray:
+    """Signed hashed counts (logarithms) of words, and of their last three characters, scaled to length one each."""
+    out = np.zeros(LEXICAL)
+    for salt, counts in ((0, Counter(words)), (1, Counter([w[-3:] for w in words]))):
+        n = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), salt) for w in counts), np.uint32, len(counts))
+        out += np.bincount(h % LEXICAL, np.where(h >> 31, n, -n), LEXICAL) / np.sqrt(n @ n)
+    return out
+
+
+def features(text: str | None) -> np.ndarray:
+    """All features of a whole text: shape, then words."""
+    words = (text or "").split()
+    return np.r_[shapes(text, words), lexical(words)] if words else np.zeros(SHAPES + LEXICAL)
+
+
 class Logistic:
-    """A ridge-penalised logistic model, fitted by Newton's method."""
+    """A ridge-penalised logistic model, fitted by Newton's method.  ``ridge``: of each feature's weight, a row."""
+
+    #: Rows whose design is held at a time.
+    ROWS = 2000
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-        z = self._design(x)
-        w = np.zeros(z.shape[1])
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> None:
+        n, blocks = len(y), [slice(i, i + self.ROWS) for i in range(0, len(y), self.ROWS)]
+        self.mean = sum(x[b].sum(0, dtype=np.float64) for b in blocks) / n
+        self.scale = np.sqrt(sum(((x[b] - self.mean) ** 2).sum(0) for b in blocks) / n) + 1e-9
+        ridge = np.r_[ridge, 0.0]
+        w = np.zeros(len(ridge))
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (y - p) / len(y) - RIDGE * np.r_[w[:-1], 0] / 10
-            hess = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(np.r_[np.full(z.shape[1] - 1, RIDGE / 10), 1e-9])
+            grad, hess = -ridge * w, np.diag(ridge + 1e-9)
+            for b in blocks:
+                z = self._design(x[b])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                grad += z.T @ (y[b] - p) / n
+                hess += (z * (p * (1 - p))[:, None]).T @ z / n
             step = np.linalg.solve(hess, grad)
             w += step
             if np.abs(step).max() < 1e-8:
@@ -87,23 +113,46 @@ class Logistic:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        train_rows: int = TRAIN_ROWS) -> Logistic | None:
+        train_rows: int = TRAIN_ROWS, label_id_col: str = "doc_id") -> Logistic | None:
     """The classifier, from about ``train_rows`` labelled documents; None where labels are of one kind."""
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
+    rows = (
+        labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+        .where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    )
     every = max(1, round(rows.count() / train_rows))
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    measure = F.pandas_udf(lambda t: pd.Series([features(x) for x in t]), "array<double>")
+
+    def measure(texts: pa.Array) -> pa.Array:
+        out = pa.array([features(t).astype(np.float32).tobytes() for t in texts.to_pylist()], pa.binary())
+        trim()
+        return out
+
     got = (
         docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(some), F.col("doc") == F.col("id"))
-        .select("id", measure("text").alias("x"), "y")
-        .orderBy("id", "y", "x")
-        .collect()
+        .join(F.broadcast(some), F.col("doc") == F.col("id"))  # one row an id, about train_rows of them
+        .select("id", "y", F.xxhash64("text").alias("h"), F.arrow_udf(measure, "binary")("text").alias("x"))
+        .groupBy("id", "y").agg(F.min(F.struct("h", "x")).alias("m"))
+        .select("id", "y", "m.x").orderBy("id")
+        .toArrow()
     )
-    y = np.array([float(r["y"] > 0) for r in got])
+    y = (got["y"].to_numpy() > 0).astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    return Logistic(np.array([r["x"] for r in got]), y)
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(y), -1)
+    return Logistic(x, y, np.r_[np.full(SHAPES, RIDGE), np.full(LEXICAL, LEXICAL_RIDGE / len(y))])
+
+
+def evidence(model: Logistic | None, text: Column) -> Column:
+    """The model's log-odds of a text, less its prior; 0 without a model."""
+    if model is None:
+        return F.lit(0.0)
+
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([features(t) for t in texts.to_pylist()]).reshape(len(texts), SHAPES + LEXICAL)
+        trim()
+        return pa.array(model.log_odds(x) - model.prior, pa.float64())
+
+    return F.arrow_udf(score, "double")(text)
 
 
 def _logit(p):  # noqa: ANN001, ANN202
@@ -126,25 +175,25 @@ def spread(groups: DataFrame, parent_mean: str) -> float:
 
 def judge(
     docs: DataFrame, labels: DataFrame, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text",
-    host_col: str = "source", path_col: str = "lang", label_col: str = "quality",
+    host_col: str = "source", path_col: str = "lang", label_col: str = "quality", label_id_col: str = "doc_id", carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs``, and ``oak_evidence``, ``oak_site``, ``oak_posterior``, ``oak_kept`` (a column so named before is replaced)."""
+    """``carry`` (all columns if None) of ``docs``, and ``oak_evidence``, ``oak_site``, ``oak_posterior``, ``oak_kept`` (a column so named before is replaced)."""
     small_batches(docs.sparkSession)
-    model = fit(docs, labels, id_col, text_col, label_col)
+    model = fit(docs, labels, id_col, text_col, label_col, label_id_col=label_id_col)
     base = model.prior if model else 0.0
-    score = F.pandas_udf(
-        lambda t: pd.Series(model.log_odds(np.array([features(x) for x in t])) - base if len(t) and model else np.zeros(len(t))),
-        "double",
-    )
     plain, names = numbered(docs)
-    host, path = names[host_col], names[path_col]
-    own = plain.withColumn("evidence", score(F.col(names[text_col]).cast("string")))
+    handed = {n: c for n, c in names.items() if carry is None or n in carry}
+    # written with what is handed on, so that texts are measured once
+    own = cut_lineage(
+        plain.select(
+            *handed.values(), F.col(names[host_col]).alias("host"), F.col(names[path_col]).alias("path"),
+            evidence(model, F.col(names[text_col]).cast("string")).alias("evidence"),
+        ),
+        "evidence",
+    )
     p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(base))))
     paths = cut_lineage(
-        own.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(
-            F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")
-        ),
-        "sites",
+        own.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss")), "sites"
     )
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = total.s / total.n if total.n else 0.5
@@ -155,35 +204,31 @@ def judge(
     below = spread(sites, "host_mean")
     # written, so that its size is known when the join is planned: a small table is broadcast and no text is shuffled
     sites = cut_lineage(
-        sites.select("host", "path", (F.lit(below) * F.col("host_mean") + F.col("s")).alias("s"), (F.lit(below) + F.col("n")).alias("n")),
+        sites.select(F.col("host").alias("h"), F.col("path").alias("p"), (F.lit(below) * F.col("host_mean") + F.col("s")).alias("s"), (F.lit(below) + F.col("n")).alias("n")),
         "posteriors",
     )
     site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col("s") - p) / (F.col("n") - 1)))
     out = (
-        own.join(sites, F.col(host).eqNullSafe(F.col("host")) & F.col(path).eqNullSafe(F.col("path")))
+        own.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
         .withColumn("site", site)
         .withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("site"))))))
         .withColumn("kept", F.col("posterior") >= F.lit(reject) if model else F.lit(True))
     )
     made = {f"oak_{c}": c for c in ("evidence", "site", "posterior", "kept")}
-    return out.select(*named(out, names | made))
+    return out.select(*named(out, handed | made))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
     plain, names = numbered(docs)
     used = {k: options.pop(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source"), ("path_col", "lang"))}
-    judged = judge(plain, _renamed(labels, used["id_col"], names), **{k: names[v] for k, v in used.items()}, **options)
+    judged = judge(plain, labels, **{k: names[v] for k, v in used.items()}, **options)
     return judged.where("oak_kept").select(*named(judged, names))
 
 
-def _renamed(labels: DataFrame, id_col: str, names: dict[str, str]) -> DataFrame:
-    return labels.withColumnRenamed(id_col, names[id_col])
-
-
 def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge(documents(spark, sf_dir), labels).select(
+    return judge(documents(spark, sf_dir), labels, carry=["doc_id", "source", "lang"]).select(
         "doc_id",
         F.col("source").alias("host"),
         F.col("lang").alias("path"),
