@@ -7,24 +7,29 @@ import contextlib
 import ctypes
 import gc
 import math
-import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no checkpoint folder (tests, local runs).
-LOCAL_SHARED = "/tmp/checkpoints/oakmill"
+from ..sources.files import delete, estimated_bytes, new_folder
+
 #: Rows in an Arrow batch: bounds a Python worker's memory on long texts.
 ARROW_ROWS = 1000
 
-_written: dict[int, list[tuple[SparkSession, str]]] = {}
 
+class _Table(NamedTuple):
+    """A table that :func:`cut_lineage` wrote."""
+
+    path: str
+    owner: str | None
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+
+_written: dict[str, list[_Table]] = {}
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 def cut_lineage(df: DataFrame, what: str) -> DataFrame:
@@ -34,46 +39,72 @@ def cut_lineage(df: DataFrame, what: str) -> DataFrame:
     written table; files are removed by :func:`release` or at exit.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/oakmill-{what}-{uuid.uuid4().hex}"
+    path = new_folder(spark, f"oakmill-{what}")
     df.write.parquet(path)
-    _written.setdefault(id(spark.sparkContext), []).append((spark, path))
+    _written.setdefault(spark.sparkContext.applicationId, []).append(_Table(path, _owner.get()))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
-    """Delete the tables written by :func:`cut_lineage`, but those ``keep`` reads."""
-    used = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
-    jvm = spark.sparkContext._jvm
+@contextlib.contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Tables that :func:`cut_lineage` writes meanwhile belong to ``name``."""
+    token = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, keep: Iterable[DataFrame] = (), owner: str | None = None) -> None:
+    """Delete the tables written by :func:`cut_lineage` (those of ``owner``, if given), but those that ``keep`` reads."""
+    read = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
     left = []
-    for session, path in _written.pop(id(spark.sparkContext), []):
-        if path.split(":", 1)[-1].lstrip("/") in used:
-            left.append((session, path))
-            continue
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if left:
-        _written[id(spark.sparkContext)] = left
+    for t in _written.pop(spark.sparkContext.applicationId, []):
+        if (owner and t.owner != owner) or t.path.rsplit("/", 1)[1] in read:
+            left.append(t)
+        else:
+            delete(spark, t.path)
+    _written[spark.sparkContext.applicationId] = left
+
+
+def drop(spark: SparkSession, written: DataFrame) -> None:
+    """Delete the tables of :func:`cut_lineage` that ``written`` reads, and nothing else any more."""
+    read = {f.rsplit("/", 2)[-2] for f in written.inputFiles()}
+    tables = _written.get(spark.sparkContext.applicationId, [])
+    for t in [t for t in tables if t.path.rsplit("/", 1)[1] in read]:
+        delete(spark, t.path)
+        tables.remove(t)
 
 
 @atexit.register
 def _release_all() -> None:
-    for tables in list(_written.values()):
-        try:
-            release(tables[0][0])
-        except Exception:  # noqa: BLE001  the JVM may be gone by now
-            return
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the JVM may be gone by now
+        if spark is not None:
+            release(spark)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Let Arrow batches hold ``rows`` rows at most."""
+    """Let Arrow batches of this session hold ``rows`` rows at most, so that batches of long texts fit a worker.
+
+    The setting is read when a plan runs, so it stays; it never changes a result.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Let Arrow batches of what runs next hold ``rows`` rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of ``rows`` rows or a batch more; no empty ones."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def trim() -> None:
@@ -103,6 +134,7 @@ def map_batches(
         for b in batches:
             if b.num_rows and (out := f(b)) is not None and out.num_rows:
                 yield out
+        tidy()
 
     return df.mapInArrow(over, schema)
 
@@ -113,8 +145,7 @@ BROADCAST_BYTES = 64 << 20
 
 def small_side(df: DataFrame) -> DataFrame:
     """``df``, marked for a broadcast if its estimated size is within ``BROADCAST_BYTES``; else Spark chooses the join."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -184,16 +215,6 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
     )
 
 
-def drop(spark: SparkSession, written: DataFrame) -> None:
-    """Delete one table of :func:`cut_lineage`, which nothing reads any more."""
-    tables = _written.get(id(spark.sparkContext), [])
-    files = written.inputFiles()
-    for item in [t for t in tables if files and t[1].rsplit("/", 1)[1] in files[0]]:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(item[1])
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        tables.remove(item)
-
-
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Partitions so that each holds ``per_part`` rows or fewer on average."""
     return max(least, math.ceil(rows / per_part))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, components, cut_lineage, documents, map_batches, named, numbered, small_batches
+from .common import ARROW_ROWS, components, cut_lineage, documents, map_batches, named, numbered, small_batches, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -242,6 +242,7 @@ def by_bucket(
         if n:
             data = np.concatenate(held)
             yield from f(data[:, :keys], np.ascontiguousarray(data[:, keys:]))
+        tidy()
 
     return over
 
@@ -546,6 +547,7 @@ def similar_groups(
             held = t.slice(last).to_batches()
         if held:
             yield from settle(pa.Table.from_batches(held))
+        tidy()
 
     more = (
         still.repartition("band", "key", "p", "q")
