@@ -4,23 +4,21 @@ Model: a unigram model over the pieces of an existing vocabulary.  A text is
 its words, each after a word mark, then one end.  A word's lattice has an edge
 for every piece that stands in it (bytes are pieces too, so there is always a
 way through), weighted by the piece's score as a last or as an earlier piece of
-a word.  The forward recursion in log space sums all segmentations.  A word
-that training documents hold is one more edge over its whole length, weighted by
-its count (Witten and Bell's share of known words).  Pieces don't cross words,
+a word.  The forward recursion in log space sums all segmentations.  Pieces don't cross words,
 so the sum for a text is the product over its words.
 
-Scores start from the vocabulary's own (a merge rank r weighs 1 / (r + 1)) and
-are refitted to the training documents by ``ITERATIONS`` of expectation
-maximisation over the same lattices, in which each distinct word counts once:
-frequent words have their own edge, and pieces have to spell the others.  Each part of the corpus (``part_col``, such
-as the language) has its own scores, and the text's probability is the sum over parts:
-the part of the text itself is not looked at.  The ``MOST_PARTS`` - 1 parts with most
-training documents have scores of their own, all others share theirs.
+Scores are the vocabulary's own (it gives ranks of merges, and rank r weighs 1 / (r + 1)).  What is learned
+from the training documents, by options: ``iterations`` of expectation
+maximisation refit the scores over the same lattices, each distinct word counting once; with ``known_words`` a word that
+training documents hold is one more edge over its whole length, weighted by
+its count (Witten and Bell's share of known words); with ``part_col`` each part of the corpus (such
+as the language) has scores and counts of its own, and the text's probability is the sum over parts:
+the part of the text itself is not looked at.  Every part counts; cost grows with their number.
 
 Layout: documents are read once into blocks of about ``BLOCK_BYTES`` of text,
 which hold each document's distinct words and counts with local numbers.  Only
-(block, distinct word) is shuffled, by word, so a word that is in every document
-costs a row a block.  Each distinct word is spelled once, whatever its count, and
+(block, distinct word) is shuffled, by word and by a share of the blocks, so that no task holds a common word's
+places in more than ``SHARE_BLOCKS`` blocks or so.  Each distinct word is spelled once a share, whatever its count, and
 its count and probabilities go back, packed, to the blocks that hold it.  All words and
 documents are used; what the executors exchange grows with the corpus, what the
 driver gets is a number for each piece and part.
@@ -38,6 +36,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -47,13 +46,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut_lineage, documents
+from .common import cut_lineage, documents, gathered, small_batches, tidy, trim
 
 VOCABULARY = "piece_bpe_32k.model"
 ITERATIONS = 3
 BLOCK_BYTES = 8_000_000
 SMOOTHING = 0.02
-MOST_PARTS = 8
+#: Blocks whose places of a word meet in one task.
+SHARE_BLOCKS = 4096
+#: Words that are spelled together.
+BATCH_WORDS = 8192
 FOLDS, HELD_OUT = 5, 1
 MARK = b" "
 
@@ -238,22 +240,24 @@ class Block:
         )
 
 
-def blocks_of(docs: DataFrame, parts: dict[str | None, int], most: int) -> DataFrame:
+def blocks_of(docs: DataFrame, parts: dict[str | None, int]) -> DataFrame:
     """``docs`` (doc_id, text, part) as blocks."""
+    most = max(1, len(parts))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
         block = Block(at, most)
         for b in batches:
             for doc, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                block.add(doc, text, parts.get(part, most - 1))
+                block.add(doc, text, parts[part])
                 if block.size >= BLOCK_BYTES:
                     yield block.row()
                     at += 1
                     block = Block(at, most)
         if block.ids:
             yield block.row()
-        pa.default_memory_pool().release_unused()
+        del block
+        tidy()
 
     return docs.mapInArrow(gather, _BLOCK)
 
@@ -277,22 +281,35 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["word", "c", "places"],
         )
 
-    rest: tuple | None = None
+    rest: list[tuple] = []  # of one word, which may go on in the next batch
     for b in batches:
         if not b.num_rows:
             continue
         word, place = b.column(0), b.column(2)
         train = b.column(1).flatten().to_numpy().astype(np.int64).reshape(len(word), -1)
-        if rest is not None:
-            word, place = pa.concat_arrays([rest[0], word]), pa.concat_arrays([rest[2], place])
-            train = np.concatenate([rest[1], train])
         same = pc.equal(word, word[-1]).to_numpy(zero_copy_only=False)
         cut = int(np.argmax(same))  # sorted, so all from the first equal one on
-        if cut:
+        if rest and (cut or rest[0][0][0] != word[-1]):
+            rest.append((word[:cut], train[:cut], place[:cut]))
+            yield runs(pa.concat_arrays([r[0] for r in rest]), np.concatenate([r[1] for r in rest]), pa.concat_arrays([r[2] for r in rest]))
+            rest = []
+        elif cut:
             yield runs(word[:cut], train[:cut], place[:cut])
-        rest = (word[cut:], train[cut:], place[cut:])
-    if rest is not None:
-        yield runs(*rest)
+        rest.append((word[cut:], train[cut:], place[cut:]))
+    if rest:
+        yield runs(pa.concat_arrays([r[0] for r in rest]), np.concatenate([r[1] for r in rest]), pa.concat_arrays([r[2] for r in rest]))
+    tidy()
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Doubles as a 32-bit float and what is left, times 65,536, as a 16-bit one: ten digits in six bytes."""
+    high = x.astype(np.float32)
+    return high, ((x - high) * 65536).astype(np.float16)
+
+
+def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The doubles of :func:`halves`."""
+    return high.astype(np.float64) + low.astype(np.float64) / 65536
 
 
 def places(scored: np.ndarray) -> np.ndarray:
@@ -301,7 +318,7 @@ def places(scored: np.ndarray) -> np.ndarray:
 
 
 def fit(words: DataFrame, parts: int, path: str, iterations: int = ITERATIONS) -> np.ndarray:
-    """Scores (part, piece, last or not) refitted to ``words`` (word, c by part)."""
+    """Scores (part, piece, last or not) refitted to ``words`` (word, c by part), one row a word."""
     pieces, weights = vocabulary(path)
     now = np.stack([scores(np.repeat(weights[:, None], 2, 1), pieces)] * parts)
     spark = words.sparkSession
@@ -312,18 +329,17 @@ def fit(words: DataFrame, parts: int, path: str, iterations: int = ITERATIONS) -
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             scored = places(shared.value)
             total = np.zeros(scored.shape)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                word, c = b.column(0), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            for t in gathered(batches, BATCH_WORDS):
+                t = t.combine_chunks()
+                word, c = t["word"].combine_chunks(), t["c"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
                 for k in range(c.shape[1]):  # few words are of several parts
                     own = word.filter(pa.array(c[:, k] > 0)).to_pylist()
                     lattice(path).expect(own, np.ones((len(own), 1)), scored[:, k : k + 1], total[:, k : k + 1])
             got = total.T.reshape(-1)
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got[at])], names=["at", "n"])
+            tidy()
 
-        arrow_rows(spark, 8000)
         rows = known.mapInArrow(expected, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
         if not rows:
             break
@@ -335,35 +351,39 @@ def fit(words: DataFrame, parts: int, path: str, iterations: int = ITERATIONS) -
 
 
 def score(
-    docs: DataFrame, vocabulary_file: str = VOCABULARY, iterations: int = ITERATIONS,
-    id_col: str = "doc_id", text_col: str = "text", part_col: str | None = "lang",
+    docs: DataFrame, vocabulary_file: str = VOCABULARY, iterations: int = 0, known_words: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", part_col: str | None = None,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
     path = public_tokenizers.path(vocabulary_file)
+    small_batches(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         (F.col(part_col) if part_col else F.lit(None)).cast("string").alias("part"),
     )
-    fold = F.crc32(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "utf-8")) % FOLDS
-    common = rows.where(fold != HELD_OUT).groupBy("part").count().orderBy(F.desc("count"), "part").limit(MOST_PARTS).collect()
-    numbers = {r["part"]: k for k, r in enumerate(common[: MOST_PARTS - 1])}
-    parts = max(1, len(common))
-    arrow_rows(spark, 1000)
-    blocks = cut_lineage(blocks_of(rows, numbers, parts), "blocks")
-    arrow_rows(spark, 8000)
+    numbers = {r["part"]: k for k, r in enumerate(rows.select("part").distinct().orderBy("part").collect())}
+    parts = max(1, len(numbers))
+    blocks = cut_lineage(blocks_of(rows, numbers), "blocks")
+    shares = -(-blocks.count() // SHARE_BLOCKS)
     words = cut_lineage(
         blocks.select("block", F.posexplode(F.arrays_zip("words", "train")))
         .select("col.words", "col.train", F.struct("block", F.col("pos").alias("local")).alias("place"))
         .toDF("word", "train", "place")
-        .repartition("word")
+        .repartition("word", F.pmod(F.xxhash64("place.block"), F.lit(max(1, shares))))
         .sortWithinPartitions("word")
         .mapInArrow(_distinct, "word binary, c array<long>, places array<struct<block:long,local:int>>"),
         "words",
     )
+    if shares > 1:  # a word's counts are in several rows: a row a share
+        sums = words.groupBy("word").agg(F.array(*[F.sum(F.col("c")[k]) for k in range(parts)]).alias("c"))
+        whole_words = cut_lineage(sums, "counts")
+        words = words.select("word", "places").join(whole_words, "word").select("word", "c", "places")
+    else:
+        whole_words = words.select("word", "c")
     facts = blocks.agg(*[F.sum(F.col("ends")[k]) for k in range(parts)]).first()
     ends = np.array([int(x or 0) for x in facts[:parts]], np.float64)
-    facts = words.agg(
+    facts = whole_words.agg(
         *[F.sum(F.col("c")[k]) for k in range(parts)],
         *[F.count_if(F.col("c")[k] > 0) for k in range(parts)],
         F.count_if(F.exists("c", lambda c: c > 0)),
@@ -371,50 +391,45 @@ def score(
     size, kinds = (np.array([float(x or 0) for x in facts[a : a + parts]]) for a in (0, parts))
     n_ends = int(ends.sum())
     total, distinct = int(size.sum()) + n_ends, int(facts[-1]) + (n_ends > 0)
-    shared = spark.sparkContext.broadcast(fit(words, parts, path, iterations))
+    shared = spark.sparkContext.broadcast(fit(whole_words, parts, path, iterations))
     # of each part: a document's chance to be of it, a token's to be the end, a word's to be a known one
     prior = np.log((ends + 1) / (ends + 1).sum())
     stop = (ends + 0.5) / (size + ends + 1)
-    known = size / np.maximum(1, size + kinds)
+    known = size / np.maximum(1, size + kinds) if known_words else np.zeros(parts)
     unseen = np.log((1 - stop) * (1 - known))
     whole = (1 - stop) * known / np.maximum(1, size)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each block needs of a batch of words, packed: local numbers, counts, log probabilities by part."""
         scored = places(shared.value)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            spelled = lattice(path).log_probability(b.column(0).to_pylist(), scored)
-            c = b.column(1).flatten().to_numpy().reshape(-1, parts)
+        for t in gathered(batches, BATCH_WORDS):
+            t = t.combine_chunks()
+            spelled = lattice(path).log_probability(t["word"].to_pylist(), scored)
+            c = t["c"].combine_chunks().flatten().to_numpy().reshape(-1, parts)
             with np.errstate(divide="ignore"):
-                log_p = np.logaddexp(unseen + spelled, np.log(whole * c)).astype(np.float32)
-            lists = b.column(2)
+                high, low = halves(np.logaddexp(unseen + spelled, np.log(whole * c)))
+            lists = t["places"].combine_chunks()
             block, local = (x.to_numpy() for x in lists.flatten().flatten())
-            word = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            word = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
             order = np.argsort(block, kind="stable")
             block, local, word = block[order], local[order], word[order]
-            at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            c = c.sum(1)
-            out = [(local[x:y].tobytes(), c[word[x:y]].tobytes(), log_p[word[x:y]].tobytes()) for x, y in zip(at, np.r_[at[1:], len(block)], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block[at]), *(pa.array([o[k] for o in out], pa.binary()) for k in range(3))],
-                names=["block", "local", "c", "log_p"],
-            )
-        pa.default_memory_pool().release_unused()
-
-    values = words.mapInArrow(spell, "block long, local binary, c binary, log_p binary")
+            at = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
+            values = (local, c.sum(1)[word], high[word], low[word])
+            packed = [pa.array([v[x:y].tobytes() for x, y in pairwise(at)], pa.binary()) for v in values]
+            yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), *packed], names=["block", "local", "c", "high", "low"])
+        tidy()
+
+    values = words.mapInArrow(spell, "block long, local binary, c binary, high binary, low binary")
     below = math.log10(total + 0.5 * (distinct + 1))
     end_base = math.log10(n_ends + 0.5) - below
     start = prior + np.log(stop)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(right[name].to_pylist()), kind)
-
-        local = joined("local", np.int32)
+        local, counts, high, low = (
+            np.frombuffer(b"".join(right[k].to_pylist()), kind) for k, kind in (("local", np.int32), ("c", np.int64), ("high", np.float32), ("low", np.float16))
+        )
         c, log_p = np.zeros(len(local), np.int64), np.zeros((len(local), parts))
-        c[local], log_p[local] = joined("c", np.int64), joined("log_p", np.float32).reshape(-1, parts)
+        c[local], log_p[local] = counts, joined(high, low).reshape(-1, parts)
         base = np.log10(c + 0.5) - below
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for row in left.to_pylist():
@@ -429,6 +444,7 @@ def score(
                 out["base_score"].append(float(times @ base[word]) + end_base)
                 by_part = times @ log_p[word] + start
                 out["score"].append(float(np.logaddexp.reduce(by_part)) / math.log(10))
+        trim()
         return pa.table({
             "doc_id": pa.array(out["doc_id"], pa.int64()),
             "held_out": pa.array(out["held_out"], pa.bool_()),
@@ -451,4 +467,4 @@ def score(
 
 
 def op9_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir), iterations=ITERATIONS, known_words=True, part_col="lang")
