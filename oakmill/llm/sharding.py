@@ -6,9 +6,9 @@ permutation of ``[0, n)`` moves it, and the moved number ``p`` gives
 by one at most (the law ``rows``), slots have no gaps, and where a row number
 goes can be computed without looking at any other row.
 
-Row numbers: rows are dealt into ``BUCKETS`` by a hash of the id, numbered
-within the bucket by (id, size, checksum), and shifted by the rows of the
-buckets before.  Bucket counts read the id column alone.
+Row numbers: id, size and checksum of each row are written once, range-partitioned and sorted by (a hash of
+them, id, size, checksum, place), so that ids that a third of all rows repeat are spread like others, and numbered by partition;
+each partition is shifted by the rows of those before it, one number a partition.
 
 Permutation: a generalised Feistel network over ``[0, a) x [0, b)`` with
 additions mod ``a`` and mod ``b`` (Black and Rogaway), ``a * b >= n``.  Numbers
@@ -29,10 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut_lineage, documents, small_side
 
-#: Buckets of row numbers; bounds the table of offsets that is broadcast.
-BUCKETS = 4096
 ROUNDS = 6
 
 
@@ -83,20 +81,20 @@ def feistel(number: Column, n: int, seed: int) -> Column:
     return out
 
 
-def row_numbers(rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``row_number`` in ``[0, n)``, by the data alone."""
-    bucket = F.pmod(F.xxhash64(F.lit(0), F.col(id_col)), F.lit(BUCKETS))
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = W.partitionBy("bucket").orderBy(*order)
-    return (
-        rows.withColumn("bucket", bucket)
-        .withColumn("in_bucket", F.row_number().over(within))
-        .join(F.broadcast(offsets), "bucket")
-        .withColumn("row_number", F.col("offset") + F.col("in_bucket") - 1)
-        .drop("bucket", "in_bucket", "offset")
+def row_numbers(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``row_number`` in ``[0, n)``, by the data alone (equal rows are interchangeable)."""
+    order = ["__hash", *rows.columns, "__place"]
+    # written before they are dealt, so that the sample of ranges doesn't read texts again
+    placed = cut_lineage(rows.withColumns({"__hash": F.xxhash64(*rows.columns), "__place": F.monotonically_increasing_id()}), "rows")
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*rows.columns, F.monotonically_increasing_id().alias("at"))
+    at = F.col("at")
+    dealt = cut_lineage(
+        dealt.select(*rows.columns, F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("in_part")), "row-numbers"
     )
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    offsets = cut_lineage(counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    return dealt.join(small_side(offsets), "part").withColumn("row_number", F.col("offset") + F.col("in_part")).drop("part", "in_part", "offset")
 
 
 def shard(
@@ -114,7 +112,7 @@ def shard(
     n = docs.count()
     place = feistel(F.col("row_number"), n, seed) if n else F.col("row_number")
     return (
-        row_numbers(rows, "doc_id", ["doc_id", "size", "text_crc32"])
+        row_numbers(rows)
         .withColumn("place", place)
         .select(
             "doc_id",
