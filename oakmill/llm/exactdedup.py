@@ -7,12 +7,12 @@
    third of all rows is spread over many partitions instead of one.
 2. Spark's external sort orders each partition.  One pass compares each whole
    text with its neighbour, numbers the runs of equal texts, and gives every row its
-   run's size and its smallest and largest id there.  Only the ids of the current run are held.
+   run's size and its smallest and largest id there.  Only the ids of the current run are held, packed.
 3. A run that touches an end of its partition may go on in the next one.  The
    first and the last run of each partition (two rows a partition, with whole
    text) are grouped by their text, a full comparison again, and their totals go
-   back to the rows of those runs by (partition, run): a broadcast of two rows a
-   partition at most.
+   back to the rows of those runs by (partition, run): a broadcast of five numbers for two rows a
+   partition at most, and no texts.
 
 Defined results: null text equals empty text; rows that repeat an id are counted
 each; rows with a null id belong to a group but are kept only if no row of it
@@ -23,15 +23,17 @@ their names.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents, map_batches, small_batches
+from .common import cut_lineage, documents, map_batches, small_batches, tidy
 
 #: Leading bytes that splitters see.
 HEAD = 32
@@ -54,47 +56,49 @@ def normalised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+#: Rows of a batch that a task hands on.
+OUT_ROWS = 5000
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a sorted partition with the facts of their run; the first and the last run carry their text."""
     part, run = TaskContext.get().partitionId(), 0
     text: str | None = None
-    ids: list[int | None] = []
+    ids, unknown = array("q"), 0  # of the current run, and how many of its rows have none
     ready: list[tuple] = []
-    held = 0
 
-    def close(last: bool) -> None:
-        nonlocal held
-        known = [i for i in ids if i is not None]
-        low, high = min(known, default=None), max(known, default=None)
-        sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-        edge = last or run == 0
-        for k, i in enumerate(ids):
-            ready.append((i, part, run, low, high, len(ids), edge, text if edge and not k else None, sha))
-        held += len(ids)
-
-    def flush() -> pa.RecordBatch:
-        nonlocal held
-        held = 0
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*ready, strict=True), _TYPES, strict=True)], names=_NAMES
-        )
+    def batch() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*ready, strict=True), _TYPES, strict=True)], names=_NAMES)
         ready.clear()
         return out
 
+    def close(last: bool) -> Iterator[pa.RecordBatch]:
+        """The current run's rows, in batches as they fill up."""
+        known = np.array(ids, np.int64)
+        low, high = (int(known.min()), int(known.max())) if len(known) else (None, None)
+        sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        edge, n = last or run == 0, len(ids) + unknown
+        for k in range(n):
+            ready.append((ids[k] if k < len(ids) else None, part, run, low, high, n, edge, text if edge and not k else None, sha))
+            if len(ready) >= OUT_ROWS:
+                yield batch()
+
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if t == text:
+            if t != text:
+                if text is not None:
+                    yield from close(False)
+                    run += 1
+                text, ids, unknown = t, array("q"), 0
+            if i is None:
+                unknown += 1
+            else:
                 ids.append(i)
-                continue
-            if text is not None:
-                close(False)
-                run += 1
-                if held >= 5000:
-                    yield flush()
-            text, ids = t, [i]
     if text is not None:
-        close(True)
-        yield flush()
+        yield from close(True)
+    if ready:
+        yield batch()
+    tidy()
 
 
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
@@ -162,11 +166,12 @@ def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", te
         part, last, run = TaskContext.get().partitionId(), None, 0
         held: pa.RecordBatch | None = None  # the last run's row, which may go on in the next partition
 
-        def out(rows: pa.RecordBatch, edge: list[bool]) -> pa.RecordBatch:
-            texts = [t if e else None for t, e in zip(rows.column(n).to_pylist(), edge, strict=True)]
+        def out(rows: pa.RecordBatch, edge: list[int | None]) -> pa.RecordBatch:
+            """``edge``: the number of each row's run if it is at an end of the partition."""
+            texts = [None if e is None else t for t, e in zip(rows.column(n).to_pylist(), edge, strict=True)]
             return pa.RecordBatch.from_arrays(
-                [*rows.columns[:n], pa.array([part] * len(edge), pa.int32()), pa.array(texts, pa.string())],
-                names=[*rows.schema.names[:n], "part", "edge_text"],
+                [*rows.columns[:n], pa.array([part] * len(edge), pa.int32()), pa.array(edge, pa.int64()), pa.array(texts, pa.string())],
+                names=[*rows.schema.names[:n], "part", "edge", "edge_text"],
             )
 
         for b in batches:
@@ -176,14 +181,15 @@ def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", te
             if not new:
                 continue
             if held is not None:
-                yield out(held, [run == 1])
+                yield out(held, [0 if run == 1 else None])
             rows = b.take(pa.array(new[:-1], pa.int64()))
             if rows.num_rows:
-                yield out(rows, [not run, *[False] * (len(new) - 2)])
+                yield out(rows, [None if run else 0, *[None] * (len(new) - 2)])
             run += len(new)
             held = b.take(pa.array(new[-1:], pa.int64()))
         if held is not None:
-            yield out(held, [True])
+            yield out(held, [run - 1])
+        tidy()
 
     rows = cut_lineage(
         map_batches(plain, lower, f"{fields}, norm string")
@@ -191,15 +197,13 @@ def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", te
         .repartitionByRange("head", "h", key)
         .sortWithinPartitions("head", "h", "norm", key)
         .drop("head", "h")
-        .mapInArrow(firsts, f"{fields}, part int, edge_text string"),
+        .mapInArrow(firsts, f"{fields}, part int, edge long, edge_text string"),
         "firsts",
     )
-    owner = rows.where(F.col("edge_text").isNotNull()).groupBy("edge_text").agg(F.min("part").alias("part"))
-    late = (
-        rows.where(F.col("edge_text").isNotNull()).select("edge_text", F.col("part").alias("p"))
-        .join(owner, "edge_text").where("p > part").select("p", F.xxhash64("edge_text").alias("x"), F.col("edge_text").alias("t"))
-    )
-    stay = rows.join(F.broadcast(late), (rows["part"] == late["p"]) & (F.xxhash64("edge_text") == late["x"]) & (rows["edge_text"] == late["t"]), "left_anti")
+    ends = rows.where(F.col("edge").isNotNull()).select("edge_text", F.col("part").alias("p"), F.col("edge").alias("e"))
+    owner = ends.groupBy("edge_text").agg(F.min("p").alias("first"))
+    late = ends.join(owner, "edge_text").where("p > first").select("p", "e")  # two rows of two numbers a partition at most
+    stay = rows.join(F.broadcast(late), (rows["part"] == late["p"]) & rows["edge"].eqNullSafe(late["e"]), "left_anti")
     return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
