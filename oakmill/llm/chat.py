@@ -12,12 +12,13 @@ without the marker, ``<|im_end|>``.
 A row is one utterance of a transcript: it opens a turn, and further lines open
 turns only by markers of their own.  A raw transcript is one row without a marker.
 
-Layout: rows are range-partitioned by (transcript, turn, text hash), sorted, and
-stored as chunks: rows of one transcript that lie together in a
+Layout: rows are range-partitioned by (transcript, turn, marker, text hash, place), so that equal rows can be
+dealt apart, sorted, and stored as chunks: rows of one transcript that lie together in a
 partition, ``CHUNK_ROWS`` rows or ``CHUNK_BYTES`` of text at most.  Viterbi is a product of max-plus matrices, so a
 transcript that spans chunks is solved exactly without being gathered: each of its
-chunks gives one small matrix, a scan over these fixes the states at the seams, and chunks
-are decoded one by one between their seams.  Text is shuffled once.
+chunks gives one small matrix, those of a partition one product.  A scan over the products of a transcript (one a
+partition) fixes the states between partitions, a scan inside each partition those between its chunks, and chunks
+are decoded one by one.  Text is shuffled once.
 
 Defined results: null text is one empty line; a null or unknown marker is inferred;
 rows of equal turn are ordered by marker and text; a null transcript id is a transcript of its
@@ -216,21 +217,42 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_ROWS) -> Iterat
         yield chunk(True)
 
 
-def _seams(key: tuple, t: pa.Table) -> pa.Table:
-    """States at the seams of one transcript's chunks, from their matrices."""
-    t = t.sort_by([("part", "ascending"), ("chunk", "ascending")])
-    steps = [np.array(m).reshape(STATES + 1, STATES) for m in t["matrix"].to_pylist()]
-    forward = [steps[0][START]]
+def _steps(t: pa.Table) -> list[np.ndarray]:
+    return [np.array(m).reshape(STATES + 1, STATES) for m in t["matrix"].to_pylist()]
+
+
+def _product(key: tuple, t: pa.Table) -> pa.Table:
+    """The matrix of all chunks of a transcript in a partition."""
+    whole, *rest = _steps(t.sort_by("chunk"))
+    for m in rest:
+        whole = (whole[:, :, None] + m[None, :START, :]).max(1)
+    return pa.table({"id": t["id"][:1], "part": t["part"][:1], "matrix": pa.array([whole.reshape(-1).tolist()], pa.list_(pa.float64()))})
+
+
+def _between(steps: list[np.ndarray], enter: int, leave: int | None) -> tuple[list[int], list[int]]:
+    """The best states before and after each step, from a state before them all to one after them (any, if None)."""
+    forward = [steps[0][enter]]
     for m in steps[1:]:
         forward.append((forward[-1][:, None] + m[:START]).max(0))
-    leave = [int(forward[-1].argmax())]
+    out = [int(forward[-1].argmax()) if leave is None else leave]
     for k in range(len(steps) - 1, 0, -1):
-        leave.append(int((forward[k - 1] + steps[k][:START, leave[-1]]).argmax()))
-    leave.reverse()
-    return pa.table({
-        "part": t["part"], "chunk": t["chunk"],
-        "enter": pa.array([START, *leave[:-1]], pa.int32()), "leave": pa.array(leave, pa.int32()),
-    })
+        out.append(int((forward[k - 1] + steps[k][:START, out[-1]]).argmax()))
+    out.reverse()
+    return [enter, *out[:-1]], out
+
+
+def _parts(key: tuple, t: pa.Table) -> pa.Table:
+    """States between the partitions of one transcript, from their products."""
+    t = t.sort_by("part")
+    enter, leave = _between(_steps(t), START, None)
+    return pa.table({"id": t["id"], "part": t["part"], "enter": pa.array(enter, pa.int32()), "leave": pa.array(leave, pa.int32())})
+
+
+def _seams(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """States at the seams of one transcript's chunks in a partition, from their matrices and the states before and after."""
+    t = left.sort_by("chunk")
+    enter, leave = _between(_steps(t), right["enter"][0].as_py(), right["leave"][0].as_py())
+    return pa.table({"part": t["part"], "chunk": t["chunk"], "enter": pa.array(enter, pa.int32()), "leave": pa.array(leave, pa.int32())})
 
 
 def render(role: str, text: str) -> str:
@@ -262,10 +284,10 @@ def parse(
         F.col(text_col).cast("string").alias("text"),
     )
     chunks = cut_lineage(
-        own.withColumn("h", F.xxhash64("marker", "text"))
-        .repartitionByRange("id", "turn", "marker", "h")
+        own.withColumns({"h": F.xxhash64("marker", "text"), "place": F.monotonically_increasing_id()})
+        .repartitionByRange("id", "turn", "marker", "h", "place")
         .sortWithinPartitions("id", "turn", "marker", "h", "text")
-        .drop("h")
+        .drop("h", "place")
         .mapInArrow(partial(_chunks, most=chunk_rows), _CHUNK),
         "chunks",
     )
@@ -296,13 +318,14 @@ def parse(
                     [*b.columns[:3], pa.array(found, pa.list_(pa.float64()))], names=["id", "part", "chunk", "matrix"]
                 )
 
-    seams = (
-        chunks.where("edge")
-        .select("id", "part", "chunk", "codes")
-        .mapInArrow(matrices, "id long, part int, chunk int, matrix array<double>")
-        .groupBy("id")
-        .applyInArrow(_seams, "part int, chunk int, enter int, leave int")
+    steps = cut_lineage(
+        chunks.where("edge").select("id", "part", "chunk", "codes").mapInArrow(matrices, "id long, part int, chunk int, matrix array<double>"), "matrices"
+    )
+    parts = (
+        steps.groupBy("id", "part").applyInArrow(_product, "id long, part int, matrix array<double>")
+        .groupBy("id").applyInArrow(_parts, "id long, part int, enter int, leave int")
     )
+    seams = steps.groupBy("id", "part").cogroup(parts.groupBy("id", "part")).applyInArrow(_seams, "part int, chunk int, enter int, leave int")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
