@@ -1,15 +1,15 @@
 """URL filter over a sorted array of 64-bit digests.
 
-The rule list is stored as two files: the xxHash64 digests of all rule strings
+The rule list is stored as files in the shared folder: the xxHash64 digests of all rule strings
 (``host`` + ``path``), sorted, and the rule strings themselves in the same
-order.  Spark ships both to every executor once (``addFile``); Python workers
+order.  Spark ships them to every executor once (``addFile``); Python workers
 memory-map them, so the workers of a machine share one copy and the list never
 has to fit on a heap.  A batch of URLs is probed by one vectorised binary search over
 all its candidate strings, and each digest that matches is confirmed against
 the stored string, so a collision cannot block a page.
 
 A rule fits its host and all subdomains, and every path that starts with the
-rule's path; the candidates of a URL are its host's suffixes at dots times its
+rule's path; the candidates of a URL are its host's suffixes of as many labels as a rule has at most, times its
 path's prefixes of the lengths that rules have.  Of the rules that fit, the
 longest string wins.  Where none fits, the verdict is the array's: a URL that
 it doesn't hold is allowed.
@@ -23,10 +23,8 @@ string (the last one given holds).  There is no shuffle, so no key can be hot.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import lru_cache
@@ -38,6 +36,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import delete, new_folder, write_bytes
 from .common import map_batches
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,35 +74,38 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(LOWER), slash + path
 
 
+def suffixes(host: str, most: int) -> list[str]:
+    """The host's suffixes of ``most`` labels at most, whole labels only."""
+    out, at = [], len(host)
+    while at >= 0 and len(out) < most:
+        at = host.rfind(".", 0, at)
+        out.append(host[at + 1 :])
+    return out
+
+
 class DigestArray:
     """The mapped files of a rule list."""
 
     FILES = ("digests", "offsets", "strings", "facts")
 
     @staticmethod
-    def write(rules: Sequence[Rule], prefix: str) -> list[str]:
+    def files(rules: Sequence[Rule]) -> dict[str, bytes]:
+        """The files' contents by name."""
         keys = {r.key.encode(): r for r in rules}
         order = sorted(keys, key=lambda k: (xxhash.xxh64_intdigest(k, SEED), k))
         digests = np.array([xxhash.xxh64_intdigest(k, SEED) for k in order], np.uint64)
         blob = [bytes([keys[k].verdict == "block"]) + k for k in order]
         offsets = np.cumsum([0, *map(len, blob)]).astype(np.int64)
         facts = {
-            "paths": sorted({len(r.path) for r in rules}),
-            "n": len(order),
+            "paths": sorted({len(r.path) for r in rules}), "labels": max((r.host.count(".") + 1 for r in rules), default=0), "n": len(order),
         }
-        for name, data in zip(
-            DigestArray.FILES,
-            (digests.tobytes(), offsets.tobytes(), b"".join(blob) or b"\0", json.dumps(facts).encode()),
-            strict=True,
-        ):
-            with open(f"{prefix}{name}", "wb") as f:
-                f.write(data or b"\0" * 8)
-        return [f"{prefix}{name}" for name in DigestArray.FILES]
+        data = (digests.tobytes() or b"\0" * 8, offsets.tobytes(), b"".join(blob) or b"\0", json.dumps(facts).encode())
+        return dict(zip(DigestArray.FILES, data, strict=True))
 
     def __init__(self, prefix: str) -> None:
         with open(f"{prefix}facts") as f:
             facts = json.load(f)
-        self.n, self.paths = facts["n"], facts["paths"]
+        self.n, self.paths, self.labels = facts["n"], facts["paths"], facts["labels"]
         self.digests = np.memmap(f"{prefix}digests", np.uint64, "r")[: self.n]
         self.offsets = np.memmap(f"{prefix}offsets", np.int64, "r")
         self.strings = np.memmap(f"{prefix}strings", np.uint8, "r")
@@ -132,15 +134,20 @@ def _opened(name: str) -> DigestArray:
     return DigestArray(SparkFiles.get(f"{name}-"))
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by now
+        delete(spark, folder)
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id_col``, host, path, rule, verdict for every row of ``pages``."""
-    sc = pages.sparkSession.sparkContext
+    spark = pages.sparkSession
     name = f"urls-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(dir=os.path.realpath(tempfile.gettempdir()))
-    # The driver serves the files from here to executors that start later.
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    for path in DigestArray.write(rules, f"{folder}/{name}-"):
-        sc.addFile(path)
+    folder = new_folder(spark, "urls")
+    atexit.register(_forget, spark, folder)  # executors that start later fetch the files as well
+    for kind, data in DigestArray.files(rules).items():
+        write_bytes(spark, f"{folder}/{name}-{kind}", data)
+        spark.sparkContext.addFile(f"{folder}/{name}-{kind}")
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         listed = _opened(name)
@@ -148,7 +155,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
         keys: dict[str, int] = {}
         of: list[list[str]] = []
         for host, path in parts:
-            ends = [host[i:] for i in (0, *(i + 1 for i, c in enumerate(host) if c == "."))]
+            ends = suffixes(host, listed.labels)
             starts = [path[:n] for n in listed.paths if n <= len(path)]
             own = [h + p for h in ends if h for p in starts]
             for k in own:
