@@ -193,6 +193,57 @@ def test_similar_among_siblings(spark):
     assert got == want
 
 
+def test_similar_in_tiles_and_other_partitions(spark, monkeypatch):
+    """Buckets of many tiles, texts with many true neighbours and long ones: as brute force, however the rows are dealt."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows, texts = [], []
+    for _ in range(120):  # around one text: some alike, many not quite
+        out = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 6, 9])):
+            out[at] = f"x{rng.random()}"
+        texts.append(out)
+    texts += [[f"long{i}" for i in range(k, 1500 + k)] for k in range(0, 240, 40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(500, " ".join(texts[3])), (None, " ".join(texts[3]))]
+    want = kept_by_brute_force(rows[:-1])
+    assert 2 < len(want) < 120
+    for tile, hashes, parts in ((1024, 800_000, 1), (16, 3_000, 5), (7, 1_000, 3)):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "TILE_HASHES", hashes)
+        rng.shuffle(rows)
+        assert sorted(r.doc_id for r in simhash.keep_one(table(spark, rows).repartition(parts)).collect()) == want
+
+
+def test_similar_recall(spark):
+    """Links at 0.8 or more among 10,000 documents, found by an inverted list of all shingles: 0.99 of them are in one group, and groups hold no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    group = {r.doc_id: r.component for r in simhash.similar_groups(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sizes, holders = {}, collections.defaultdict(list)
+    first = {}  # equal texts are one
+    for i, t in sorted(texts.items()):
+        key = " ".join((t or "").translate(LOWER).split())
+        if first.setdefault(key, i) == i:
+            own = simhash.wide_hashes(t, 5)[:, 0].tolist()
+            sizes[i] = len(own)
+            for h in own:
+                holders[h].append(i)
+        else:
+            assert group[i] == group[first[key]]
+    common = collections.Counter()
+    for of in holders.values():
+        for k, a in enumerate(of):
+            for b in of[:k]:
+                common[b, a] += 1
+    links = [(a, b) for (a, b), n in common.items() if n / (sizes[a] + sizes[b] - n) >= 0.8]
+    assert len(links) >= 40
+    assert sum(group[a] == group[b] for a, b in links) >= 0.99 * len(links)
+    whole = merged(list(sizes), links)
+    of_group = {}
+    for i in sizes:
+        assert of_group.setdefault(group[i], whole[i]) == whole[i]
+
+
 def test_bands_meet_at_the_threshold():
     """Pairs at 0.8 meet in a band with the chance that MEET names; nothing in it depends on the number of texts."""
     rng = np.random.default_rng(3)

@@ -1,6 +1,7 @@
 """Sharding, packing, mixing, URL filter."""
 
 import collections
+import struct
 import zlib
 from array import array
 
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -50,6 +52,42 @@ def test_shards(spark):
     assert sharding.shard(table(spark, [])).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of 32-bit (as i) and 64-bit (as q) numbers; nulls are passed over."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack(f"<{kind}", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_shards_as_in_plain_python(spark):
+    """Row number, Feistel rounds, cycle walk, shard and slot of every row; a third of the rows is equal, and ids repeat."""
+    rows = [(5, "copy", "s")] * 200 + [(6, f"t{i}", "s") for i in range(150)] + [(i if i % 40 else None, "x" * (i % 11), "s") for i in range(250)]
+    facts = [(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t, _ in rows]
+    order = sorted(facts, key=lambda f: (spark_hash(*(("q", v) for v in f)), f[0] is not None, f[0] or 0, *f[1:]))
+    n, seed = len(rows), 7
+    a, b = sharding.sides(n)
+
+    def turn(p):
+        left, right = divmod(p, b)
+        for k in range(sharding.ROUNDS):
+            if k % 2 == 0:
+                left = (left + spark_hash(("i", seed), ("i", k), ("q", right)) % a) % a
+            else:
+                right = (right + spark_hash(("i", seed), ("i", k), ("q", left)) % b) % b
+        return left * b + right
+
+    want = collections.Counter()
+    for number, f in enumerate(order):
+        p = turn(number)
+        while p >= n:
+            p = turn(p)
+        want[(*f, p % 16, p // 16)] += 1
+    got = sharding.shard(table(spark, rows).repartition(5)).collect()
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == want
+
+
 def test_packing_round_trip(spark):
     docs = table(spark, ROWS)
     parts = packing.pieces(docs)
@@ -227,9 +265,16 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), urls.RULES).count() == 0
 
 
+def test_hosts_with_many_labels():
+    host = "x." * 20_000 + "a.example.com"
+    assert urls.suffixes(host, 2) == ["com", "example.com"] and urls.suffixes("com", 3) == ["com"]
+    assert urls.suffixes("a..b", 9) == ["b", ".b", "a..b"] and urls.suffixes(".", 2) == ["", "."] and urls.suffixes("a", 0) == []
+
+
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     rules = [urls.Rule("block", f"h{i}.org", "/") for i in range(50)]
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda k, seed: len(k) % 2)
-    urls.DigestArray.write(rules, f"{tmp_path}/x-")
+    for name, data in urls.DigestArray.files(rules).items():
+        (tmp_path / f"x-{name}").write_bytes(data)
     listed = urls.DigestArray(f"{tmp_path}/x-")
     assert listed.probe([b"h7.org/", b"h77.org/", b"h49.org/"]) == [True, None, True]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oakmill.llm import chat, embeddings, lm, mixing, quality
+from oakmill.llm import chat, common, embeddings, lm, mixing, quality
 
 CHAT = "conv_id long, turn long, role string, text string, part int, enter int, h long"
 
@@ -157,14 +157,72 @@ def test_lm(spark):
         for i, w, held in split
     )
     assert want == collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
-    assert all(-1e5 < r.score < 0 for r in got)
-    again = {r.doc_id: r.score for r in lm.score(texts(spark, LM_ROWS[::-1]).repartition(3)).collect()}
-    assert all(again[r.doc_id] == pytest.approx(r.score, rel=1e-5) for r in got if r.doc_id not in (3, None))
+    options = {"iterations": 2, "known_words": True, "part_col": "lang"}
+    got = lm.score(texts(spark, LM_ROWS), **options).collect()
+    again = {r.doc_id: r.score for r in lm.score(texts(spark, LM_ROWS[::-1]).repartition(3), **options).collect()}
+    assert all(again[r.doc_id] == pytest.approx(r.score, rel=1e-8) for r in got if r.doc_id not in (3, None))
+
+
+def test_halves_keep_ten_digits():
+    x = -np.random.default_rng(1).exponential(30, 10_000)
+    assert np.abs(lm.joined(*lm.halves(x)) / x - 1).max() < 1e-10
+    assert lm.joined(*lm.halves(np.array([-20_000.123456789])))[0] == pytest.approx(-20_000.123456789, rel=1e-10)
+
+
+def spelling(word, weights, longest):
+    """Log of the sum over all segmentations of a word, by plain recursion over its ends."""
+    text, ways = lm.MARK + word, [0.0]
+    for end in range(1, len(text) + 1):
+        into = [ways[k] + weights[text[k:end], end == len(text)] for k in range(max(0, end - longest), end) if (text[k:end], True) in weights]
+        top = max(into)
+        ways.append(top + math.log(sum(math.exp(x - top) for x in into)))
+    return ways[-1]
+
+
+@pytest.mark.parametrize(("known_words", "part_col"), [(False, None), (True, None), (True, "lang")])
+def test_lm_scores_of_whole_documents(spark, known_words, part_col):
+    """Each document's score, against lattices of plain Python over the vocabulary's own scores, summed over the parts."""
+    pieces, ranks = lm.vocabulary(public_tokenizers.path(lm.VOCABULARY))
+    scored = lm.scores(np.repeat(ranks[:, None], 2, 1), pieces)
+    weights = {(p, bool(last)): scored[k, last] for k, p in enumerate(pieces) for last in (0, 1)}
+    longest = max(map(len, pieces))
+    rows = [r for r in LM_ROWS if r[0] not in (3, 63)] + [(64, "zz" * 40 + " End 漢字 😀 " * 300, "en")]
+    split = [(i, lm.words_of(t), lm.is_held_out(i), g if part_col else None) for i, t, g in rows]
+    spelled = {w: spelling(w, weights, longest) for _, words, _, _ in split for w in words}
+    parts = {g for _, _, _, g in split}
+    ends = {g: sum(not held and g == x for _, _, held, x in split) for g in parts}
+    want = collections.defaultdict(list)
+    for g in parts:
+        count = collections.Counter(w for _, words, held, x in split if not held and x == g for w in words)
+        size, kinds = sum(count.values()), len(count)
+        stop = (ends[g] + 0.5) / (size + ends[g] + 1)
+        known = size / max(1, size + kinds) if known_words else 0.0
+        log_p = {
+            w: np.logaddexp(math.log((1 - stop) * (1 - known)) + x, math.log((1 - stop) * known * count[w] / size) if known and count[w] else -np.inf)
+            for w, x in spelled.items()
+        }
+        prior = math.log((ends[g] + 1) / sum(n + 1 for n in ends.values()))
+        for i, words, _, _ in split:
+            want[i].append(prior + math.log(stop) + sum(log_p[w] for w in words))
+    want = {i: float(np.logaddexp.reduce(x)) / math.log(10) for i, x in want.items()}
+    got = {r.doc_id: r.score for r in lm.score(texts(spark, rows), known_words=known_words, part_col=part_col).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(x, rel=1e-8) for i, x in want.items())
+
+
+def test_lm_hot_words_in_many_blocks(spark, monkeypatch):
+    """A word of all documents, in blocks of a document or two that are dealt in shares, gives the same scores as in one block."""
+    options = {"known_words": True, "iterations": 1, "part_col": "lang"}
+    want = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(texts(spark, LM_ROWS), **options).collect()}
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(lm, "SHARE_BLOCKS", 8)
+    got = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(texts(spark, LM_ROWS).coalesce(1), **options).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-8) for k in want if k != 3)
 
 
 def test_lm_beats_word_counts_on_held_out_text(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    row = lm.score(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    row = lm.score(docs, iterations=lm.ITERATIONS, known_words=True, part_col="lang").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert row.s / row.n > row.b / row.n
 
 
@@ -253,8 +311,63 @@ def vectors():
 def test_digits_count_over_the_whole_text():
     late = "word " * 1000 + "12345 ٣ " * 200
     joined = "".join(late.split())
-    assert quality.features(late)[-1] == pytest.approx(sum(map(str.isdigit, joined)) / len(joined))
-    assert quality.features("a" * 3000 + "77")[-1] == pytest.approx(2 / 3002)
+    last = quality.SHAPES - 1
+    assert quality.features(late)[last] == pytest.approx(sum(map(str.isdigit, joined)) / len(joined))
+    assert quality.features("a" * 3000 + "77")[last] == pytest.approx(2 / 3002)
+
+
+def shrunken(groups, parents):
+    """Prior strength of groups (n, s, ss) below their parents' means, by the method of moments."""
+    n, s, ss = (np.array([g[k] for g in groups], float) for k in range(3))
+    if len(n) < 2 or n.sum() <= len(n):
+        return 100.0
+    mean, inside = s.sum() / n.sum(), (ss - s * s / n).sum() / (n.sum() - len(n))
+    effective = n.sum() - (n * n).sum() / n.sum()
+    tau = ((n * (s / n - np.array(parents)) ** 2).sum() - (len(n) - 1) * inside) / effective if effective > 0 else 0
+    return min(max(mean * (1 - mean) / tau - 1, 2), 1e6) if tau > 0 else 1e6
+
+
+def test_sites_are_shrunk_as_in_plain_python(spark):
+    """Many sparse hosts with many paths each, one hot host, null hosts and paths."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        host = "hot" if i % 3 == 0 else None if i % 40 == 1 else f"h{rng.randrange(150)}"
+        good = rng.random() < (0.9 if host and host < "h5" else 0.3)
+        text = " ".join(rng.choices([f"w{k}" for k in range(80)] if good else [f"w{k}##" for k in range(80)], k=rng.randint(3, 30)))
+        rows.append((i if i % 50 else None, text, host, None if i % 31 == 0 else f"/p{rng.randrange(12)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int("##" not in rows[i][1]), 0) for i in range(300)], "doc_id long, quality int, c0 int")
+    got = quality.judge(docs, labels).collect()
+    model = quality.fit(docs, labels)
+    p = [1 / (1 + math.exp(-(r.oak_evidence + model.prior))) for r in got]
+    total = sum(p) / len(p)
+    paths = collections.defaultdict(lambda: [0, 0.0, 0.0])
+    for r, x in zip(got, p, strict=True):
+        for k, v in enumerate((1, x, x * x)):
+            paths[r.source, r.lang][k] += v
+    hosts = collections.defaultdict(lambda: [0, 0.0, 0.0])
+    for (h, _), g in paths.items():
+        for k in range(3):
+            hosts[h][k] += g[k]
+    strong = shrunken(list(hosts.values()), [total] * len(hosts))
+    mean = {h: (strong * total + s) / (strong + n) for h, (n, s, _) in hosts.items()}
+    below = shrunken(list(paths.values()), [mean[h] for h, _ in paths])
+    assert len(hosts) > 100 and len(paths) > 400
+    for r, x in zip(got, p, strict=True):
+        n, s, _ = paths[r.source, r.lang]
+        site = min(max((below * mean[r.source] + s - x) / (below + n - 1), 1e-6), 1 - 1e-6)
+        assert r.oak_site == pytest.approx(site, rel=1e-9)
+        assert r.oak_posterior == pytest.approx(1 / (1 + math.exp(-r.oak_evidence) * (1 - site) / site), rel=1e-9)
+        assert r.oak_kept == (r.oak_posterior >= 0.5)
+
+
+def test_training_is_bounded_under_repeated_ids(spark):
+    """Labels and documents that repeat an id give one row to train on."""
+    docs = spark.createDataFrame([(1, f"good text {i}.") for i in range(300)] + [(2, "bad*** %%%")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(2, 0), (2, 0), (None, 1), (1, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.prior == pytest.approx(0.0)
 
 
 def test_embeddings(spark, monkeypatch):
@@ -334,6 +447,7 @@ def test_pipeline(spark, sf_dir):
     kept = [docs]
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, kept[-1], sf_dir).cache()
+        out.count()
         if name != "packing":
             assert sorted(out.columns) == sorted(columns)
         kept.append(out)
@@ -352,3 +466,38 @@ def test_pipeline(spark, sf_dir):
     assert kept[5].agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
     again = corpus_pipeline.run(spark, sf_dir)
     assert again.exceptAll(kept[5]).count() == 0 and again.count() == kept[5].count()
+
+
+def through_all_stages(spark, docs, sf_dir):
+    kept = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        kept.append(common.cut_lineage(stage(spark, kept[-1], sf_dir), "stage"))
+        if name != "packing":
+            assert kept[-1].dtypes == docs.dtypes
+    return kept
+
+
+def test_pipeline_on_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    assert [k.count() for k in through_all_stages(spark, docs, sf_dir)] == [0] * 6
+
+
+def test_pipeline_on_odd_rows(spark, sf_dir):
+    """Null and repeated ids, null columns, equal rows, empty and long texts, columns named as the operators' own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = docs.where("length(text) between 300 and 900").first().text
+    long = " ".join(f"{text} {i}" for i in range(200))
+    odd = [(None, text, "en", "src1", None), (None, None, None, None, 0), (5, "", "en", None, 0), (5, text + " more", None, "src1", 3)]
+    odd += [(7, text, "en", "src1", 1)] * 20 + [(None, long, "en", "src2", 5), (8, long + " end", "en", "src2", 5)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({n: F.lit(1) for n in ("row", "tie", "size", "host", "evidence", "at", "part")})
+    kept = through_all_stages(spark, docs, sf_dir)
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    distinct = kept[1].select(F.coalesce(low, F.lit("")).alias("t")).distinct().count()
+    assert kept[2].count() == distinct and kept[3].count() <= distinct
+    rows = kept[3].where(F.col("text") == text).collect() + kept[3].where(F.col("text") == long).collect()
+    assert len(rows) <= 2  # one of the copies, one of the long texts at most
+    # mixing: words of each row that stays are taken as op3 says
+    want = collections.Counter((r.doc_id, r.source, min(r.size, r.taken - at)) for r in mixing.mix(kept[3]).collect() for at in range(0, r.taken, r.size or 1))
+    assert collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in kept[4].collect()) == want
+    pieces = kept[5].groupBy("doc_id").agg(F.sum("length").alias("n"), F.sum(F.when(F.col("start") == 0, F.col("doc_tokens"))).alias("m")).collect()
+    assert pieces and all(r.n == r.m for r in pieces)
