@@ -90,7 +90,9 @@ class ZonedTable:
     def select(self, column: str, value: object, columns: Sequence[str] | None = None) -> DataFrame:
         """Rows equal to ``value``, read from the files that may hold it."""
         tables.need(self.data, [column, *(columns or [])])
-        kept = self.candidates(column, value).select("__file", "__partition").collect()  # a zone that may hold the value each
+        kept = self.in_range(column, value).select("__file", "__partition").limit(2).collect()
+        if len(kept) > 1:  # the ranges leave more than a zone to open: ask the filters
+            kept = self.candidates(column, value).select("__file", "__partition").collect()  # a zone that may hold the value each
         names = sorted({r["__file"] for r in kept})
         out = [c for c in (columns or self.data.columns) if c != "__partition"]
         if not names:

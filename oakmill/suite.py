@@ -623,7 +623,13 @@ def zone_table(s: SparkSession, d: str) -> ZonedTable:
         part = F.floor(F.col("o_orderkey") / tables.PARTITION_ROWS)
         ZonedTable.write(orders(s, d), path, "o_orderkey", zones=["o_custkey"], bloom=["o_orderkey", "o_custkey"], partition=part)
 
-    return ZonedTable(s, stored(s, d, "zones", build))
+    path = stored(s, d, "zones", build)
+    if path not in _zoned:
+        _zoned[path] = ZonedTable(s, path)
+    return _zoned[path]
+
+
+_zoned: dict[str, ZonedTable] = {}
 
 
 @shows("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 777")
