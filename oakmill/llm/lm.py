@@ -16,7 +16,9 @@ as the language) has scores and counts of its own, and the text's probability is
 the part of the text itself is not looked at.  Every part counts; cost grows with their number.
 
 Layout: documents are read once into blocks of about ``BLOCK_BYTES`` of text,
-which hold each document's distinct words and counts with local numbers.  Only
+which hold each document's distinct words and counts with local numbers.  A block is written as many small rows,
+so that neither its writer nor a reader, which take rows by number, hold more of a file than a few blocks; and words are
+spelled by as many as ``BATCH_WORDS``, ``BATCH_PLACES`` and ``Lattice.BYTES`` allow.  Only
 (block, distinct word) is shuffled, by word and by a share of the blocks, so that no task holds a common word's
 places in more than ``SHARE_BLOCKS`` blocks or so.  Each distinct word is spelled once a share, whatever its count, and
 its count and probabilities go back, packed, to the blocks that hold it.  All words and
@@ -36,7 +38,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -51,11 +53,13 @@ from .common import cut_lineage, documents, gathered, small_batches, tidy, trim
 VOCABULARY = "piece_bpe_32k.model"
 ITERATIONS = 3
 BLOCK_BYTES = 8_000_000
+#: Words and bytes of documents' pairs in a row of a block, and rows that are handed over together.
+ROW_WORDS, ROW_BYTES, ROWS = 32, 1 << 20, 256
 SMOOTHING = 0.02
 #: Blocks whose places of a word meet in one task.
 SHARE_BLOCKS = 4096
-#: Words that are spelled together.
-BATCH_WORDS = 8192
+#: Words that are spelled together, and their places.
+BATCH_WORDS, BATCH_PLACES = 8192, 1 << 18
 FOLDS, HELD_OUT = 5, 1
 MARK = b" "
 
@@ -108,7 +112,7 @@ class Lattice:
     (2 * pieces, parts): that of piece k as the last of its word at 2 k + 1, and else at 2 k.
     """
 
-    WORDS = 2048
+    WORDS, BYTES = 2048, 1 << 16
 
     def __init__(self, pieces: list[bytes]) -> None:
         number: dict[bytes, int] = {b"": 0}
@@ -166,17 +170,28 @@ class Lattice:
                 share[a:b] = ways / total[of]
         return (alpha[last], start, end, place, share, cuts, last) if shares else (alpha[last],)
 
+    def spans(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """From where to where words go together: ``WORDS`` of them and ``BYTES`` at most, or one word."""
+        i, size = 0, 0
+        for j, w in enumerate(words):
+            if j > i and (j - i == self.WORDS or size + len(w) > self.BYTES):
+                yield i, j
+                i, size = j, 0
+            size += len(w)
+        if words:
+            yield i, len(words)
+
     def log_probability(self, words: list[bytes], scores: np.ndarray) -> np.ndarray:
         """(words, parts)."""
-        own = [self.forward(words[i : i + self.WORDS], scores)[0] for i in range(0, len(words), self.WORDS)]
+        own = [self.forward(words[i:j], scores)[0] for i, j in self.spans(words)]
         return np.concatenate(own) if own else np.empty((0, scores.shape[1]))
 
     def expect(self, words: list[bytes], counts: np.ndarray, scores: np.ndarray, total: np.ndarray) -> None:
         """Add to ``total`` (like ``scores``) the expected uses of each score in ``counts`` (words, parts) of the words."""
-        for i in range(0, len(words), self.WORDS):
-            _, start, end, place, share, cuts, last = self.forward(words[i : i + self.WORDS], scores, shares=True)
+        for i, j in self.spans(words):
+            _, start, end, place, share, cuts, last = self.forward(words[i:j], scores, shares=True)
             through = np.zeros((int(last[-1]) + 1, scores.shape[1]))
-            through[last] = counts[i : i + self.WORDS]
+            through[last] = counts[i:j]
             for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
                 share[a:b] *= through[end[a:b]]
                 through[start[a:b]] += share[a:b]  # a word's edges to one place start at different ones
@@ -190,16 +205,23 @@ def lattice(path: str) -> Lattice:
     return Lattice(vocabulary(path)[0])
 
 
+#: A row of documents, of which the last one of a block has ``ends``, or one of words, whose numbers go from ``first`` on.
 _BLOCK = (
     "block long, doc_ids array<long>, held array<boolean>, tokens array<long>, lengths array<int>, "
-    "pairs binary, words array<binary>, train array<array<int>>, ends array<long>"
+    "pairs binary, ends array<long>, first int, words array<binary>, train array<array<int>>"
 )
+_BLOCK_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
 _BLOCK_TYPES = [
     pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()),
-    pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()),
+    pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())),
 ]
 
 
+def _lists(values: pa.Array, size: int) -> pa.Array:
+    """``values`` as lists of ``size``; the last one may have less."""
+    return pa.ListArray.from_arrays(np.r_[np.arange(0, len(values), size), len(values)].astype(np.int32), values)
+
+
 class Block:
     """Documents being gathered, and their distinct words' numbers and training counts by part."""
 
@@ -227,18 +249,33 @@ class Block:
         self.pairs.append(np.concatenate([local, n.astype(np.uint32)]).tobytes())
         self.size += len(text or "")
 
-    def row(self) -> pa.RecordBatch:
-        n, parts = len(self.number), len(self.ends)
-        counts = pa.ListArray.from_arrays(
-            np.arange(0, (n + 1) * parts, parts, dtype=np.int32), pa.array(self.counts[:n].reshape(-1))
-        )
-        train = pa.ListArray.from_arrays(np.array([0, n], np.int32), counts)
-        row = [self.no, self.ids, self.held, self.tokens, self.lengths, b"".join(self.pairs), list(self.number), train, self.ends]
+    def batch(self, n: int, **columns: object) -> pa.RecordBatch:
+        """``n`` rows of the block; columns that aren't given are null."""
+        columns["block"] = pa.array([self.no] * n)
         return pa.RecordBatch.from_arrays(
-            [x if x is train else pa.array([x], t) for x, t in zip(row, _BLOCK_TYPES, strict=True)],
-            names=[c.split()[0] for c in _BLOCK.split(", ")],
+            [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t) for c, t in zip(_BLOCK_NAMES, _BLOCK_TYPES, strict=True)],
+            names=_BLOCK_NAMES,
         )
 
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The block's documents, up to ``ROW_BYTES`` of their pairs a row, and its words, ``ROW_WORDS`` a row."""
+        size = np.cumsum([0, *map(len, self.pairs)])
+        a = 0
+        while a < len(self.ids):
+            b = max(a + 1, int(np.searchsorted(size, size[a] + ROW_BYTES, "right")) - 1)
+            yield self.batch(
+                1, doc_ids=[self.ids[a:b]], held=[self.held[a:b]], tokens=[self.tokens[a:b]], lengths=[self.lengths[a:b]],
+                pairs=[b"".join(self.pairs[a:b])], ends=[self.ends if b == len(self.ids) else None],
+            )
+            a = b
+        self.pairs.clear()
+        words, most = iter(self.number), ROW_WORDS * ROWS
+        for a in range(0, len(self.number), most):
+            own = _lists(pa.array(islice(words, most), pa.binary()), ROW_WORDS)
+            counts = pa.array(self.counts[a : min(a + most, len(self.number))].reshape(-1))
+            first = np.arange(a, min(a + most, len(self.number)), ROW_WORDS, dtype=np.int32)
+            yield self.batch(len(own), first=pa.array(first), words=own, train=_lists(_lists(counts, len(self.ends)), ROW_WORDS))
+
 
 def blocks_of(docs: DataFrame, parts: dict[str | None, int]) -> DataFrame:
     """``docs`` (doc_id, text, part) as blocks."""
@@ -251,11 +288,12 @@ def blocks_of(docs: DataFrame, parts: dict[str | None, int]) -> DataFrame:
             for doc, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block.add(doc, text, parts[part])
                 if block.size >= BLOCK_BYTES:
-                    yield block.row()
+                    yield from block.rows()
                     at += 1
                     block = Block(at, most)
+                    tidy()  # else what small objects leave behind grows with each block
         if block.ids:
-            yield block.row()
+            yield from block.rows()
         del block
         tidy()
 
@@ -312,6 +350,31 @@ def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return high.astype(np.float64) + low.astype(np.float64) / 65536
 
 
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Words (with their places) that are spelled together: ``BATCH_WORDS`` or a batch more, ``BATCH_PLACES`` at most, or one word."""
+
+    def cut() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b["places"].offsets.to_numpy() if b.num_rows else [0]
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_PLACES, "right")) - 1)
+                yield b.slice(i, j - i)
+                i = j
+
+    held: list[pa.RecordBatch] = []
+    rows = many = 0
+    for b in cut():
+        n = len(b["places"].flatten())
+        if held and (rows >= BATCH_WORDS or many + n > BATCH_PLACES):
+            yield pa.Table.from_batches(held)
+            held, rows, many = [], 0, 0
+        held.append(b)
+        rows, many = rows + b.num_rows, many + n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def places(scored: np.ndarray) -> np.ndarray:
     """Scores (part, piece, last or not) as a lattice takes them: (2 * pieces, parts)."""
     return np.ascontiguousarray(scored.reshape(len(scored), -1).T)
@@ -365,10 +428,10 @@ def score(
     numbers = {r["part"]: k for k, r in enumerate(rows.select("part").distinct().orderBy("part").collect())}
     parts = max(1, len(numbers))
     blocks = cut_lineage(blocks_of(rows, numbers), "blocks")
-    shares = -(-blocks.count() // SHARE_BLOCKS)
+    shares = -(-blocks.where("ends is not null").count() // SHARE_BLOCKS)
     words = cut_lineage(
-        blocks.select("block", F.posexplode(F.arrays_zip("words", "train")))
-        .select("col.words", "col.train", F.struct("block", F.col("pos").alias("local")).alias("place"))
+        blocks.select("block", "first", F.posexplode(F.arrays_zip("words", "train")))
+        .select("col.words", "col.train", F.struct("block", (F.col("first") + F.col("pos")).alias("local")).alias("place"))
         .toDF("word", "train", "place")
         .repartition("word", F.pmod(F.xxhash64("place.block"), F.lit(max(1, shares))))
         .sortWithinPartitions("word")
@@ -402,7 +465,7 @@ def score(
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each block needs of a batch of words, packed: local numbers, counts, log probabilities by part."""
         scored = places(shared.value)
-        for t in gathered(batches, BATCH_WORDS):
+        for t in batches_of(batches):
             t = t.combine_chunks()
             spelled = lattice(path).log_probability(t["word"].to_pylist(), scored)
             c = t["c"].combine_chunks().flatten().to_numpy().reshape(-1, parts)
@@ -456,7 +519,8 @@ def score(
         })
 
     return (
-        blocks.select("block", "doc_ids", "held", "tokens", "lengths", "pairs")
+        blocks.where("doc_ids is not null")
+        .select("block", "doc_ids", "held", "tokens", "lengths", "pairs")
         .groupBy("block")
         .cogroup(values.groupBy("block"))
         .applyInArrow(

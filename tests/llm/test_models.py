@@ -5,9 +5,11 @@ import itertools
 import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +222,47 @@ def test_lm_hot_words_in_many_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-8) for k in want if k != 3)
 
 
+def test_lm_holds_little_at_a_time(spark, monkeypatch):
+    """Rows of a block, words that are spelled together and their places are bounded, whatever a block holds."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 3000)), "en") for i in range(200)] + [(200, None, "en"), (201, "a", "en")]
+    got = lm.blocks_of(texts(spark, rows).coalesce(1).select("doc_id", "text", "lang"), {"en": 0}).collect()
+    words = sorted((r for r in got if r.words), key=lambda r: (r.block, r["first"]))
+    assert max(len(r.words) for r in words) <= 32 and max(len(r.pairs) for r in got if r.pairs is not None) <= 1 << 20
+    assert [bytes(w).decode() for r in words for w in r.words] == [f"w{j}" for j in range(3199)] + ["a"]
+    assert [i for r in got for i in r.doc_ids or []] == list(range(202)) and sum(r.ends is not None for r in got) == 1
+    counts = {bytes(w).decode(): c[0] for r in words for w, c in zip(r.words, r.train, strict=True)}
+    train = [i for i, _, _ in rows[:200] if not lm.is_held_out(i)]
+    assert all(counts[f"w{j}"] == sum(i <= j < i + 3000 for i in train) for j in range(0, 3199, 7))
+    lattice, chars = lm.lattice(public_tokenizers.path(lm.VOCABULARY)), []
+    monkeypatch.setattr(lm.Lattice, "forward", lambda self, words, scores: (chars.append(sum(map(len, words))), np.zeros((len(words), 1))[None])[1])
+    assert lattice.log_probability([b"x" * 5000] * 100 + [b"y"] * 5000, np.zeros((1, 1))).shape == (5100, 1)
+    assert max(chars) <= 1 << 16 and sum(chars) == 505_000
+
+
+def test_lm_gives_memory_back_after_each_block(monkeypatch):
+    events = []
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(lm, "tidy", lambda: events.append("tidy"))
+    gather = lm.blocks_of(SimpleNamespace(mapInArrow=lambda f, _: f), {"en": 0})
+    docs = pa.RecordBatch.from_pydict({"id": range(9), "text": ["some words of a text that fill a block"] * 9, "part": ["en"] * 9})
+    for b in gather(iter([docs])):
+        if b["ends"][0].is_valid:
+            events.append("block")
+    assert events[:18] == ["block", "tidy"] * 9
+
+
+def test_lm_spells_few_places_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_PLACES", 100)
+    lists = [[{"block": b, "local": i} for b in range(n)] for i, n in enumerate([40, 60, 1, 99, 150, *[0] * 3, 30, 70, 1])]
+    kind = pa.list_(pa.struct([("block", pa.int64()), ("local", pa.int32())]))
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, kind)], names=["word", "places"])
+    got = list(lm.batches_of(iter([whole, whole.slice(0, 0), whole.slice(2, 3)])))
+    assert [x for t in got for x in t["word"].to_pylist()] == [*range(len(lists)), 2, 3, 4]
+    assert [x for t in got for x in t["places"].to_pylist()] == lists + lists[2:5]
+    assert all(sum(map(len, t["places"].to_pylist())) <= 100 or len(t) == 1 for t in got)
+
+
 def test_lm_beats_word_counts_on_held_out_text(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     row = lm.score(docs, iterations=lm.ITERATIONS, known_words=True, part_col="lang").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
