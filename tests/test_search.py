@@ -133,3 +133,25 @@ def test_bitmaps(spark, pairs, tmp_path):
 def test_expanded_bits_are_the_ids(spark, numbers):
     pairs = spark.createDataFrame([(n, "v") for n in numbers], "doc_id long, value string")
     assert ids(search.bitmap_search(pairs, ["v"])) == sorted(numbers)
+
+
+def test_saved_lines_stay_short(spark, tmp_path):
+    """A token of all documents is saved on several lines, which are read back whole and merged."""
+    docs = spark.range(30_000).selectExpr("id AS o", "'all All a|b' AS t").union(spark.createDataFrame([(7, "all once")], "o long, t string"))
+    index = indexes.TokenIndex.write(docs, str(tmp_path / "index"), "o", "t")
+    index.save(str(tmp_path / "saved"))
+    lines = spark.read.text(str(tmp_path / "saved")).where("value LIKE 'all|%'").selectExpr("size(split(value, ',')) AS n").collect()
+    assert sum(r.n for r in lines) == 60_001 and max(r.n for r in lines) <= 20_001
+    loaded = indexes.TokenIndex.load(spark, str(tmp_path / "saved"), str(tmp_path / "loaded"))
+    assert loaded.postings().exceptAll(index.postings()).isEmpty() and loaded.postings().count() == index.postings().count() == 60_001
+    assert loaded.postings().where("times <> IF(token = 'all', IF(id = 7, 3, 2), 1)").isEmpty()
+
+
+def test_counts_of_rows(spark):
+    """Tokens that are counted row by row, and merged where an id repeats, null too."""
+    docs = spark.createDataFrame([(1, "\x01Red\x00 red, {red}:\tΑΣ:Β"), (2, None), (3, " , "), (1, "red"), (None, "x"), (None, "X\x1fx x\x1f")], "o long, t string")
+    expected = search.postings(docs, "o", "t").groupBy("token", "id").agg(F.count("*").alias("times"))
+    for got in (search.token_counts(docs, "o", "t"), search.by_token(search.counted(docs, "o", "t"))):
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    once = search.token_counts(docs.where("o = 2 OR o = 3"), "o", "t")
+    assert once.isEmpty() and "Exchange" not in once._jdf.queryExecution().toString()
