@@ -31,10 +31,14 @@ def document_tokens(value: Column) -> Column:
     return F.array_remove(F.when(plain.rlike(CONTROLS), trimmed).otherwise(parts), "")
 
 
-def blank_separated(value: Column) -> Column:
-    """A document's text as :func:`document_tokens` sees it, with blanks alone between tokens; control characters at their ends are left to trim."""
-    plain = F.lower(F.translate(F.coalesce(value, F.lit("")), DOCUMENT_MARKS, " " * len(DOCUMENT_MARKS)))
-    return F.translate(plain, ",\t\n\x0b\f\r", " " * 6)
+def lowered(value: Column) -> Column:
+    """A document's text, lower-cased as :func:`document_tokens` does it, whose marks may still stand: only a sigma's lower case depends on what follows."""
+    text = F.coalesce(value, F.lit(""))
+    return F.lower(F.when(F.contains(text, F.lit("\u03a3")), F.translate(text, DOCUMENT_MARKS, " " * len(DOCUMENT_MARKS))).otherwise(text))
+
+
+#: What becomes a blank in UTF-8 text of :func:`lowered`, as a table of bytes; a token may have other control characters left at its ends.
+TO_BLANKS = bytes(0x20 if chr(b) in DOCUMENT_MARKS + ",\t\n\x0b\f\r" else b for b in range(256))
 
 
 def column_tokens(name: str, value: Column) -> Column:

@@ -85,10 +85,10 @@ class TokenIndex:
 
     def insert(self, docs: DataFrame, id_col: str, text_col: str) -> None:
         """Add documents."""
-        self._write(self._next(), search.counted(docs, id_col, text_col))
+        self._write(self._next(), search.counted(docs, id_col, text_col), search.ids_repeat(docs, id_col))
 
-    def _write(self, at: int, counts: DataFrame) -> None:
-        search.by_token(counts).write.parquet(f"{self.path}/postings-{at:012d}")
+    def _write(self, at: int, counts: DataFrame, repeat: bool) -> None:
+        search.by_token(counts, repeat).write.parquet(f"{self.path}/postings-{at:012d}")
         written = self.spark.read.parquet(f"{self.path}/postings-{at:012d}")
         totals = written.groupBy("token").agg(F.count("*").alias("documents"), F.sum("times").alias("times"))
         totals.write.parquet(f"{self.path}/totals-{at:012d}")
@@ -120,7 +120,7 @@ class TokenIndex:
         """The index that :meth:`save` wrote, at ``path``; an empty one if nothing is there."""
         index = cls(spark, path)
         if files.exists(spark, saved):
-            index._write(0, spark.read.text(saved).mapInArrow(_read_lines, cls.ROWS))
+            index._write(0, spark.read.text(saved).mapInArrow(_read_lines, cls.ROWS), True)
         return index
 
     def find(self, token: str, occurrences: bool = False) -> DataFrame:

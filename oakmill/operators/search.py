@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bitmap_value, blank_separated, column_tokens, document_tokens
+from ..functions.text import TO_BLANKS, bitmap_value, column_tokens, document_tokens, lowered
 
 #: Bytes of text whose tokens are counted at once.
 COUNT_BYTES = 8 << 20
@@ -23,26 +23,29 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``token``, ``id``, ``times``: the tokens of each row of ``docs``, counted in the row; rows that repeat an id have their own counts.  No shuffle."""
-    own = docs.select(F.col(id_col).alias("id"), blank_separated(F.col(text_col)).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), lowered(F.col(text_col)).alias("text"))
     return own.mapInArrow(_count, f"token string, id {own.schema['id'].dataType.simpleString()}, times long")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge = "".join(map(chr, range(33)))
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        text = batch.column("text")
+        valid, offsets, data = text.buffers()
+        text = pa.Array.from_buffers(text.type, len(text), [valid, offsets, pa.py_buffer(bytes(data or b"").translate(TO_BLANKS))], offset=text.offset)
+        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < len(ends):
             done = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, done + COUNT_BYTES, "right")))
-            some, start = batch.slice(start, stop - start), stop
-            words = pc.split_pattern(some.column("text"), " ")
+            some, own, start = text.slice(start, stop - start), batch.column("id").slice(start, stop - start), stop
+            words = pc.split_pattern(some, " ")
             row, token = pc.list_parent_indices(words), pc.list_flatten(words)
-            if pc.any(pc.match_substring_regex(some.column("text"), r"[\x00-\x1f]")).as_py():
+            if pc.any(pc.match_substring_regex(some, r"[\x00-\x1f]")).as_py():
                 token = pc.utf8_trim(token, edge)
             there = pc.not_equal(pc.binary_length(token), 0)
             found = pa.table({"row": row.filter(there), "token": token.filter(there)}).group_by(["row", "token"], use_threads=False).aggregate([([], "count_all")])
-            ids = pa.chunked_array([some.column("id")]).take(found.column("row"))
+            ids = pa.chunked_array([own]).take(found.column("row"))
             yield from pa.table({"token": found.column("token"), "id": ids, "times": found.column("count_all")}).to_batches()
 
 
@@ -57,10 +60,13 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.groupBy("token", "id").agg(F.sum("times").alias("times")) if ids_repeat(docs, id_col) else own
 
 
-def by_token(counts: DataFrame) -> DataFrame:
-    """Rows (``token``, ``id``, ``times``) in ranges of token and id, so that a token of all documents is many tasks' work, sorted, and one for each pair."""
+def by_token(counts: DataFrame, repeat: bool = True) -> DataFrame:
+    """Rows (``token``, ``id``, ``times``) in ranges of token and id, so that a token of all documents is many tasks' work, and sorted.
+
+    ``repeat``: a pair may stand in several rows, which become one.
+    """
     dealt = counts.select("token", "id", "times").repartitionByRange("token", "id").sortWithinPartitions("token", "id")
-    return dealt.mapInArrow(_add_up, dealt.schema)
+    return dealt.mapInArrow(_add_up, dealt.schema) if repeat else dealt
 
 
 def _starts(*columns: pa.Array) -> np.ndarray:
