@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import bitmaps
 from ..sources.tables import PARTITION_ROWS
 
 #: Bits of a Bloom filter that is broadcast (8 MB).
@@ -51,11 +52,8 @@ def bloom_positions(value: Column, bits: int, hashes: int) -> Column:
 
 def bloom_words(df: DataFrame, column: str, bits: int, hashes: int, by: Sequence[str] = ()) -> DataFrame:
     """A Bloom filter of a column's values for each group of ``by``: a row (``by``, ``word``, ``bitmap``) for each 32,768 bits that are not all unset."""
-    at = F.explode(F.transform(bloom_positions(F.col(column), bits, hashes), lambda p: p + 1))
-    set_bits = df.where(F.col(column).isNotNull()).select(*by, at.alias("at"))
-    return set_bits.groupBy(*by, F.bitmap_bucket_number("at").alias("word")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")
-    )
+    known = df.where(F.col(column).isNotNull()).select(*by, F.explode(bloom_positions(F.col(column), bits, hashes)).alias("at"))
+    return bitmaps(known, by, F.col("at"), "word")
 
 
 def bit_is_set(bitmap: Column, bit: Column) -> Column:
