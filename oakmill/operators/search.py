@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..functions.text import TO_BLANKS, bitmap_value, column_tokens, document_tokens, lowered
 
 #: Bytes of text whose tokens are counted at once.
@@ -166,12 +167,7 @@ def is_indexed(posted: DataFrame, column: str) -> bool:
 
 def bitmaps(pairs: DataFrame, id_col: str = "doc_id", value_col: str = "value") -> DataFrame:
     """``value``, ``bucket``, ``bitmap``: one bitmap for each value and 32,768 ids."""
-    at = F.col(id_col).cast("long") + 1
-    return (
-        pairs.select(bitmap_value(F.col(value_col)).alias("value"), F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-        .groupBy("value", "bucket")
-        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    )
+    return bits.bitmaps(pairs.select(bitmap_value(F.col(value_col)).alias("value"), F.col(id_col).cast("long").alias("id")), ["value"], F.col("id"), "bucket")
 
 
 def _normal(values: Sequence[str]) -> list[str]:
@@ -205,10 +201,10 @@ def expand(bitmaps: DataFrame) -> DataFrame:
     longs = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.substring(digits, i * 16 + 1, F.lit(16)), 16, -10).cast("long"))
     words = bitmaps.select("bucket", F.posexplode(longs).alias("at", "word")).where(word != 0)
     # the first byte of eight is a number's highest one
-    bits = words.select("bucket", "at", word, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where(
+    ones = words.select("bucket", "at", word, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where(
         F.getbit(word, ((F.lit(7) - F.shiftright("bit", 3)) * 8 + F.col("bit").bitwiseAND(F.lit(7))).cast("int")) == 1
     )
-    return bits.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 64 + F.col("bit")).alias("doc_id"))
+    return ones.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 64 + F.col("bit")).alias("doc_id"))
 
 
 def bitmap_search(pairs: DataFrame, values: Sequence[str], every: bool = False, id_col: str = "doc_id", value_col: str = "value") -> DataFrame:

@@ -155,3 +155,19 @@ def test_counts_of_rows(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
     once = search.token_counts(docs.where("o = 2 OR o = 3"), "o", "t")
     assert once.isEmpty() and "Exchange" not in once._jdf.queryExecution().toString()
+
+
+def test_bitmaps_sort_no_rows(spark):
+    """Bitmaps and Bloom words are built through numbers: the aggregate's own bits, no sort of a task's rows, and ids below 0."""
+    from oakmill.operators import pruning
+
+    pairs = spark.range(0, 200_000, 7).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS value").union(spark.createDataFrame([(None, "none")], "doc_id long, value string"))
+    at = F.col("doc_id") + 1
+    expected = pairs.groupBy("value", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    got = search.bitmaps(pairs)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    words = pruning.bloom_words(pairs, "doc_id", 5000, 7, by=["value"])
+    for df in (got, words):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    low = spark.createDataFrame([(-1, "v"), (-32768, "v"), (-70_000, "v"), (3, "v")], "doc_id long, value string")
+    assert ids(search.bitmap_search(low, ["v"])) == [-70_000, -32768, -1, 3]
