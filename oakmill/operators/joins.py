@@ -20,8 +20,10 @@ HINTS = {
     "nested_loop": "shuffle_replicate_nl",
     "index": None,
 }
-#: Bytes that a side may have by Spark's estimate for a broadcast to be asked for.
+#: Bytes that a side may have, by Spark's estimate and in a hash table, for a broadcast to be asked for.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a hash table that a row takes besides its values.
+ROW_BYTES = 64
 #: Product of the sides' estimated bytes up to which every pair of rows is looked at (two sides of 1 MB each).
 NESTED_BYTES = 1 << 40
 
@@ -35,7 +37,7 @@ def join(
     ``columns``: those of the result, in order; a name that both have is the left's.
     ``null_safe``: null keys match each other, which multiplies the rows that have one on both sides; as with any
     common key, their partition is split by the adaptive execution of a merge or hash join.  A broadcast is asked for only if
-    the side's estimated size is within ``BROADCAST_BYTES``, a nested loop only within ``NESTED_BYTES``; else Spark chooses.
+    the side's estimated size and its rows in a hash table are within ``BROADCAST_BYTES``, a nested loop only within ``NESTED_BYTES``; else Spark chooses.
     ``folders``: the right side is a hash index's table with that many folders (``__bucket``); those without a key of the left are not read.
     """
     if strategy not in HINTS:
@@ -43,9 +45,9 @@ def join(
     need(left, [left_key])
     need(right, [right_key])
     a, b = left.alias("l"), right.alias("r")
-    if strategy == "broadcast" and estimated_bytes(right) <= BROADCAST_BYTES:
+    if strategy == "broadcast" and small(right, [right_key, *(columns or right.columns)]):
         b = b.hint("broadcast")
-    elif strategy == "index" and estimated_bytes(left) <= BROADCAST_BYTES:
+    elif strategy == "index" and small(left, [left_key, *(columns or left.columns)]):
         a = a.hint("broadcast")  # few outer rows go to the keyed inner side
     elif strategy in ("hash", "merge"):
         b = b.hint(HINTS[strategy])
@@ -61,6 +63,20 @@ def join(
     return a.join(b, on, "inner").select(*pick(left, right, columns))
 
 
+def small(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether ``columns`` of ``df``, as far as it has them, are a side to broadcast.
+
+    The estimate is of files, which are packed: 9 million rows of two numbers were estimated within 64 MB and took 831 MB.  So rows are
+    counted, up to those that fit.
+    """
+    wanted = {c.lower() for c in columns}
+    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() in wanted])
+    if estimated_bytes(own) > BROADCAST_BYTES:
+        return False
+    rows = BROADCAST_BYTES // (ROW_BYTES + own._jdf.schema().defaultSize())
+    return own.limit(rows + 1).count() <= rows
+
+
 def pick(left: DataFrame, right: DataFrame, columns: Sequence[str] | None) -> list[Column]:
     """The result's columns: the left's where both have one."""
     own = {c.lower(): f"l.`{c}`" for c in left.columns}

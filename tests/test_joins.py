@@ -5,7 +5,9 @@ from collections import Counter
 import pytest
 
 from oakmill.errors import UnknownColumn
+from oakmill.operators import joins
 from oakmill.operators.joins import HINTS, bucket, hash_join, join
+from oakmill.sources.files import estimated_bytes
 
 L = [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"), (7, "f")]
 R = [(1, "x"), (1, "y"), (3, "z"), (None, "n"), (7, "w")]
@@ -76,3 +78,14 @@ def test_hints_reach_the_plan(spark, strategy, node):
 
 def test_bucket_is_never_negative(spark):
     assert {r[0] for r in spark.range(1000).select(bucket("id", 4)).distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_a_side_of_many_small_rows_is_not_broadcast(spark):
+    """Rows count as they lie in a hash table, not as files have them."""
+    many, few = spark.range(3_000_000).toDF("k"), spark.range(1000).selectExpr("id AS ck", "id * 2 AS v")
+    asked = lambda df: "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+    assert estimated_bytes(many) <= joins.BROADCAST_BYTES
+    for one in (joins.join(many, "k", few, "ck", ["k", "v"], "index"), joins.join(few, "ck", many, "k", ["k", "v"], "broadcast")):
+        assert not asked(one) and one.count() == 1000
+    for one in (joins.join(few, "ck", many, "k", ["k", "v"], "index"), joins.join(many, "k", few, "ck", ["k", "v"], "broadcast")):
+        assert asked(one) and one.count() == 1000
