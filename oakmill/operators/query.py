@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from itertools import accumulate
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources import files
 from ..sources.tables import need
@@ -83,15 +87,60 @@ def group_by(df: DataFrame, key: str, **named: Column) -> DataFrame:
     return df.groupBy(key).agg(*[c.alias(n) for n, c in named.items()])
 
 
+#: Types of values and results with which groups are taken from sorted batches: Arrow and Spark make the same pandas values of them.
+PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType)
+
+
 def group_apply(df: DataFrame, key: str, value: str, f: Callable[[pd.Series], object], name: str, kind: str) -> DataFrame:
     """``f`` of each group's whole list of values, nulls included.
 
-    A group has to fit a task's memory: use :func:`group_by` wherever a built-in aggregate says the same.
+    A group has to fit a task's memory: use :func:`group_by` wherever a built-in aggregate says the same.  Groups of plain values come in
+    batches of sorted rows, as many small ones would cost a call of pandas and a batch each.
     """
     need(df, [key, value])
-    key_kind = df.schema[key].dataType.simpleString()
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: g[key].iloc[:1].to_numpy(), name: [f(g[value])]})
-
-    return df.select(key, value).groupBy(key).applyInPandas(one, f"`{key}` {key_kind}, `{name}` {kind}")
+    key_type, value_type = df.schema[key].dataType, df.schema[value].dataType
+    schema = T.StructType([T.StructField(key, key_type), T.StructField(name, T._parse_datatype_string(kind))])
+    if not isinstance(value_type, PLAIN) or not isinstance(schema[name].dataType, PLAIN) or not isinstance(key_type, PLAIN):
+
+        def one(g: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({key: g[key].iloc[:1].to_numpy(), name: [f(g[value])]})
+
+        return df.select(key, value).groupBy(key).applyInPandas(one, schema)
+    out = pa.schema([(key, to_arrow_type(key_type)), (name, to_arrow_type(schema[name].dataType))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []  # of the group that the next batch may go on with
+
+        def results(batch: pa.RecordBatch, at: list[int]) -> pa.RecordBatch:
+            values = batch.column(1)
+            got = [f(values.slice(a, b - a).to_pandas().rename(value)) for a, b in pairwise(at)]
+            keys = batch.column(0).take(pa.array(at[:-1], pa.int64()))
+            return pa.RecordBatch.from_arrays([keys.cast(out.field(0).type), pa.Array.from_pandas(pd.Series(got, dtype=object), type=out.field(1).type)], schema=out)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            if parts and len(pa.concat_arrays([parts[-1].column(0).slice(0, 1), batch.column(0).slice(0, 1)]).dictionary_encode(null_encoding="encode").dictionary) > 1:
+                own = pa.concat_batches(parts)
+                parts = []
+                yield results(own, [0, own.num_rows])
+            if len(at) > 2:  # the first group ends here, the last one may go on
+                if parts:
+                    own = pa.concat_batches([*parts, batch.slice(0, at[1])])
+                    yield results(own, [0, own.num_rows])
+                    at = at[1:]
+                if len(at) > 2:
+                    yield results(batch, at[:-1])
+                parts = []
+            parts.append(batch.slice(at[-2]))
+        if parts:
+            own = pa.concat_batches(parts)
+            yield results(own, [0, own.num_rows])
+
+    own = F.col(f"`{key}`")
+    if isinstance(key_type, (T.FloatType, T.DoubleType)):
+        own = F.when(own == 0, F.lit(0.0).cast(key_type)).otherwise(own)  # -0.0 is 0.0's group
+    dealt = df.select(own.alias("k"), F.col(f"`{value}`").alias("v")).repartition("k").sortWithinPartitions("k")
+    return dealt.mapInArrow(rows, schema)

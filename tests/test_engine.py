@@ -105,6 +105,27 @@ def test_group_apply_sees_nulls_and_the_null_group(spark):
     assert got == {"a": 2, None: 1}
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_group_apply_takes_groups_from_sorted_batches(spark, rows):
+    """Groups that go over batches, one of nulls, of not-a-numbers, and of both zeros; no call of pandas through Spark for each."""
+    values = [(k, None if i % 4 == 0 else (1 << 60) + i) for k in (None, float("nan"), 0.0, -0.0, 1.5, 2.0, 3.0) for i in range(1, 9 if k == 2.0 else 4)]
+    df = spark.createDataFrame(values, "k double, v long").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = query.group_apply(df, "k", "v", lambda v: f"{v.name} {v.dtype} {len(v)} {int(v.isna().sum())} {list(v.index)[-1]} {v.max()}", "n", "string")
+        assert "InPandas" not in got._jdf.queryExecution().toString()
+        found = sorted((str(r.k), r.n) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    top = (1 << 60) + 3
+    assert found == sorted(
+        [(k, f"v int64 3 0 2 {top}") for k in ("None", "nan", "1.5", "3.0")] + [("0.0", f"v int64 6 0 5 {top}"), ("2.0", f"v float64 8 2 7 {float(1 << 60)}")]
+    )
+    whole = {r.k: r.n for r in query.group_apply(df, "k", "v", lambda v: None if v.isna().any() else int(v.sum()), "n", "long").collect()}
+    assert whole[1.5] == (3 << 60) + 6 and whole[2.0] is None
+
+
 @pytest.mark.parametrize("top", [1_000_000, 0])
 def test_row_range_is_clamped(spark, monkeypatch, top):
     """As a top-k, and by sorted partitions."""
