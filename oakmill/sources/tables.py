@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from ..errors import UnknownColumn
 
 #: Rows of a micro-partition.
 PARTITION_ROWS = 100
+#: Files that a task writes, about, where files are rolled over.
+FILES_A_TASK = 500
 
 
 def rows(spark: SparkSession, values: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
@@ -22,15 +25,21 @@ def write(
     df: DataFrame, path: str, mode: str = "overwrite", cluster_by: str | None = None, partitions: int | None = None,
     bloom: Sequence[str] = (), rows_per_file: int | None = None,
 ) -> None:
-    """Write a table.  ``cluster_by`` gives files disjoint ranges of the column, so that footer statistics prune."""
+    """Write a table.  ``cluster_by`` gives files disjoint ranges of the column, so that footer statistics prune.
+
+    ``rows_per_file``: files are rolled over at that many rows; ranges are as many as their files need tasks, however few bytes they have, and tasks
+    move their files into place themselves, as the driver would do it one by one.
+    """
     need(df, [*([cluster_by] if cluster_by else []), *bloom])
     if cluster_by:
+        if rows_per_file and not partitions:
+            partitions = max(1, math.ceil(df.count() / (rows_per_file * FILES_A_TASK)))
         df = clustered(df, cluster_by, partitions)
     writer = df.write.mode(mode)
     for c in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     if rows_per_file:
-        writer = writer.option("maxRecordsPerFile", rows_per_file)
+        writer = writer.option("maxRecordsPerFile", rows_per_file).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.parquet(path)
 
 

@@ -289,3 +289,14 @@ def test_append_numbers_rows_in_order(spark):
     payloads = spark.range(100).repartition(5).sortWithinPartitions("id").select(F.col("id").cast("string").alias("json"))
     got = docfile.append(docs, payloads).collect()
     assert sorted(r.doc_id for r in got) == [4, *range(5, 105)]
+
+
+def test_files_that_are_rolled_over_are_many_tasks_work(spark, monkeypatch, tmp_path):
+    """However few bytes the rows have."""
+    from oakmill.sources import tables
+
+    monkeypatch.setattr(tables, "FILES_A_TASK", 50, raising=False)
+    tables.write(spark.range(2000), str(tmp_path / "rolled"), cluster_by="id", rows_per_file=10)
+    files = spark.read.parquet(str(tmp_path / "rolled")).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).collect()
+    assert sum(r.n for r in files) == 2000 and max(r.n for r in files) <= 10 and all(r.b - r.a == r.n - 1 for r in files)
+    assert len({r.f[:10] for r in files}) == 4
