@@ -171,3 +171,15 @@ def test_bitmaps_sort_no_rows(spark):
         assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
     low = spark.createDataFrame([(-1, "v"), (-32768, "v"), (-70_000, "v"), (3, "v")], "doc_id long, value string")
     assert ids(search.bitmap_search(low, ["v"])) == [-70_000, -32768, -1, 3]
+
+
+def test_postings_are_stored_in_lists(spark, tmp_path):
+    """Far fewer rows are sorted and kept than there are postings, and the index answers as before."""
+    docs = spark.range(5000).selectExpr("id AS o", "concat('the The of ', id % 10) AS t").repartition(2)
+    index = indexes.TokenIndex.write(docs, str(tmp_path / "index"), "o", "t")
+    stored = spark.read.parquet(*[p for _, p in index._batches("postings")])
+    assert index.postings().count() == 15_000 and stored.count() <= 200
+    assert index.find("the", occurrences=True).count() == 10_000 and index.find("THE").count() == 5000
+    assert index.find_all(["of", "3"]).count() == 500 and index.token_count().first().n == 12
+    totals = {r.token: (r.documents, r.times) for r in spark.read.parquet(index._batches("totals")[0][1]).groupBy("token").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times")).collect()}
+    assert totals["the"] == (5000, 10_000) and totals["3"] == (500, 500)
